@@ -1,6 +1,6 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-P(grade <= k) = sigmoid(theta_k - w.x): one weight vector, ordered thresholds.  x holds log counts of terms chosen by
+P(grade <= k) = sigmoid(theta_k - w.x): one weight vector, ordered thresholds.  x holds 1 + log counts of terms (words and word beginnings) chosen by
 association with toxic labels in a bounded labelled sample.  Training is Fisher scoring: every step is one Spark job that sums scores
 and information over the labelled rows' partitions; only sums of (terms + thresholds) squared numbers reach the driver.
 """
@@ -18,14 +18,32 @@ from .shared import join_small, materialize
 
 #: The model is fitted on at most about this many labelled rows, drawn by hash of doc_id, and on at most MAX_TERMS terms.
 MAX_LABELLED, MAX_TERMS = 20_000, 256
-CHI2, MIN_DOCS = 15.0, 3
+CHI2, MIN_DOCS, MIN_SHARE = 15.0, 3, 0.001
 _TERM = re.compile(r"[^\W\d_]+")
 
 
+def features(word: str) -> list[str]:
+    """A lower-case word and its beginnings of four and five letters (marked by a trailing hyphen)."""
+    return [word, *[word[:n] + "-" for n in (4, 5) if len(word) > n]]
+
+
 def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
+def hits(text: str | None, place: dict[str, int], heads: set[str]) -> tuple[dict[int, int], int]:
+    """Counts of the chosen features in a text, and the number of words that have any."""
+    counts: dict[int, int] = {}
+    words = 0
+    for word in terms(text):
+        if word[:4] in heads:
+            own = [place[x] for x in features(word) if x in place]
+            words += bool(own)
+            for i in own:
+                counts[i] = counts.get(i, 0) + 1
+    return counts, words
+
+
 def link_probabilities(eta: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n x K) grade probabilities and the (n x K - 1) densities at the thresholds."""
     g = 1 / (1 + np.exp(-np.clip(theta[None, :] - eta[:, None], -30, 30)))
@@ -61,7 +79,7 @@ def _step(rows: DataFrame, n_terms: int, theta: np.ndarray, w: np.ndarray):
                 part = batch.slice(at, 500)
                 x = np.zeros((part.num_rows, n_terms))
                 for i, (ids, counts) in enumerate(zip(part.column("ids").to_pylist(), part.column("counts").to_pylist(), strict=True)):
-                    x[i, ids] = np.log1p(counts)
+                    x[i, ids] = 1 + np.log(counts)
                 own = _sums(x, part.column("grade").to_numpy().astype(int), theta, w)
                 total = own if total is None else tuple(a + b for a, b in zip(total, own, strict=True))
         if total is not None:
@@ -72,26 +90,25 @@ def _step(rows: DataFrame, n_terms: int, theta: np.ndarray, w: np.ndarray):
     return sum(np.frombuffer(r["score"]) for r in sums), sum(np.frombuffer(r["info"]).reshape(size, size) for r in sums), sum(r["like"] for r in sums)
 
 
-def fit_ordinal(rows: DataFrame, n_terms: int, counts: list[int], steps: int = 12, ridge: float = 1.0):
+def fit_ordinal(rows: DataFrame, n_terms: int, counts: list[int], steps: int = 20, ridge: float = 0.1):
     """Thresholds and weights from rows (ids, counts, grade); `counts` are the numbers of rows by grade."""
     share = np.clip(np.cumsum(counts)[:-1] / sum(counts), 1e-3, 1 - 1e-3)
     theta, w = np.log(share / (1 - share)), np.zeros(n_terms)
     score, info, like = _step(rows, n_terms, theta, w)
     k = len(theta)
     pull = np.append(np.full(k, 1e-6), np.full(n_terms, ridge))
+    damp = 0.0
+    worth = lambda value, v: value - ridge / 2 * v @ v
     for _ in range(steps):
-        move = np.linalg.solve(info + np.diag(pull), score - pull * np.append(np.zeros(k), w))
-        for scale in (1.0, 0.5, 0.25, 0.1):
-            t, v = theta + scale * move[:k], w + scale * move[k:]
-            if (np.diff(t) > 1e-6).all():
-                new = _step(rows, n_terms, t, v)
-                if new[2] - ridge / 2 * v @ v >= like - ridge / 2 * w @ w:
-                    break
-        else:
-            return theta, w
-        gain = (new[2] - ridge / 2 * v @ v) - (like - ridge / 2 * w @ w)
+        move = np.linalg.solve(info + np.diag(pull + damp * (np.diag(info) + 1e-3)), score - pull * np.append(np.zeros(k), w))
+        t, v = theta + move[:k], w + move[k:]
+        new = _step(rows, n_terms, t, v) if (np.diff(t) > 1e-6).all() else None
+        if new is None or worth(new[2], v) < worth(like, w):
+            damp = max(0.03, damp * 4)
+            continue
+        gain, damp = worth(new[2], v) - worth(like, w), damp / 4
         theta, w, (score, info, like) = t, v, new
-        if gain < 1e-3:
+        if gain < 1e-4 * max(1.0, -like) and damp < 0.01:
             break
     return theta, w
 
@@ -99,7 +116,7 @@ def fit_ordinal(rows: DataFrame, n_terms: int, counts: list[int], steps: int = 1
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) of every row; severity is the expected grade.
 
-    Grades of the labelled rows: 0 for not toxic; toxic rows are 1, or 2 where the chosen terms are denser than in the median toxic row.
+    Grades of the labelled rows: 0 for not toxic; toxic rows are 1, or 2 where more words have chosen terms than in the median toxic row.
     Any integer label above 1 is used as a grade as it is.  Null texts count as empty; where a doc_id has several labels the
     largest holds; if the labelled sample has one class only, or no term is associated with toxicity, every severity is 0.  An
     empty table gives an empty result; other columns are ignored; equal texts get equal scores.
@@ -112,19 +129,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
     def counted(batches):
         for batch in batches:
-            each = [dict(zip(*np.unique(terms(t), return_counts=True), strict=True)) if t else {} for t in batch.column("body").to_pylist()]
-            words = pa.array([list(map(str, x)) for x in each], pa.list_(pa.string()))
-            counts = pa.array([[int(c) for c in x.values()] for x in each], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), words, counts], ["label", "words", "counts"])
+            each = [sorted({x for word in terms(t) for x in features(word)}) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(each, pa.list_(pa.string()))], ["label", "terms"])
 
-    known = materialize(join_small(base, sample, "doc_id").select("label", "body").mapInArrow(counted, "label int, words array<string>, counts array<int>"), "labelled")
+    known = materialize(join_small(base, sample, "doc_id").select("label", "body"), "labelled")
     size = known.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("t")).first()
     kind = dict(docs.dtypes)[doc_id]
     schema = f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean"
     n, t = size["n"], size["t"]
     vocabulary: list[str] = []
     if 0 < t < n:
-        seen = known.select("label", F.explode("words").alias("term")).groupBy("term").agg(F.count_if(F.col("label") > 0).alias("a"), F.count("*").alias("df")).where(F.col("df") >= MIN_DOCS)
+        seen = known.mapInArrow(counted, "label int, terms array<string>").select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") > 0).alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(MIN_DOCS, MIN_SHARE * n))
         a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
         chi2 = n * F.pow(a * (n - t - b) - b * (t - a), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * float(t) * float(n - t))
         chosen = seen.where((a * (n - t) > b * t) & (F.col("df") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
@@ -134,19 +149,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         return base.select("doc_id", zero.alias("severity"), F.lit(0).alias("grade"), zero.alias("p_toxic"), F.lit(False).alias("toxic"))
     place = {x: i for i, x in enumerate(vocabulary)}
 
+    heads = {x.rstrip("-")[:4] for x in vocabulary}
+
     def sparse(batches):
         for batch in batches:
-            ids, counts, density = [], [], []
-            for words, many in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = [(place[x], c) for x, c in zip(words, many, strict=True) if x in place]
-                ids.append([i for i, _ in own])
-                counts.append([c for _, c in own])
-                density.append(sum(c for _, c in own) / max(1, sum(many)))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(density, pa.float64())], ["label", "ids", "counts", "density"])
-
-    rows = materialize(known.mapInArrow(sparse, "label int, ids array<int>, counts array<int>, density double"), "sparse")
-    middle = rows.where("label > 0").agg(F.percentile("density", F.lit(0.5))).first()[0]
-    grade = F.when(F.col("label") != 1, F.col("label")).otherwise(F.when(F.col("density") > middle, 2).otherwise(1))
+            found = [hits(t, place, heads) for t in batch.column("body").to_pylist()]
+            ids = pa.array([list(c) for c, _ in found], pa.list_(pa.int32()))
+            counts = pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), ids, counts, pa.array([n for _, n in found], pa.int64())], ["label", "ids", "counts", "words"])
+
+    rows = materialize(known.mapInArrow(sparse, "label int, ids array<int>, counts array<int>, words long"), "sparse")
+    middle = rows.where("label > 0").agg(F.percentile("words", F.lit(0.5))).first()[0]
+    grade = F.when(F.col("label") != 1, F.col("label")).otherwise(F.when(F.col("words") > middle, 2).otherwise(1))
     rows = rows.select("ids", "counts", grade.alias("raw"))
     by_grade = {r["raw"]: r["count"] for r in rows.groupBy("raw").count().collect()}
     levels = sorted(by_grade)
@@ -161,12 +175,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
             eta = np.zeros(batch.num_rows)
             for i, body in enumerate(batch.column("body").to_pylist()):
                 if body:
-                    hits: dict[int, int] = {}
-                    for x in terms(body):
-                        j = place.get(x)
-                        if j is not None:
-                            hits[j] = hits.get(j, 0) + 1
-                    eta[i] = sum(w[j] * np.log1p(c) for j, c in hits.items())
+                    eta[i] = sum(w[j] * (1 + np.log(c)) for j, c in hits(body, place, heads)[0].items())
             p, _ = link_probabilities(eta, theta)
             toxic = 1 - p[:, 0] if levels[0] == 0 else np.ones(len(eta))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p @ worth), pa.array(worth[p.argmax(1)].astype(np.int32)), pa.array(toxic), pa.array(toxic > 0.5)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
