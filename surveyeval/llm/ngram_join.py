@@ -24,7 +24,8 @@ HOT, HOT_KEYS = 64, 2_000_000
 GROUP = 48
 #: Bits of the filter of nodes that have a candidate; fixed, so its broadcast is at most 4 MB.
 FILTER_BITS = 1 << 25
-_COUNTED = np.uint64(1 << 61)  # a quarter of the 63-bit hash space: prefixes hold the least hashes
+BITS = ["b0", "b1", "b2", "b3"]
+_COUNTED = np.uint64(3 << 60)  # three eighths of the 63-bit hash space: prefixes hold the least hashes
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,26 +63,34 @@ def set_hash(token: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.where(np.diff(edges) > 0, mix((total[edges[1:]] - total[edges[:-1]]) ^ np.diff(edges).astype(np.uint64)), np.uint64(0)).view(np.int64)
 
 
+def parities(token: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """256 bits per set (4 longs): is the number of members in each hash bucket odd?  Bits that differ bound the members that differ."""
+    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    odd = np.bincount(row * 256 + (token & np.uint64(255)).astype(np.int64), minlength=256 * (len(edges) - 1)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 4)
+
+
 def _need(n1, n2, num, den):
     """Least intersection of sets of n1 and n2 with den * i >= num * (n1 + n2 - i)."""
     return -(-num * (n1 + n2) // (den + num))
 
 
 def _nodes(docs: DataFrame, k: int, ranges: int) -> DataFrame:
-    """(doc, s, n) of every document and, beside, the sorted shingles of each batch's distinct sets, cut into hash ranges."""
+    """(doc, s, n, parities) of every document and, beside, the sorted shingles of each batch's distinct sets, cut into hash ranges."""
 
     def local(batches):
         for batch in slices(batches, "body"):
             token, edges = shingle_sets(batch.column("body"), k)
             s, n = set_hash(token, edges), np.diff(edges)
             empty = pa.nulls(len(s), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(s), pa.array(n.astype(np.int64)), pa.nulls(len(s), pa.int32()), empty], ["doc", "s", "n", "r", "keys"])
+            bits = [pa.array(np.ascontiguousarray(c)) for c in parities(token, edges).T]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(s), pa.array(n.astype(np.int64)), *bits, pa.nulls(len(s), pa.int32()), empty], names)
             one = np.zeros(len(s), bool)
             one[np.unique(s, return_index=True)[1]] = True
             held = np.sort(token[np.repeat(one, n) & (token < _COUNTED)] >> np.uint64(23))
             if not len(held):
                 continue
-            r = (held * np.uint64(ranges) >> np.uint64(38)).astype(np.int64)
+            r = (held * np.uint64(ranges) // np.uint64(3 << 37)).astype(np.int64)
             at = np.searchsorted(r, np.arange(ranges + 1))
             rows, keys = [], []
             for x in range(ranges):
@@ -90,9 +99,10 @@ def _nodes(docs: DataFrame, k: int, ranges: int) -> DataFrame:
                     rows.append(x)
                     keys.append(np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes())
             m = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(rows, pa.int32()), pa.array(keys, pa.binary())], ["doc", "s", "n", "r", "keys"])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 7, pa.array(rows, pa.int32()), pa.array(keys, pa.binary())], names)
 
-    return docs.mapInArrow(local, "doc long, s long, n long, r int, keys binary")
+    names = ["doc", "s", "n", *BITS, "r", "keys"]
+    return docs.mapInArrow(local, "doc long, s long, n long, b0 long, b1 long, b2 long, b3 long, r int, keys binary")
 
 
 def _frequent(parts: DataFrame) -> np.ndarray:
@@ -201,9 +211,7 @@ def _candidates(prefixes: DataFrame, num: int, den: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(token[large]), pa.array(s[large]), pa.nulls(len(large), pa.int64()), pa.array(n[large].astype(np.int32)), pa.array(at[large].astype(np.int32))], ["token", "s1", "s2", "n", "at"])
                 for g in np.unique(group[large]).tolist():
                     i = large[group[large] == g]
-                    middle = n[i[len(i) // 2]]
-                    pool = i[n[i] == middle]
-                    leader = pool[np.argmin(s[pool])]
+                    leader = i[np.lexsort((s[i], at[i]))[0]]  # fewest rare shingles before this one: the likeliest original
                     i = i[i != leader]
                     small_n, big_n = np.minimum(n[i], n[leader]), np.maximum(n[i], n[leader])
                     i = i[den * small_n >= num * big_n]
@@ -216,11 +224,12 @@ def _candidates(prefixes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members (token, s, n, at, c) of a large group that fit and lie in different components."""
+    """Pairs of members (token, s, n, at, c, parities) of a large group that fit and lie in different components."""
 
     def meet(batches):
         for table in sorted_chunks(batches, "token"):
             token, s, n, at, c = (table.column(x).to_numpy() for x in ("token", "s", "n", "at", "c"))
+            bits = [table.column(x).to_numpy().view(np.uint64) for x in BITS]
             edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 order = a + np.lexsort((s[a:b], n[a:b]))
@@ -231,7 +240,8 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                     x = np.arange(np.searchsorted(gn, -(-num * gn[i] // den)), np.searchsorted(gn, den * gn[i] // num, side="right"))
                     x = x[(gc[x] != gc[i]) & ((gc[x] == most) | (x > i))]
                     lo, hi = np.where(gn[x] <= gn[i], x, i), np.where(gn[x] <= gn[i], i, x)
-                    ok = _fits(gn[lo], ga[lo], gn[hi], ga[hi], num, den)
+                    apart = sum(np.bitwise_count(b[order[x]] ^ b[order[i]]).astype(np.int64) for b in bits)
+                    ok = _fits(gn[lo], ga[lo], gn[hi], ga[hi], num, den) & (apart <= gn[x] + gn[i] - 2 * _need(gn[x], gn[i], num, den))
                     if ok.any():
                         p, q = gs[lo[ok]], gs[hi[ok]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["s1", "s2"])
@@ -239,6 +249,16 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "s1 long, s2 long")
 
 
+def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs (s1, s2) whose parities allow enough shared members."""
+    side = lambda i: nodes.select(F.col("s").alias(f"s{i}"), F.col("n").alias(f"n{i}"), *[F.col(b).alias(f"{b}_{i}") for b in BITS])
+    both = pairs.distinct().join(side(1), "s1").join(side(2), "s2")
+    apart = sum((F.bit_count(F.col(f"{b}_1").bitwiseXOR(F.col(f"{b}_2"))) for b in BITS[1:]), F.bit_count(F.col("b0_1").bitwiseXOR(F.col("b0_2"))))
+    total = F.col("n1") + F.col("n2")
+    need = (num * total + (den + num - 1) - F.pmod(num * total + (den + num - 1), F.lit(den + num))) / (den + num)  # an exact quotient
+    return both.where(apart <= total - 2 * need).select("s1", "s2")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
     spark = pairs.sparkSession
@@ -303,10 +323,12 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     while ranges < 4096 and ranges * 16_000 < docs.count():
         ranges *= 2
     made = materialize(_nodes(body, k, ranges), "nodes")
-    nodes = made.where("r is null").select("doc", "s", "n")
+    docs_nodes = made.where("r is null").select("doc", "s", "n")
+    nodes = made.where("r is null and n > 0").groupBy("s").agg(F.min("doc").alias("least"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
+    nodes = materialize(nodes, "sets")
     frequent = spark.sparkContext.broadcast(_frequent(made.where("r is not null").select("r", "keys")))
     found = materialize(_candidates(_prefixes(body, k, num, den, frequent), num, den), "candidates")
-    pairs = materialize(found.where("s2 is not null").select("s1", "s2").distinct(), "pairs")
+    pairs = materialize(_near(found.where("s2 is not null").select("s1", "s2"), nodes, num, den), "pairs")
     links = materialize(_verified(pairs, body, k, num, den), "links")
     members = found.where("s2 is null").select("token", F.col("s1").alias("s"), "n", "at")
     comp = components(links, "s1", "s2")
@@ -314,17 +336,17 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tied = members.join(comp.withColumnRenamed("node", "s"), "s", "left").select("token", "s", "n", "at", F.coalesce("component", "s").alias("c"))
         tied = materialize(tied, "members")
         open_groups = tied.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-        more = _cross_pairs(tied.join(open_groups, "token", "left_semi"), num, den).distinct().join(pairs, ["s1", "s2"], "left_anti")
+        rest = tied.join(open_groups, "token", "left_semi").join(nodes.select("s", *BITS), "s")
+        more = _cross_pairs(rest, num, den).distinct().join(pairs, ["s1", "s2"], "left_anti")
         more = materialize(more, "pairs")
         if more.limit(1).count():
             links = links.unionByName(materialize(_verified(more, body, k, num, den), "links"))
             comp = components(links, "s1", "s2")
-    least = nodes.where("n > 0").groupBy("s").agg(F.min("doc").alias("least"))
-    tied = least.join(comp.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("component", "s").alias("c"))
+    tied = nodes.join(comp.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("component", "s").alias("c"))
     tied = materialize(tied, "tied")
     roots = tied.groupBy("c").agg(F.min("least").alias("root"))
     ids = tied.join(roots, "c").select("s", "root")
-    return nodes.join(ids, "s", "left").select(
+    return docs_nodes.join(ids, "s", "left").select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("root"))).otherwise(F.col("doc")).alias("component_id"),
