@@ -223,8 +223,11 @@ def _candidates(prefixes: DataFrame, num: int, den: int) -> DataFrame:
     return prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "token long, s1 long, s2 long, n int, at int")
 
 
-def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of members (token, s, n, at, c, parities) of a large group that fit and lie in different components."""
+def _cross_pairs(members: DataFrame, num: int, den: int, best: int | None = None) -> DataFrame:
+    """Pairs of members (token, s, n, at, c, parities) of a large group that fit and lie in different components.
+
+    With `best`, only each member's likeliest partners: that ties most of a group together before all pairs are asked for.
+    """
 
     def meet(batches):
         for table in sorted_chunks(batches, "token"):
@@ -242,6 +245,8 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                     lo, hi = np.where(gn[x] <= gn[i], x, i), np.where(gn[x] <= gn[i], i, x)
                     apart = sum(np.bitwise_count(b[order[x]] ^ b[order[i]]).astype(np.int64) for b in bits)
                     ok = _fits(gn[lo], ga[lo], gn[hi], ga[hi], num, den) & (apart <= gn[x] + gn[i] - 2 * _need(gn[x], gn[i], num, den))
+                    if best is not None and ok.sum() > best:
+                        ok[np.flatnonzero(ok)[np.argsort(apart[ok], kind="stable")[best:]]] = False
                     if ok.any():
                         p, q = gs[lo[ok]], gs[hi[ok]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["s1", "s2"])
@@ -259,18 +264,18 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(apart <= total - 2 * need).select("s1", "s2")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("s1", "s2")).alias("s")).select(F.pmod("s", F.lit(FILTER_BITS)).alias("x")).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(s, held): the whole sets of the wanted nodes (s), and of a few more that share their filter bits."""
+    spark = docs.sparkSession
+    ends = wanted.select(F.pmod("s", F.lit(FILTER_BITS)).alias("x")).distinct()
     buckets = ends.groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect()
     wide = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
     for row in buckets:
         wide[row["b"]] = np.frombuffer(row["bits"], np.uint8)
-    wanted = spark.sparkContext.broadcast(wide)
+    filled = spark.sparkContext.broadcast(wide)
 
     def sets(batches):
-        bits = wanted.value
+        bits = filled.value
         for batch in slices(batches, "body"):
             token, edges = shingle_sets(batch.column("body"), k)
             s, n = set_hash(token, edges), np.diff(edges)
@@ -285,6 +290,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
             held = [short[edges[i] : edges[i + 1]].tobytes() for i in take.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(s[take]), pa.array(held, pa.binary())], ["s", "held"])
 
+    return materialize(docs.select("body").mapInArrow(sets, "s long, held binary").dropDuplicates(["s"]), "sets")
+
+
+def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
+
     def wide64(raw):
         out = np.zeros((len(raw) // 6, 8), np.uint8)
         out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -304,7 +315,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("s1").filter(keep), batch.column("s2").filter(keep)], ["s1", "s2"])
 
-    held = materialize(docs.select("body").mapInArrow(sets, "s long, held binary").dropDuplicates(["s"]), "sets")
     both = pairs.join(held.select(F.col("s").alias("s2"), F.col("held").alias("held2")), "s2").join(held.select(F.col("s").alias("s1"), F.col("held").alias("held1")), "s1")
     return both.select("s1", "s2", "held1", "held2").mapInArrow(compare, "s1 long, s2 long")
 
@@ -329,19 +339,23 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     frequent = spark.sparkContext.broadcast(_frequent(made.where("r is not null").select("r", "keys")))
     found = materialize(_candidates(_prefixes(body, k, num, den, frequent), num, den), "candidates")
     pairs = materialize(_near(found.where("s2 is not null").select("s1", "s2"), nodes, num, den), "pairs")
-    links = materialize(_verified(pairs, body, k, num, den), "links")
+    ends = pairs.select(F.col("s1").alias("s")).union(pairs.select("s2"))
+    links = materialize(_verified(pairs, _sets(ends, body, k), num, den), "links")
     members = found.where("s2 is null").select("token", F.col("s1").alias("s"), "n", "at")
     comp = components(links, "s1", "s2")
-    if members.limit(1).count():
+    held = None
+    for best in (4, None):
         tied = members.join(comp.withColumnRenamed("node", "s"), "s", "left").select("token", "s", "n", "at", F.coalesce("component", "s").alias("c"))
         tied = materialize(tied, "members")
         open_groups = tied.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
         rest = tied.join(open_groups, "token", "left_semi").join(nodes.select("s", *BITS), "s")
-        more = _cross_pairs(rest, num, den).distinct().join(pairs, ["s1", "s2"], "left_anti")
-        more = materialize(more, "pairs")
-        if more.limit(1).count():
-            links = links.unionByName(materialize(_verified(more, body, k, num, den), "links"))
-            comp = components(links, "s1", "s2")
+        more = materialize(_cross_pairs(rest, num, den, best).distinct().join(pairs, ["s1", "s2"], "left_anti"), "pairs")
+        if not more.limit(1).count():
+            break
+        held = held or _sets(members.select("s").distinct(), body, k)
+        links = links.unionByName(materialize(_verified(more, held, num, den), "links"))
+        pairs = pairs.unionByName(more)
+        comp = components(links, "s1", "s2")
     tied = nodes.join(comp.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("component", "s").alias("c"))
     tied = materialize(tied, "tied")
     roots = tied.groupBy("c").agg(F.min("least").alias("root"))
