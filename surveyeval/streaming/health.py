@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 
 
+def _timed(stream: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone; Parquet may hold one without."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def ingest(stream: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Each key once; keys seen again inside the watermark are ignored."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def health(stream: DataFrame, ts: str = "ts", late: str = "1 day", window: str = "1 day") -> DataFrame:
     """Outcome counts by window and model; rows later than the watermark are dropped."""
     kind = S.error_type(F.col("event_type") != "signup", F.col("event_type") == "error")
-    rows = stream.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), (F.col("event_id") % 4).alias("model_no"))
+    rows = _timed(stream, ts).withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), (F.col("event_id") % 4).alias("model_no"))
     return rows.agg(F.count("*").alias("n"), F.count_if(kind != "ok").alias("bad")).select(F.col("w.start").alias("start"), "model_no", "n", "bad")
