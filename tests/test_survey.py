@@ -14,6 +14,8 @@ from surveyeval.operators import sets as X
 from surveyeval.operators import stats as ST
 from surveyeval.operators import tables as T
 from surveyeval.operators import text as TX
+from surveyeval.operators import report as R
+from surveyeval.plans import report_queries  # noqa: F401  (registers its queries)
 from surveyeval.plans.queries import ORACLE_SQL, QUERIES
 from surveyeval.sources import microdata as M
 from surveyeval.streaming import health as H
@@ -147,3 +149,18 @@ def test_oracle(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_single_model_takes_the_cheapest_within_the_window(spark):
+    errors = {"a": (1.04, 2.0), "b": (1.0, 3.0), "c": (1.2, 0.5)}
+    rows = [(m, rid, 100.0 * e[rid], True, "likert7") for m, e in errors.items() for rid in (0, 1)]
+    df = spark.createDataFrame(rows, "model string, rid long, abs_err double, parse_ok boolean, fmt string")
+    parts = spark.createDataFrame([(0, "train"), (1, "test")], "rid long, part string")
+    rates = spark.createDataFrame([("a", 0.1), ("b", 0.2), ("c", 0.05)], "model string, rate double")
+    assert [tuple(r) for r in R.single_model(df, parts, rates).collect()] == [("a", 104.0, 200.0)]
+
+
+def test_coverage_counts_all_respondents(spark):
+    truth = spark.createDataFrame([("X", 1), ("X", 2), ("Y", 1)], "item string, rid long")
+    got = {r["item"]: (r["n"], r["percent"]) for r in R.coverage(truth, spark.range(4)).collect()}
+    assert got == {"X": (2, 50.0), "Y": (1, 25.0)}
