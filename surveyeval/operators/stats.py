@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from math import factorial, sqrt
 from statistics import NormalDist
 
@@ -35,25 +36,35 @@ def interaction_share(alphas: DataFrame) -> DataFrame:
     return alphas.agg(F.round(F.when(total > 0, F.sum(F.when(F.bit_count("term") >= 2, a2)) / total).otherwise(0.0), 6).alias("share"))
 
 
-def poisson_boot(df: DataFrame, cluster: str, cols: list[str], B: int = 1000, seed: int = 42, buckets: int = 32) -> DataFrame:
-    """(replicate, cols..., w): Poisson-weighted sums over clusters.
+def poisson_weights(keys: np.ndarray, B: int, seed: int) -> np.ndarray:
+    """(B, n) Poisson(1) weights that depend on key, replicate and seed alone: a mixed 64-bit counter looked up in the distribution function."""
+    step, one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+    x = keys.view(np.uint64)[None, :] ^ (step * (np.arange(1, B + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 20)))[:, None]
+    for shift, factor in ((30, one), (27, two)):
+        x = (x ^ (x >> np.uint64(shift))) * factor
+    unit = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    cdf = np.cumsum([math.exp(-1) / factorial(k) for k in range(16)])
+    return np.searchsorted(cdf, unit, side="right").astype(float)
 
-    Clusters fall into fixed hash buckets; inside a bucket they are sorted and weighted from a generator seeded by (seed, bucket), so the
-    result does not depend on partitioning.  A bucket emits B rows, not B rows per cluster.
+
+def poisson_boot(df: DataFrame, cluster: str, cols: list[str], B: int = 1000, seed: int = 42) -> DataFrame:
+    """(replicate, cols..., w): Poisson-weighted sums over clusters; null values count as 0.
+
+    A cluster's weight in a replicate is a hash of the two, so rows need no shuffle or sort, one weight serves all columns (paired statistics),
+    and the result does not depend on partitioning.  A partition emits B rows, not B rows per cluster.
     """
-    held = df.select(F.col(cluster).alias("_c"), *cols).withColumn("_b", F.pmod(F.hash("_c"), F.lit(buckets)))
+    held = df.select(F.xxhash64(cluster).alias("_k"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_c")
-        rng = np.random.default_rng([seed, int(pdf["_b"].iloc[0])])
-        x = np.c_[pdf[cols].to_numpy(float), np.ones(len(pdf))]
-        out = np.zeros((B, x.shape[1]))
-        for at in range(0, len(x), 2000):
-            out += rng.poisson(1.0, (B, len(x[at : at + 2000]))) @ x[at : at + 2000]
-        return pd.DataFrame(out, columns=[*cols, "w"]).assign(replicate=np.arange(B))[["replicate", *cols, "w"]]
+    def draw(batches):
+        out = np.zeros((B, len(cols) + 1))
+        for pdf in batches:
+            x, keys = np.c_[pdf[cols].to_numpy(float), np.ones(len(pdf))], pdf["_k"].to_numpy(np.int64)
+            for at in range(0, len(x), 1000):
+                out += poisson_weights(keys[at : at + 1000], B, seed) @ x[at : at + 1000]
+        yield pd.DataFrame(out, columns=[*cols, "w"]).assign(replicate=np.arange(B))[["replicate", *cols, "w"]]
 
     schema = "replicate long, " + ", ".join(f"{c} double" for c in [*cols, "w"])
-    return held.groupBy("_b").applyInPandas(draw, schema).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in [*cols, "w"]])
+    return held.mapInPandas(draw, schema).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in [*cols, "w"]])
 
 
 def bca_bounds(draws: np.ndarray, point: float, skew: float, alpha: float = 0.05) -> tuple[float, float]:

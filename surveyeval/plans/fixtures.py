@@ -71,9 +71,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every eighth respondent by 4 models, 3 prompts and 2 samples (the factorial table)."""
+    """Every respondent by 4 models, 3 prompts and 2 samples (the factorial table)."""
     grid = [(m + 1, MODELS[m], p + 1, PROMPTS[p], s) for m in range(4) for p in range(3) for s in (1, 2)]
-    df = truth(spark, sf_dir).where(F.col("rid") % 8 == 0).withColumn("x", _literal(grid, ["model_no", "model", "prompt_no", "prompt", "sample"])).select("*", "x.*").drop("x")
+    df = truth(spark, sf_dir).withColumn("x", _literal(grid, ["model_no", "model", "prompt_no", "prompt", "sample"])).select("*", "x.*").drop("x")
     df = df.withColumn("condition", F.lit("Full")).withColumn("hurt", (F.col("model_no") * 3 + F.col("prompt_no") * 2) % 9)
     df = df.withColumn("u", sq(F.col("rid") * 7919 + F.col("item_no") * 104729 + F.col("model_no") * 611953 + F.col("prompt_no") * 86028121 + F.col("sample") * 3571 + 32452843))
     return _predicted(df, F.when(F.col("model_no") == 4, 50).otherwise(12))
@@ -107,5 +107,5 @@ _GRID = [(m + 1, MODELS[m], p + 1, PROMPTS[p], s) for m in range(4) for p in ran
 PANEL_SQL = f"""{TRUTH_SQL},
 grid AS (SELECT * FROM (VALUES {_values(_GRID)}) t(model_no, model, prompt_no, prompt, sample)),
 panel0 AS (SELECT truth.*, grid.*, 'Full' AS condition, (model_no * 3 + prompt_no * 2) % 9 AS hurt,
-  {sq_sql('rid * 7919 + item_no * 104729 + CAST(model_no AS BIGINT) * 611953 + CAST(prompt_no AS BIGINT) * 86028121 + sample * 3571 + 32452843')} AS u FROM truth, grid WHERE rid % 8 = 0),
+  {sq_sql('rid * 7919 + item_no * 104729 + CAST(model_no AS BIGINT) * 611953 + CAST(prompt_no AS BIGINT) * 86028121 + sample * 3571 + 32452843')} AS u FROM truth, grid),
 {_predicted_sql('panel', 'panel0', '(CASE WHEN model_no = 4 THEN 50 ELSE 12 END)')}"""
