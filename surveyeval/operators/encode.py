@@ -25,10 +25,6 @@ def encode(df: DataFrame, numeric: list[str], nominal: list[str], clip: float =
     return df.select("*", *cols), [n for n, _, _ in kept]
 
 
-def _dot(x: list[str], beta: np.ndarray) -> Column:
-    return sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta[1:], x, strict=True)), F.lit(float(beta[0])))
-
-
 def ridge_by_item(df: DataFrame, x: list[str], item: str = "item", y: str = "y", fold: str = "fold", alpha: float = 1.0, least: int = 50) -> DataFrame:
     """Held-out error of a ridge regression per item: rounded, clipped to the observed range; items under `least` rows are skipped.
 
@@ -61,28 +57,33 @@ def ridge_by_item(df: DataFrame, x: list[str], item: str = "item", y: str = "y",
 
 
 def logistic_folds(df: DataFrame, x: list[str], y: str = "y", fold: str = "fold", steps: int = 8, ridge: float = 1.0) -> DataFrame:
-    """Held-out misclassification of a logistic regression on a 0/1 column, by Newton steps over summed products (one small row per fold and step)."""
+    """Held-out misclassification of a logistic regression on a 0/1 column, by Newton steps; one aggregation a step serves all folds.
+
+    Every row takes part in the sums of all folds but its own.  Folds without training rows of both kinds stay near the intercept.
+    """
     k = len(x) + 1
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     cols = [F.lit(1.0), *[F.col(c) for c in x]]
-    out = []
-    for f in folds:
-        beta, train = np.zeros(k), df.where(F.col(fold) != f)
-        for _ in range(steps):
-            p = 1 / (1 + F.exp(-_dot(x, beta)))
-            r = train.withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p"))).agg(*[F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"h_{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum((F.col(y) - F.col("_p")) * cols[i]).alias(f"g_{i}") for i in range(k)]).first()
-            if r["g_0"] is None:
-                break
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    pen = np.diag([0.0] + [ridge] * (k - 1))
+    betas = {f: np.zeros(k) for f in folds}
+    rows = df.select(F.col(fold).alias("_own"), F.col(y).cast("double").alias("_y"), *x)
+    for _ in range(steps):
+        models = F.array(*[F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, map(float, b))).alias("b")) for f, b in betas.items()])
+        fit = rows.select("*", F.explode(models).alias("_m")).where(F.col("_m.f") != F.col("_own"))
+        p = 1 / (1 + F.exp(-sum((F.col("_m.b")[i] * c for i, c in enumerate(cols)), F.lit(0.0))))
+        fit = fit.withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
+        sums = fit.groupBy(F.col("_m.f").alias("f")).agg(*[F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"h_{i}_{j}") for i, j in pairs], *[F.sum((F.col("_y") - F.col("_p")) * c).alias(f"g_{i}") for i, c in enumerate(cols)]).collect()
+        largest = 0.0
+        for r in sums:
             h = np.zeros((k, k))
-            for i in range(k):
-                for j in range(i, k):
-                    h[i, j] = h[j, i] = r[f"h_{i}_{j}"]
-            pen = np.diag([0.0] + [ridge] * (k - 1))
-            move = np.linalg.solve(h + pen + 1e-9 * np.eye(k), np.array([r[f"g_{i}"] for i in range(k)]) - pen @ beta)
-            beta = beta + move
-            if np.abs(move).max() < 1e-6:
-                break
-        out.append((f, [float(b) for b in beta]))
-    beta = df.sparkSession.createDataFrame(out, f"{fold} long, beta array<double>")
+            for i, j in pairs:
+                h[i, j] = h[j, i] = r[f"h_{i}_{j}"]
+            move = np.linalg.solve(h + pen + 1e-9 * np.eye(k), np.array([r[f"g_{i}"] for i in range(k)]) - pen @ betas[r["f"]])
+            betas[r["f"]] = betas[r["f"]] + move
+            largest = max(largest, float(np.abs(move).max()))
+        if largest < 1e-6:
+            break
+    beta = df.sparkSession.createDataFrame([(f, [float(v) for v in b]) for f, b in betas.items()], f"{fold} long, beta array<double>")
     score = F.element_at("beta", 1) + sum((F.element_at("beta", i + 2) * F.col(c) for i, c in enumerate(x)), F.lit(0.0))
     return df.join(F.broadcast(beta), fold).groupBy(fold).agg(F.count("*").alias("n"), F.avg(((score >= 0).cast("double") != F.col(y)).cast("double")).alias("mae"))

@@ -13,7 +13,7 @@ from ..operators import rescore as RC
 from ..operators import tables as T
 from ..operators import text as TX
 from . import fixtures as FX
-from .queries import _ABL, _ANSWERS, _FEATURES, _HEX, _LINE, _SUB, _W, A, P, TR, _features, _subsets, panel, pred, query
+from .queries import _FEATURES, _HEX, _SUB, _W, ORACLE_SQL, A, P, _features, _subsets, panel, pred, query
 
 #: Features of the battery that an item belongs to, hidden when that item is asked.
 MEMBERS = {"PARTY": ("NATION",), "VIEWS": ("BALANCE", "SEGMENT"), "TRUST": ("SEGMENT",), "HELP": ("BALANCE",)}
@@ -109,7 +109,10 @@ def _(spark, d):
     return RC.databook(panel(spark, d), FX.truth(spark, d), _RATES)
 
 
-@query("ag_multimodel_headline")
+@query("ag_multimodel_headline", f"""{A}, pc AS (SELECT * FROM ({ORACLE_SQL['ag_panel_code']}) z), ag AS (SELECT * FROM ({ORACLE_SQL['ag_agreement']}) z), e AS (SELECT rid, prompt, item, model, err FROM p UNION ALL SELECT pc.rid, prompt, pc.item, 'panel',
+ CASE WHEN ok THEN CASE WHEN fmt = 'binary' OR (fmt = 'contingent' AND (true_code = 7 OR panel_code = 7)) THEN CAST(panel_code <> true_code AS BIGINT) ELSE abs(panel_code - true_code) END / CAST(hi - lo AS DOUBLE) ELSE 1.0 END FROM pc JOIN truth t ON t.rid = pc.rid AND t.item = pc.item),
+ r AS (SELECT model, prompt, round(avg(m), 6) AS respondent_macro FROM (SELECT model, prompt, rid, avg(err) AS m FROM e GROUP BY model, prompt, rid) q GROUP BY model, prompt), i AS (SELECT model, prompt, round(avg(m), 6) AS item_macro FROM (SELECT model, prompt, item, avg(err) AS m FROM e GROUP BY model, prompt, item) q GROUP BY model, prompt)
+ SELECT r.model, r.prompt, respondent_macro, item_macro, pooled, w.n, agreement FROM r JOIN i ON i.model = r.model AND i.prompt = r.prompt JOIN (SELECT model, prompt, round(avg(err), 6) AS pooled, count(*) AS n FROM e GROUP BY model, prompt) w ON w.model = r.model AND w.prompt = r.prompt LEFT JOIN ag ON ag.prompt = r.prompt""")
 def _(spark, d):
     return RC.multimodel_headline(panel(spark, d), FX.MODELS)
 
