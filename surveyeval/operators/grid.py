@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from . import text as TX
 
-# Capitalised words that are no codebook residue.
-CAPITALS = ("USA", "TV", "AIDS", "ID", "GSS", "HTML", "URL")
+#: Capitalised words that are no codebook residue.
+CAPITALS = ("USA", "TV", "AIDS", "ID", "HTML", "URL")
 
 
-def task_grid(truth: DataFrame, conditions: DataFrame, models: list[str], prompt: str, seed: str = "42", panel: bool = False) -> DataFrame:
+def task_grid(truth: DataFrame, conditions: list[str], models: list[str], prompt: str, seed: str = "42", panel: bool = False) -> DataFrame:
     """(rid, item, condition, prompt, model): one hash-dispatched model per respondent, or every model of the panel. No shuffle."""
-    rows = truth.select("rid", "item").crossJoin(F.broadcast(conditions.select("condition"))).withColumn("prompt", F.lit(prompt))  # conditions: a handful of literal rows
+    rows = truth.select("rid", "item", F.explode(F.array(*map(F.lit, conditions))).alias("condition")).withColumn("prompt", F.lit(prompt))
     names = F.array(*map(F.lit, models))
     if panel:
         return rows.withColumn("model", F.explode(names))
