@@ -227,6 +227,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: int | None = None
     """Pairs of members (token, s, n, at, c, parities) of a large group that fit and lie in different components.
 
     With `best`, only each member's likeliest partners: that ties most of a group together before all pairs are asked for.
+    Pairs with the group's leader are left out: `_candidates` had them all verified.
     """
 
     def meet(batches):
@@ -237,11 +238,12 @@ def _cross_pairs(members: DataFrame, num: int, den: int, best: int | None = None
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 order = a + np.lexsort((s[a:b], n[a:b]))
                 gs, gn, ga, gc = s[order], n[order].astype(np.int64), at[order].astype(np.int64), c[order]
+                leader = np.lexsort((gs, ga))[0]  # as in _candidates
                 kinds, count = np.unique(gc, return_counts=True)
                 most = kinds[np.argmax(count)]
-                for i in np.flatnonzero(gc != most).tolist():
+                for i in np.flatnonzero((gc != most) & (np.arange(len(gc)) != leader)).tolist():
                     x = np.arange(np.searchsorted(gn, -(-num * gn[i] // den)), np.searchsorted(gn, den * gn[i] // num, side="right"))
-                    x = x[(gc[x] != gc[i]) & ((gc[x] == most) | (x > i))]
+                    x = x[(gc[x] != gc[i]) & ((gc[x] == most) | (x > i)) & (x != leader)]
                     lo, hi = np.where(gn[x] <= gn[i], x, i), np.where(gn[x] <= gn[i], i, x)
                     apart = sum(np.bitwise_count(b[order[x]] ^ b[order[i]]).astype(np.int64) for b in bits)
                     ok = _fits(gn[lo], ga[lo], gn[hi], ga[hi], num, den) & (apart <= gn[x] + gn[i] - 2 * _need(gn[x], gn[i], num, den))
@@ -351,7 +353,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rest = tied.join(open_groups, "token", "left_semi").join(nodes.select("s", *BITS), "s")
         more = materialize(_cross_pairs(rest, num, den, best).distinct().join(pairs, ["s1", "s2"], "left_anti"), "pairs")
         if not more.limit(1).count():
-            break
+            continue  # the likeliest partners may all be rejected already: only the pass over all pairs ends the search
         held = held or _sets(members.select("s").distinct(), body, k)
         links = links.unionByName(materialize(_verified(more, held, num, den), "links"))
         pairs = pairs.unionByName(more)

@@ -1,9 +1,11 @@
 """The corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
+import random
 import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +84,35 @@ def test_ngram_join(spark, docs, none, group, monkeypatch):
     assert ngram_join.jaccard_groups(none).count() == 0
 
 
+def test_ngram_join_past_rejected_partners(spark, monkeypatch):
+    """In a large group, a member's four likeliest partners were rejected in a small group before; only the fifth links."""
+    monkeypatch.setattr(ngram_join, "GROUP", 8)
+    sets = lambda *texts: ngram_join.shingle_sets(pa.array(texts), 1)
+    least = sorted((f"a{i}" for i in range(2000)), key=lambda w: int(sets(w)[0][0]))
+    rng, late = random.Random(7), least[200:]
+
+    def apart(x, y):
+        a, b = ngram_join.parities(*sets(" ".join(x), " ".join(y))).view("u8")
+        return sum(int(p ^ q).bit_count() for p, q in zip(a, b, strict=True))
+
+    def after(x, y):  # members of one size ask those with a larger set hash
+        s, r = ngram_join.set_hash(*sets(" ".join(x), " ".join(y)))
+        return r > s
+
+    def draw(make, ok):
+        return next(x for x in (make() for _ in range(5000)) if ok(x))
+
+    both = least[2:94]
+    one = [least[0], *both, *late[:7]]
+    link = draw(lambda: [least[1], *both, *rng.sample(late[7:], 7)], lambda x: apart(one, x) == 16)
+    decoys = [draw(lambda: [*rng.sample(both[20:], 63), *both[:20], least[0], *late[:7], *rng.sample(late[7:], 9)], lambda x: apart(one, x) <= 14 and apart(link, x) > 16 and after(one, x)) for _ in range(4)]
+    fill = [draw(lambda: [*both[:20], *rng.sample(both[20:], 70), *link[-7:], *rng.sample(late[7:], 3)], lambda x: min(apart(y, x) for y in [one, *decoys]) > 16) for _ in range(6)]
+    texts = [one, link, *decoys, *fill]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(df, k=1, num=85, den=100).collect()}
+    assert {i for i, c in got.items() if c == 0} == {0, 1, *range(6, 12)} and all(got[i] == i for i in range(2, 6))
+
+
 def test_decontaminate(spark, docs, none):
     bench = spark.createDataFrame([("i1", SPAN, 1), ("i2", "Same Line", 1), ("i3", "", 1), ("i4", None, 1), ("i5", "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 q", 1)], "item_id string, text string, doc_id int")
     words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOW))
