@@ -1,9 +1,9 @@
 """Substring dedup: remove every word inside a window of `w` words that also starts earlier in the corpus.
 
 Windows are found by content-chosen anchors: of the k-grams inside a window, the one with the least hash (leftmost on
-ties) is its anchor, so equal windows have equal anchors.  Map tasks emit one row per anchor with the short hashes of
-the windows it stands for; rows meet by anchor hash, groups stream in sorted order, and every window that has an
-earlier equal one is flagged (96 hash bits decide).  Windows that repeat inside one batch are settled there, so a
+ties) is its anchor, so equal windows have equal anchors.  Map tasks emit one row per anchor with the hashes of the
+windows it stands for; rows meet by anchor hash, groups stream in sorted order, and every window that has an
+earlier equal one on its anchor is flagged (all 64 bits of its own hash decide).  Windows that repeat inside one batch are settled there, so a
 passage that many documents share reaches the shuffle once per batch.
 """
 
@@ -76,8 +76,8 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 x = r[gone]
                 yield emit(mix(doc[x].view(np.uint64) + at[x].astype(np.uint64)), doc[x], at[x], n[gone], pa.nulls(len(x), pa.binary()))
             x, m = r[~gone], n[~gone]
-            short = (key[~late] >> np.uint64(32)).astype("<u4")
-            keys = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.append(0, np.cumsum(m) * 4).astype(np.int32)), pa.py_buffer(short)])
+            whole = key[~late].astype("<u8")
+            keys = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.append(0, np.cumsum(m) * 8).astype(np.int32)), pa.py_buffer(whole)])
             yield emit(grams[anchor[x]], doc[x], at[x], m, keys)
 
     def merge(batches):
@@ -96,11 +96,17 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             if not len(rows):
                 continue
             rows = rows[np.lexsort((at[rows], doc[rows]))]
-            short = np.frombuffer(b"".join(keys.take(pa.array(rows)).to_pylist()), "<u4")
+            key = np.frombuffer(b"".join(keys.take(pa.array(rows)).to_pylist()), "<u8")
             of = np.repeat(rows, n[rows])
             step = np.arange(len(of)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
             start = at[of] + step
-            late = later_copies(mix(a[of].view(np.uint64) ^ mix(short.astype(np.uint64))), doc[of], start)
+            group = np.cumsum(np.append(True, a[1:] != a[:-1]))[of]
+            order = np.lexsort((key, group))
+            new = np.ones(len(of), bool)
+            new[1:] = (group[order][1:] != group[order][:-1]) | (key[order][1:] != key[order][:-1])
+            pair = np.empty(len(of), np.int64)
+            pair[order] = np.cumsum(new)  # a number for each distinct (anchor, window hash)
+            late = later_copies(pair, doc[of], start)
             of, start = of[late], start[late]
             if len(of):
                 begins = np.ones(len(of), bool)

@@ -62,6 +62,17 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_windows(none.drop("n_words"), substring_dedup.repeated_windows(none)).count() == 0
 
 
+def test_substring_dedup_windows_alike_in_32_bits(spark):
+    """Different windows on one anchor whose hashes agree in the upper 32 bits (found by search) are no copies."""
+    head = " ".join(f"p{i}" for i in range(15)) + " q r s t "
+    pairs = [("u67176", "u127830"), ("u70349", "u96816"), ("u5195", "u65449"), ("u177594", "u180071")]
+    rows = [(i, head + u) for i, u in enumerate(x for pair in pairs for x in pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert substring_dedup.repeated_windows(df).count() == 0
+    again = df.union(spark.createDataFrame([(99, rows[3][1])], df.schema))
+    assert [tuple(r) for r in substring_dedup.repeated_windows(again).collect()] == [(99, 0, 1)]
+
+
 @pytest.mark.parametrize("group", [48, 3])
 def test_ngram_join(spark, docs, none, group, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP", group)
