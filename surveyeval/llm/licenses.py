@@ -56,26 +56,52 @@ RULES = [
     ("CC0-1.0", "public domain", ["cc0_ref"]),
     ("proprietary", "restricted", ["all_rights"]),
 ]
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+# Whole normalised sentences of the public texts that go on beyond those above, and the identifiers they stand for.
+WHOLE = {
+    SENTENCES["mit_grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    SENTENCES["as_is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as_is",
+    SENTENCES["apache_full"] + " " + SENTENCES["apache_terms"]: "apache_full apache_terms",
+    _GPL + "either version 3 of the license or at your option any later version": "gpl3_free",
+    _GPL + "either version 2 of the license or at your option any later version": "gpl2_free",
+    SENTENCES["gpl_warranty"] + " without even the implied warranty of merchantability or fitness for a particular purpose": "gpl_warranty",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl_ref",  # "v. " ends a sentence
+}
+WHOLE_RULES = [("GPL-2.0", "copyleft", ["gpl2_free", "gpl_warranty"])]
+#: Ends of sentences that may be wrapped over lines: a mark and white space, a line without letters or digits, the start of a numbered line.
+WRAPPED_BREAK = r"[.!?]+\s+|\n(?:[^A-Za-z0-9\n]*\n)+|\n(?=[^A-Za-z0-9\n]*[0-9]{1,2}[.)]\s)"
 BREAK = r"[.!?]+[ \t]+|\n+"
 NOISE = r"[^a-z0-9]+"
 
 
+def _normal(s: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(s), NOISE, " "))
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences: A-Z lowered, every run of other characters one space."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), NOISE, " ")))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), _normal)
 
 
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] | None = None, rules=None) -> DataFrame:
     """All rows of docs as (doc_id, n_sentences, sentence_ids, licenses, kinds): which licence rules each text satisfies.
 
+    n_sentences counts lines and sentences; a sentence wrapped over lines is looked up as a whole, and line by line where that is not known.
     A rule holds where its identifiers occur in order, anything between them.  licenses and kinds are sorted, distinct and
     joined by '+'.  Null and empty texts have no sentences and no licence; repeated rows each get their row; other columns
     are ignored.
     """
-    known, rules = known or SENTENCES, rules or RULES
-    table = F.create_map(*[F.lit(x) for name, s in known.items() for x in (s, name)])
-    said = docs.select(F.col(doc_id).alias("doc_id"), F.filter(sentences(F.col(text)), lambda s: s != "").alias("said"))
-    said = said.select("doc_id", F.size("said").cast("long").alias("n_sentences"), F.filter(F.transform("said", lambda s: F.element_at(table, s)), lambda x: x.isNotNull()).alias("ids"))
+    table = {s: name for name, s in (known or SENTENCES).items()} | ({} if known else WHOLE)
+    rules = rules or RULES + WHOLE_RULES
+    table = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    body = F.coalesce(F.col(text), F.lit(""))
+    look = lambda s: F.element_at(table, s)
+    said = docs.select(
+        F.col(doc_id).alias("doc_id"), F.size(F.filter(sentences(body), lambda s: s != "")).cast("long").alias("n_sentences"),
+        F.transform(F.split(body, WRAPPED_BREAK), lambda s: F.struct(look(_normal(s)).alias("whole"), s.alias("s"))).alias("said"),
+    )
+    ids = F.transform("said", lambda p: F.when(p["whole"].isNotNull(), F.array(p["whole"])).otherwise(F.array_compact(F.transform(sentences(p["s"]), look))))
+    said = said.select("doc_id", "n_sentences", F.flatten(ids).alias("ids"))
     said = said.withColumn("sentence_ids", F.concat_ws(" ", "ids"))
 
     def met(ids: list[str]) -> Column:
