@@ -1,11 +1,16 @@
 """N-gram Jaccard join: exact set-similarity links between documents by a grouped prefix join, and their components.
 
-A document is the set of its distinct k-word shingles.  Documents with equal sets are one *node* (the strictest group:
-same size and same prefix), so copies are never expanded.  Shingles have one global order: rare ones by hash, then the
-frequent ones.  Two sets with Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1; nodes
-meet by those, groups of the same (shingle, size) are filtered by size and position, and only then the members are
-verified on their whole sets.  Groups larger than `GROUP` are first tied to one leader; afterwards only pairs that are not
-yet in one component are compared, so large groups of near copies cost one check per member and no link is lost.
+A document is the set of its distinct k-word shingles; documents with equal sets are one *node*.  Shingles have one global
+order, rare ones by hash and then the frequent ones by frequency, so a prefix holds what is peculiar to a text.  Two sets with
+Jaccard similarity t or more share a shingle among their first n - ceil(t n) + 1.  Nodes with identical prefix and size
+are one *group*; groups meet by the shingles of their prefix, group pairs are filtered by size and position, and the
+pairs left are expanded to their members, which are verified on their whole sets.
+
+Where many nodes meet (a crowd: over `GROUP` groups at one shingle, or a group or a pair of groups with many members), no
+list of all pairs is made: every member is first verified against one leader, then the members outside the crowd's largest
+component are joined with all others they are not yet connected to, in a Spark join whose hot keys AQE splits.  No pair
+that could add a link is left out, so components are exact up to collisions of the 63-bit shingle hashes (48 bits of them are
+compared inside a pair of sets).
 """
 
 from __future__ import annotations
@@ -16,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, mix, ngrams, slices, sorted_chunks, utf8, word_hash, words
-from .shared import components, materialize
+from .shared import Scratch, components, materialize
 
-#: Shingles in this many documents or more come last in the global order (at most HOT_KEYS of them, the most frequent first).
-HOT, HOT_KEYS = 64, 2_000_000
-#: Nodes that share a shingle are paired directly up to this many; larger groups get a leader first.
+#: Shingles in this many documents or more come last in the global order (at most HOT_KEYS of them, the most frequent ones).
+HOT, HOT_KEYS = 8, 2_000_000
+#: Groups that share a shingle are paired directly up to this many; more are a crowd and get a leader first.
 GROUP = 48
+#: A shingle of about this many documents or more is always a crowd, and its rows are dealt over many tasks.
+SPLIT = 50_000
 #: Bits of the filter of nodes that have a candidate; fixed, so its broadcast is at most 4 MB.
 FILTER_BITS = 1 << 25
 BITS = ["b0", "b1", "b2", "b3"]
@@ -76,7 +83,11 @@ def _need(n1, n2, num, den):
 
 
 def _nodes(docs: DataFrame, k: int, ranges: int) -> DataFrame:
-    """(doc, s, n, parities) of every document and, beside, the sorted shingles of each batch's distinct sets, cut into hash ranges."""
+    """(doc, rid, s, n, parities) of every document and, beside, shingles to count, cut into hash ranges.
+
+    Counted are all shingles of the low three eighths of the hash space (prefixes hold the least hashes) and, of the
+    others, those that repeat inside a batch: a shingle of many documents does.
+    """
 
     def local(batches):
         for batch in slices(batches, "body"):
@@ -84,13 +95,17 @@ def _nodes(docs: DataFrame, k: int, ranges: int) -> DataFrame:
             s, n = set_hash(token, edges), np.diff(edges)
             empty = pa.nulls(len(s), pa.binary())
             bits = [pa.array(np.ascontiguousarray(c)) for c in parities(token, edges).T]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(s), pa.array(n.astype(np.int64)), *bits, pa.nulls(len(s), pa.int32()), empty], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rid"), pa.array(s), pa.array(n.astype(np.int64)), *bits, pa.nulls(len(s), pa.int32()), empty], names)
             one = np.zeros(len(s), bool)
             one[np.unique(s, return_index=True)[1]] = True
-            held = np.sort(token[np.repeat(one, n) & (token < _COUNTED)] >> np.uint64(23))
+            held = np.sort(token[np.repeat(one, n)] >> np.uint64(23))
+            again = held < (_COUNTED >> np.uint64(23))
+            again[1:] |= held[1:] == held[:-1]
+            again[:-1] |= held[1:] == held[:-1]
+            held = held[again]
             if not len(held):
                 continue
-            r = (held * np.uint64(ranges) // np.uint64(3 << 37)).astype(np.int64)
+            r = (held * np.uint64(ranges) >> np.uint64(40)).astype(np.int64)
             at = np.searchsorted(r, np.arange(ranges + 1))
             rows, keys = [], []
             for x in range(ranges):
@@ -99,14 +114,14 @@ def _nodes(docs: DataFrame, k: int, ranges: int) -> DataFrame:
                     rows.append(x)
                     keys.append(np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes())
             m = len(rows)
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 7, pa.array(rows, pa.int32()), pa.array(keys, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 8, pa.array(rows, pa.int32()), pa.array(keys, pa.binary())], names)
 
-    names = ["doc", "s", "n", *BITS, "r", "keys"]
-    return docs.mapInArrow(local, "doc long, s long, n long, b0 long, b1 long, b2 long, b3 long, r int, keys binary")
+    names = ["doc", "rid", "s", "n", *BITS, "r", "keys"]
+    return docs.mapInArrow(local, "doc long, rid long, s long, n long, b0 long, b1 long, b2 long, b3 long, r int, keys binary")
 
 
-def _frequent(parts: DataFrame) -> np.ndarray:
-    """The frequent shingles' 40-bit keys, sorted: at most HOT_KEYS of them, whatever the input."""
+def _frequent(parts: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles' 40-bit keys, sorted, and a class of their counts (8 to each doubling): at most HOT_KEYS, whatever the input."""
 
     def count(batches):
         for table in sorted_chunks(batches, "r", 2000):
@@ -121,40 +136,58 @@ def _frequent(parts: DataFrame) -> np.ndarray:
                 hot = n >= HOT
                 yield pa.RecordBatch.from_arrays([pa.array(key[hot].astype(np.int64)), pa.array(n[hot])], ["key", "n"])
 
-    hot = parts.repartition("r").sortWithinPartitions("r").mapInArrow(count, "key long, n long")
-    hot = materialize(hot, "frequent")
+    hot = scratch.save(parts.repartition("r").sortWithinPartitions("r").mapInArrow(count, "key long, n long"), "frequent")
     if hot.count() > HOT_KEYS:
         hot = hot.orderBy(F.desc("n"), "key").limit(HOT_KEYS)
-    return np.sort(hot.select("key").toPandas()["key"].to_numpy(np.int64)).astype(np.uint64)
+    found = hot.select("key", F.least(F.lit(255), F.round(8 * F.log2("n"))).cast("short").alias("c")).toPandas().sort_values("key")
+    return found["key"].to_numpy(np.int64).astype(np.uint64), found["c"].to_numpy(np.uint8)
 
 
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
-    """(token, s, n, at): the shingles in each node's prefix."""
+    """(key, g, n, at, s): each group's prefix shingles (s null), dealt by shingle, and its nodes s (at = -1), dealt by group.
+
+    A group g is a hash of prefix and size.  Rows of shingles of SPLIT documents or more are dealt by shingle and group, with at -2 - place.
+    """
+    split = round(8 * np.log2(SPLIT))
 
     def local(batches):
-        hot = frequent.value
+        hot, kind = frequent.value
+        seen = np.zeros(1 << 20, bool)
+        seen[hot >> np.uint64(20)] = True
         for batch in slices(batches, "body"):
             token, edges = shingle_sets(batch.column("body"), k)
             s, n = set_hash(token, edges), np.diff(edges)
             one = np.zeros(len(s), bool)
             one[np.unique(s, return_index=True)[1]] = True
             one &= n > 0
+            rank = np.zeros(len(token), np.uint8)
             if len(hot):
-                near = token < _COUNTED
+                near = np.flatnonzero(seen[token >> np.uint64(43)])
                 key = token[near] >> np.uint64(23)
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                back = np.zeros(len(token), bool)
-                back[near] = hot[at] == key
+                rank[near] = np.where(hot[at] == key, kind[at], 0)
                 row = np.repeat(np.arange(len(n)), n)
-                for x in np.unique(row[back]).tolist():
-                    a, b = edges[x], edges[x + 1]
-                    token[a:b] = np.concatenate([token[a:b][~back[a:b]], token[a:b][back[a:b]]])
+                order = np.argsort(row * 256 + rank, kind="stable")
+                token, rank = token[order], rank[order]
             length = np.where(one, n - (num * n + den - 1) // den + 1, 0)
             of = np.repeat(np.arange(len(n)), length)
-            at = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-            yield pa.RecordBatch.from_arrays([pa.array(token[edges[of] + at].astype(np.int64)), pa.array(s[of]), pa.array(n[of].astype(np.int32)), pa.array(at.astype(np.int32))], ["token", "s", "n", "at"])
-
-    return docs.select("body").mapInArrow(local, "token long, s long, n int, at int")
+            first = np.cumsum(length) - length
+            at = np.arange(len(of)) - np.repeat(first, length)
+            place = edges[of] + at
+            total = np.append(np.uint64(0), np.cumsum(mix(token[place] ^ np.uint64(0x1F83D9AB)), dtype=np.uint64))
+            g = mix((total[first + length] - total[first]) ^ mix(n.astype(np.uint64))).view(np.int64)
+            new = np.zeros(len(g), bool)
+            new[np.flatnonzero(one)[np.unique(g[one], return_index=True)[1]]] = True
+            row = new[of]
+            of, at, place = of[row], at[row], place[row]
+            crowd = rank[place] >= split
+            key = np.where(crowd, mix(token[place] ^ g[of].view(np.uint64)), token[place]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(g[of]), pa.array(n[of].astype(np.int32)), pa.array(np.where(crowd, -2 - at, at).astype(np.int32)), pa.array(np.where(crowd, token[place].view(np.int64), 0), mask=~crowd)], names)
+            x = np.flatnonzero(one)
+            yield pa.RecordBatch.from_arrays([pa.array(g[x]), pa.array(g[x]), pa.array(n[x].astype(np.int32)), pa.array(np.full(len(x), -1, np.int32)), pa.array(s[x])], names)
+
+    names = ["key", "g", "n", "at", "s"]
+    return docs.select("body").mapInArrow(local, "key long, g long, n int, at int, s long")
 
 
 def _fits(n1, at1, n2, at2, num, den):
@@ -163,97 +196,92 @@ def _fits(n1, at1, n2, at2, num, den):
 
 
 def _candidates(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (s1, s2) from groups of up to GROUP nodes; leader pairs and the members (token not null) of larger groups."""
-
-    def unique_pairs(s1, s2):
-        lo, hi = np.minimum(s1, s2), np.maximum(s1, s2)
-        order = np.lexsort((hi, lo))
-        lo, hi = lo[order], hi[order]
-        new = np.ones(len(lo), bool)
-        new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        lo, hi = lo[new], hi[new]
-        none = pa.nulls(len(lo), pa.int64())
-        few = pa.nulls(len(lo), pa.int32())
-        return pa.RecordBatch.from_arrays([none, pa.array(lo), pa.array(hi), few, few], ["token", "s1", "s2", "n", "at"])
+    """(token, g, h, n, at): fitting pairs of groups (token null), rows of crowds (h null), and nodes h of groups (at = -1)."""
+
+    def rows(token, g, h, n, at):
+        empty = lambda x, kind: pa.nulls(len(g), kind) if x is None else pa.array(x)
+        return pa.RecordBatch.from_arrays([empty(token, pa.int64()), pa.array(g), empty(h, pa.int64()), empty(n, pa.int32()), empty(at, pa.int32())], ["token", "g", "h", "n", "at"])
 
     def meet(batches):
-        for table in sorted_chunks(batches, "token"):
-            token, s, n, at = (table.column(c).to_numpy() for c in ("token", "s", "n", "at"))
-            same = np.zeros(len(token), bool)
-            same[1:] = token[1:] == token[:-1]
-            same[:-1] |= same[1:]
-            x = np.flatnonzero(same)
-            if not len(x):
-                continue
-            x = x[np.lexsort((s[x], n[x], token[x]))]
-            token, s, n, at = token[x], s[x], n[x].astype(np.int64), at[x].astype(np.int64)
-            new = np.ones(len(x), bool)
-            new[1:] = (token[1:] != token[:-1]) | (s[1:] != s[:-1])
-            token, s, n, at = token[new], s[new], n[new], at[new]
-            begin = np.ones(len(s), bool)
-            begin[1:] = token[1:] != token[:-1]
-            group = np.cumsum(begin) - 1
-            size = np.bincount(group)[group]
+        for table in sorted_chunks(batches, "key"):
+            token, g, n, at = (table.column(c).to_numpy() for c in ("key", "g", "n", "at"))
+            s = table.column("s").fill_null(0).to_numpy()
+            order = np.lexsort((s, g, n, at < 0, token))
+            token, g, n, at, s = token[order], g[order], n[order], at[order], s[order]
+            new = np.ones(len(g), bool)
+            new[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1]) | (s[1:] != s[:-1]) | (at[1:] != at[:-1])
+            token, g, n, at, s = token[new], g[new], n[new], at[new], s[new]
+            x = np.flatnonzero(at == -1)
+            if len(x):
+                yield rows(None, g[x], s[x], n[x], at[x])
+            x = np.flatnonzero(at < -1)
+            if len(x):
+                yield rows(s[x], g[x], None, n[x], -2 - at[x])
+            x = np.flatnonzero(at >= 0)
+            token, g, n, at = token[x], g[x], n[x].astype(np.int64), at[x].astype(np.int64)
+            group = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1 if len(x) else x
+            size = np.bincount(group)[group] if len(x) else x
             lo, hi = [], []
-            small = np.flatnonzero(size <= GROUP)
+            small = np.flatnonzero((size <= GROUP) & (size > 1))
             for d in range(1, GROUP):
-                i = small[: len(small) - d] if len(small) > d else small[:0]
-                j = small[d:]
+                i, j = small[:-d], small[d:]
                 ok = group[i] == group[j]
                 if not ok.any():
                     break
                 i, j = i[ok], j[ok]
                 ok = _fits(n[i], at[i], n[j], at[j], num, den)
-                lo.append(s[i[ok]])
-                hi.append(s[j[ok]])
+                lo.append(np.minimum(g[i[ok]], g[j[ok]]))
+                hi.append(np.maximum(g[i[ok]], g[j[ok]]))
             large = np.flatnonzero(size > GROUP)
             if len(large):
-                yield pa.RecordBatch.from_arrays([pa.array(token[large]), pa.array(s[large]), pa.nulls(len(large), pa.int64()), pa.array(n[large].astype(np.int32)), pa.array(at[large].astype(np.int32))], ["token", "s1", "s2", "n", "at"])
-                for g in np.unique(group[large]).tolist():
-                    i = large[group[large] == g]
-                    leader = i[np.lexsort((s[i], at[i]))[0]]  # fewest rare shingles before this one: the likeliest original
-                    i = i[i != leader]
-                    small_n, big_n = np.minimum(n[i], n[leader]), np.maximum(n[i], n[leader])
-                    i = i[den * small_n >= num * big_n]
-                    lo.append(s[i])
-                    hi.append(np.full(len(i), s[leader]))
+                yield rows(token[large], g[large], None, n[large].astype(np.int32), at[large].astype(np.int32))
             if sum(map(len, lo)):
-                yield unique_pairs(np.concatenate(lo), np.concatenate(hi))
-
-    return prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "token long, s1 long, s2 long, n int, at int")
-
-
-def _cross_pairs(members: DataFrame, num: int, den: int, best: int | None = None) -> DataFrame:
-    """Pairs of members (token, s, n, at, c, parities) of a large group that fit and lie in different components.
-
-    With `best`, only each member's likeliest partners: that ties most of a group together before all pairs are asked for.
-    Pairs with the group's leader are left out: `_candidates` had them all verified.
-    """
-
-    def meet(batches):
-        for table in sorted_chunks(batches, "token"):
-            token, s, n, at, c = (table.column(x).to_numpy() for x in ("token", "s", "n", "at", "c"))
-            bits = [table.column(x).to_numpy().view(np.uint64) for x in BITS]
-            edges = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                order = a + np.lexsort((s[a:b], n[a:b]))
-                gs, gn, ga, gc = s[order], n[order].astype(np.int64), at[order].astype(np.int64), c[order]
-                leader = np.lexsort((gs, ga))[0]  # as in _candidates
-                kinds, count = np.unique(gc, return_counts=True)
-                most = kinds[np.argmax(count)]
-                for i in np.flatnonzero((gc != most) & (np.arange(len(gc)) != leader)).tolist():
-                    x = np.arange(np.searchsorted(gn, -(-num * gn[i] // den)), np.searchsorted(gn, den * gn[i] // num, side="right"))
-                    x = x[(gc[x] != gc[i]) & ((gc[x] == most) | (x > i)) & (x != leader)]
-                    lo, hi = np.where(gn[x] <= gn[i], x, i), np.where(gn[x] <= gn[i], i, x)
-                    apart = sum(np.bitwise_count(b[order[x]] ^ b[order[i]]).astype(np.int64) for b in bits)
-                    ok = _fits(gn[lo], ga[lo], gn[hi], ga[hi], num, den) & (apart <= gn[x] + gn[i] - 2 * _need(gn[x], gn[i], num, den))
-                    if best is not None and ok.sum() > best:
-                        ok[np.flatnonzero(ok)[np.argsort(apart[ok], kind="stable")[best:]]] = False
-                    if ok.any():
-                        p, q = gs[lo[ok]], gs[hi[ok]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["s1", "s2"])
-
-    return members.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "s1 long, s2 long")
+                lo, hi = np.concatenate(lo), np.concatenate(hi)
+                order = np.lexsort((hi, lo))
+                lo, hi = lo[order], hi[order]
+                new = np.ones(len(lo), bool)
+                new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+                yield rows(None, lo[new], hi[new], None, None)
+
+    return prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "token long, g long, h long, n int, at int")
+
+
+def _expanded(found: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs of nodes (s1, s2) of the paired groups, and crowds as (token, s, n, at): those found, large groups, large pairs of groups."""
+    belong = found.where("at = -1").select("g", F.col("h").alias("s"), "n").distinct()
+    belong = scratch.save(belong, "belong")
+    sizes = scratch.save(belong.groupBy("g").agg(F.count("*").alias("m")).where("m > 1"), "groups")
+    size = lambda c: sizes.select(F.col("g").alias(c), F.col("m").alias(f"m_{c}"))
+    pairs = found.where("token is null and n is null").select("g", "h").distinct().join(size("g"), "g", "left").join(size("h"), "h", "left").fillna(1, ["m_g", "m_h"])
+    pairs = scratch.save(pairs.select("g", "h", (F.col("m_g") * F.col("m_h") > GROUP).alias("large")), "pairs")
+    nodes = lambda c, s: belong.select(F.col("g").alias(c), F.col("s").alias(s))
+    direct = pairs.where("not large").join(nodes("g", "x"), "g").join(nodes("h", "y"), "h").select(F.least("x", "y").alias("s1"), F.greatest("x", "y").alias("s2"))
+    both = pairs.where("large").select(F.xxhash64("g", "h").alias("token"), F.explode(F.array("g", "h")).alias("g"))
+    crowds = found.where("token is not null").select("token", "g", "at")
+    crowds = crowds.unionByName(both.withColumn("at", F.lit(0))).unionByName(sizes.select(F.col("g").alias("token"), "g", F.lit(0).alias("at")))
+    return direct, crowds.join(belong, "g").select("token", "s", "n", "at")
+
+
+def _across(members: DataFrame, comp: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """(s1, s2, apart): nodes of one crowd that fit and lie in different components, one of them outside the crowd's largest component."""
+    tied = members.join(comp.withColumnRenamed("node", "s"), "s", "left").withColumn("c", F.coalesce("component", "s")).drop("component")
+    kinds = tied.groupBy("token", "c").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("kinds"))
+    tied = tied.join(kinds.where("kinds > 1").select("token", "most"), "token").join(nodes.select("s", *BITS), "s")
+    side = lambda i: [F.col(c).alias(f"{c}{i}") for c in ("s", "n", "at", "c", *BITS)]
+    odd = tied.where("c <> most").select("token", *side(1))
+    rest = tied.select("token", (F.col("c") == F.col("most")).alias("main"), *side(2))
+    apart = sum((F.bit_count(F.col(f"{b}1").bitwiseXOR(F.col(f"{b}2"))) for b in BITS[1:]), F.bit_count(F.col("b01").bitwiseXOR(F.col("b02"))))
+    n1, n2 = F.col("n1").cast("long"), F.col("n2").cast("long")
+    need = _least_shared(n1 + n2, num, den)
+    fit = (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & (F.least(n1 - F.col("at1"), n2 - F.col("at2")) >= need) & (apart <= n1 + n2 - 2 * need)
+    met = odd.join(rest, (odd["token"] == rest["token"]) & (F.col("c1") != F.col("c2")) & (F.col("main") | (F.col("s1") < F.col("s2"))) & fit)
+    return met.groupBy(F.least("s1", "s2").alias("s1"), F.greatest("s1", "s2").alias("s2")).agg(F.min(apart).alias("apart"))
+
+
+def _least_shared(total, num: int, den: int):
+    """`_need` of sets with `total` members together, as a column: an exact quotient, rounded up."""
+    up = num * total + (den + num - 1)
+    return (up - F.pmod(up, F.lit(den + num))) / (den + num)
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -262,11 +290,11 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     both = pairs.distinct().join(side(1), "s1").join(side(2), "s2")
     apart = sum((F.bit_count(F.col(f"{b}_1").bitwiseXOR(F.col(f"{b}_2"))) for b in BITS[1:]), F.bit_count(F.col("b0_1").bitwiseXOR(F.col("b0_2"))))
     total = F.col("n1") + F.col("n2")
-    need = (num * total + (den + num - 1) - F.pmod(num * total + (den + num - 1), F.lit(den + num))) / (den + num)  # an exact quotient
+    need = _least_shared(total, num, den)
     return both.where(apart <= total - 2 * need).select("s1", "s2")
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _sets(wanted: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(s, held): the whole sets of the wanted nodes (s), and of a few more that share their filter bits."""
     spark = docs.sparkSession
     ends = wanted.select(F.pmod("s", F.lit(FILTER_BITS)).alias("x")).distinct()
@@ -292,7 +320,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             held = [short[edges[i] : edges[i + 1]].tobytes() for i in take.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(s[take]), pa.array(held, pa.binary())], ["s", "held"])
 
-    return materialize(docs.select("body").mapInArrow(sets, "s long, held binary").dropDuplicates(["s"]), "sets")
+    return scratch.save(docs.select("body").mapInArrow(sets, "s long, held binary").dropDuplicates(["s"]), "sets")
 
 
 def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
@@ -322,53 +350,59 @@ def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFram
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity num/den or more).
+    """Per row of `docs`: doc_id, rid, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity num/den or more).
 
     A-Z are lowered; words are runs of bytes other than ASCII white space; texts of fewer than k words have one shingle, their
-    whole sequence; texts without words (or null) have none and link with nothing.  Equal sets always link.  Rows with
-    a null doc_id are reported with a null component; repeated rows are reported as often as they come.  Other columns
-    are ignored; an empty table gives an empty result.
+    whole sequence; texts without words (or null) have none and link with nothing.  Equal sets always link.  A null doc_id
+    never names a component: such rows take the smallest other doc_id, and null if there is none.  rid is a hash of doc_id
+    and text; repeated rows are reported as often as they come.  A very long text is one row and one set in memory.  Other columns, of whatever names, are
+    ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    body = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    scratch = Scratch(spark)
+    body = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     ranges = 64
-    while ranges < 4096 and ranges * 16_000 < docs.count():
+    count = docs.count()
+    while ranges < 4096 and ranges * 16_000 < count:
         ranges *= 2
-    made = materialize(_nodes(body, k, ranges), "nodes")
-    docs_nodes = made.where("r is null").select("doc", "s", "n")
+    made = scratch.save(_nodes(body, k, ranges), "nodes")
+    rows = made.where("r is null").select("doc", "rid", "s", "n")
     nodes = made.where("r is null and n > 0").groupBy("s").agg(F.min("doc").alias("least"), F.first("n").alias("n"), *[F.first(b).alias(b) for b in BITS])
-    nodes = materialize(nodes, "sets")
-    frequent = spark.sparkContext.broadcast(_frequent(made.where("r is not null").select("r", "keys")))
-    found = materialize(_candidates(_prefixes(body, k, num, den, frequent), num, den), "candidates")
-    pairs = materialize(_near(found.where("s2 is not null").select("s1", "s2"), nodes, num, den), "pairs")
+    nodes = scratch.save(nodes, "distinct")
+    frequent = spark.sparkContext.broadcast(_frequent(made.where("r is not null").select("r", "keys"), scratch))
+    found = scratch.save(_candidates(_prefixes(body, k, num, den, frequent), num, den), "candidates")
+    direct, members = _expanded(found, scratch)
+    members = scratch.save(members, "members")
+    leaders = members.groupBy("token").agg(F.min(F.struct("at", "s", "n")).alias("first"))  # fewest peculiar shingles before this one: the likeliest original
+    led = members.join(leaders, "token").where("s <> first.s").where(den * F.least("n", "first.n") >= num * F.greatest("n", "first.n"))
+    led = led.select(F.least("s", "first.s").alias("s1"), F.greatest("s", "first.s").alias("s2"))
+    pairs = scratch.save(_near(direct.unionByName(led), nodes, num, den), "near")
     ends = pairs.select(F.col("s1").alias("s")).union(pairs.select("s2"))
-    links = materialize(_verified(pairs, _sets(ends, body, k), num, den), "links")
-    members = found.where("s2 is null").select("token", F.col("s1").alias("s"), "n", "at")
-    comp = components(links, "s1", "s2")
-    held = None
-    for best in (4, None):
-        tied = members.join(comp.withColumnRenamed("node", "s"), "s", "left").select("token", "s", "n", "at", F.coalesce("component", "s").alias("c"))
-        tied = materialize(tied, "members")
-        open_groups = tied.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-        rest = tied.join(open_groups, "token", "left_semi").join(nodes.select("s", *BITS), "s")
-        more = materialize(_cross_pairs(rest, num, den, best).distinct().join(pairs, ["s1", "s2"], "left_anti"), "pairs")
+    links = scratch.save(_verified(pairs, _sets(ends, body, k, scratch), num, den), "links")
+    comp = components(links, "s1", "s2", scratch)
+    for likeliest in (True, False):  # only the second pass, over all pairs, ends the search
+        more = _across(members, comp, nodes, num, den).join(pairs, ["s1", "s2"], "left_anti")
+        if likeliest:
+            more = more.groupBy("s1").agg(F.min_by("s2", F.struct("apart", "s2")).alias("s2"))
+        more = scratch.save(more.select("s1", "s2"), "more")
         if not more.limit(1).count():
-            continue  # the likeliest partners may all be rejected already: only the pass over all pairs ends the search
-        held = held or _sets(members.select("s").distinct(), body, k)
-        links = links.unionByName(materialize(_verified(more, held, num, den), "links"))
+            break  # nothing is left to compare
+        ends = more.select(F.col("s1").alias("s")).union(more.select("s2"))
+        new = scratch.save(_verified(more, _sets(ends, body, k, scratch), num, den), "links")
         pairs = pairs.unionByName(more)
-        comp = components(links, "s1", "s2")
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            comp = components(links, "s1", "s2", scratch)
     tied = nodes.join(comp.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("component", "s").alias("c"))
-    tied = materialize(tied, "tied")
+    tied = scratch.save(tied, "tied")
     roots = tied.groupBy("c").agg(F.min("least").alias("root"))
     ids = tied.join(roots, "c").select("s", "root")
-    return docs_nodes.join(ids, "s", "left").select(
-        F.col("doc").alias("doc_id"),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc").isNotNull(), F.col("root"))).otherwise(F.col("doc")).alias("component_id"),
-    )
+    out = rows.join(ids, "s", "left").select(F.col("doc").alias("doc_id"), "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc")).alias("component_id"))
+    out = materialize(out, "components")
+    scratch.clear()
+    return out
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_groups(docs, k=4, num=85, den=100)
+    return jaccard_groups(docs, k=4, num=85, den=100).drop("rid")

@@ -31,41 +31,56 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared folder; `clear` deletes them once the job's result is written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def save(self, df: DataFrame, name: str = "step") -> DataFrame:
+        path = f"{shared_folder(self.spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.paths = []
+
+
 def join_small(left: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with a table that is usually small: broadcast it behind a count, else leave the plan to Spark (AQE splits skew)."""
     count = small.limit(BROADCAST_ROWS + 1).count() if rows is None else rows
     return left.join(F.broadcast(small) if count <= BROADCAST_ROWS else small, on, how)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """Connected components of links (a, b) of longs: rows (node, component) with the smallest node reachable.
 
     Minimum labels with pointer jumping: each round takes the least label among neighbours, then the label of that
     label, so long chains shorten by doubling.  Every round is written to the shared folder; only a count of changed
-    rows reaches the driver.  Nodes without links do not appear; an empty input gives an empty result.
+    rows reaches the driver.  It ends when no label changes.  Nodes without links do not appear; an empty input gives an empty result.
     """
+    own = scratch or Scratch(links.sparkSession)
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialize(edges.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("label")), "labels")
-    for _ in range(rounds):
-        least = (
-            edges.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy("u")
-            .agg(F.min("label").alias("least"))
-        )
-        step = labels.join(least, labels["node"] == least["u"], "left").select(
-            "node", "label", F.least("label", F.coalesce("least", "label")).alias("next")
-        )
-        step = materialize(step, "step")
+    edges = own.save(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    labels = own.save(edges.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("label")), "labels")
+    while True:
+        least = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("least"))
+        step = labels.join(least, labels["node"] == least["u"], "left").select("node", "label", F.least("label", F.coalesce("least", "label")).alias("next"))
+        step = own.save(step, "step")
         jump = step.select(F.col("node").alias("at"), F.col("next").alias("jump"))
-        step = materialize(
-            step.join(jump, step["next"] == jump["at"], "left").select(
-                "node", "label", F.least("next", F.coalesce("jump", "next")).alias("next")
-            ),
-            "labels",
-        )
+        step = step.join(jump, step["next"] == jump["at"], "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next"))
+        step = own.save(step, "labels")
         changed = step.where("label <> next").limit(1).count()
         labels = step.select("node", F.col("next").alias("label"))
         if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+            break
+    out = labels.select("node", F.col("label").alias("component"))
+    if scratch is None:
+        out = materialize(out, "components")
+        own.clear()
+    return out

@@ -73,11 +73,17 @@ def test_substring_dedup_windows_alike_in_32_bits(spark):
     assert [tuple(r) for r in substring_dedup.repeated_windows(again).collect()] == [(99, 0, 1)]
 
 
-@pytest.mark.parametrize("group", [48, 3])
-def test_ngram_join(spark, docs, none, group, monkeypatch):
+@pytest.mark.parametrize(("group", "hot", "split"), [(48, 8, 50_000), (3, 8, 50_000), (3, 2, 4)])
+def test_ngram_join(spark, docs, none, group, hot, split, monkeypatch):
+    """Against brute force; small limits send the same documents through leaders, crowds dealt over tasks and large pairs of groups."""
     monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     base = [f"v{i}" for i in range(60)]
     near = [(100 + i, " ".join([*base[:i], f"z{i}", *base[i + 1 :]]), "s", 0, 0, 0) for i in range(0, 60, 5)]
+    near += [(300 + i, " ".join([*base[:40], *[f"y{i}.{j}" for j in range(i)]]), "s", 0, 0, 0) for i in range(12)]
+    rng = random.Random(3)
+    near += [(400 + i, " ".join(f"k{x}" for x in range(120) if rng.random() > i / 100), "s", 0, 0, 0) for i in range(30)]
     df = docs.unionByName(spark.createDataFrame(near, SCHEMA))
     texts = [(t[0], t[1]) for t in [*TEXTS, *near]]
     sets = {}
@@ -95,6 +101,29 @@ def test_ngram_join(spark, docs, none, group, monkeypatch):
     assert ngram_join.jaccard_groups(none).count() == 0
 
 
+def test_ngram_join_groups_of_one_prefix(spark, monkeypatch):
+    """Sets of one prefix and size are one group: members that are alike link, and groups meet their neighbours, whatever the number of members."""
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    tokens = lambda words: ngram_join.shingle_sets(pa.array([" ".join(words)]), 1)[0]
+    order = sorted((f"a{i}" for i in range(400)), key=lambda w: int(tokens([w])[0]))
+    head, tails = order[:16], order[16:]
+    sets = [[*head, *tails[i : i + 84]] for i in range(0, 300, 4)] + [[*head, *tails[i : i + 80]] for i in range(0, 300, 10)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(sets)], "doc_id long, text string")
+    comp = {i: i for i in range(len(sets))}
+    for _ in range(80):
+        before = dict(comp)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                both = len(set(x) & set(y))
+                if 100 * both >= 85 * (len(x) + len(y) - both):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == before:
+            break
+    rows = ngram_join.jaccard_groups(df.unionByName(df.where("doc_id < 5").withColumn("doc_id", F.lit(None).cast("long"))), k=1, num=85, den=100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == comp
+    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [0] * 5
+
+
 def test_ngram_join_past_rejected_partners(spark, monkeypatch):
     """In a large group, a member's four likeliest partners were rejected in a small group before; only the fifth links."""
     monkeypatch.setattr(ngram_join, "GROUP", 8)
