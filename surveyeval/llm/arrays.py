@@ -140,3 +140,38 @@ def sorted_chunks(batches: Iterator[pa.RecordBatch], key: str, size: int = 200_0
             held, rows = table.to_batches(), table.num_rows
     if held:
         yield pa.Table.from_batches(held)
+
+
+def sorted_pieces(batches: Iterator[pa.RecordBatch], key: str, size: int = 200_000) -> Iterator[tuple[pa.Table, bool]]:
+    """Like `sorted_chunks`, but a group of more than about `size` rows comes in several pieces; the flag tells whether a piece holds whole groups."""
+    held: list[pa.RecordBatch] = []
+    rows, open_key = 0, None
+
+    def ready(table: pa.Table, last: bool):
+        nonlocal held, rows, open_key
+        keys = table.column(key).to_numpy()
+        if open_key is not None:
+            cut = int(np.searchsorted(keys, open_key, side="right"))
+            if cut:
+                yield table.slice(0, cut), False
+                table, keys = table.slice(cut), keys[cut:]
+            if len(keys) or last:
+                open_key = None
+        cut = len(keys) if last or not len(keys) else int(np.searchsorted(keys, keys[-1], side="left"))
+        if cut:
+            yield table.slice(0, cut), True
+            table, keys = table.slice(cut), keys[cut:]
+        if len(keys) >= size:
+            open_key = keys[-1]
+            yield table, False
+            table = table.slice(len(keys))
+        held, rows = table.to_batches(), table.num_rows
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= size:
+                yield from ready(pa.Table.from_batches(held), False)
+    if held:
+        yield from ready(pa.Table.from_batches(held), True)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, mix, ngrams, slices, sorted_chunks, utf8, word_hash, words
-from .shared import Scratch, components, materialize
+from .shared import Scratch, bit_filter, components, materialize, passes
 
 #: Shingles in this many documents or more come last in the global order (at most HOT_KEYS of them, the most frequent ones).
 HOT, HOT_KEYS = 8, 2_000_000
@@ -29,8 +29,6 @@ HOT, HOT_KEYS = 8, 2_000_000
 GROUP = 48
 #: A shingle of about this many documents or more is always a crowd, and its rows are dealt over many tasks.
 SPLIT = 50_000
-#: Bits of the filter of nodes that have a candidate; fixed, so its broadcast is at most 4 MB.
-FILTER_BITS = 1 << 25
 BITS = ["b0", "b1", "b2", "b3"]
 _COUNTED = np.uint64(3 << 60)  # three eighths of the 63-bit hash space: prefixes hold the least hashes
 
@@ -296,26 +294,16 @@ def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 def _sets(wanted: DataFrame, docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(s, held): the whole sets of the wanted nodes (s), and of a few more that share their filter bits."""
-    spark = docs.sparkSession
-    ends = wanted.select(F.pmod("s", F.lit(FILTER_BITS)).alias("x")).distinct()
-    buckets = ends.groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits")).collect()
-    wide = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
-    for row in buckets:
-        wide[row["b"]] = np.frombuffer(row["bits"], np.uint8)
-    filled = spark.sparkContext.broadcast(wide)
+    filled = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select(F.col("s").alias("x"))))
 
     def sets(batches):
         bits = filled.value
         for batch in slices(batches, "body"):
             token, edges = shingle_sets(batch.column("body"), k)
             s, n = set_hash(token, edges), np.diff(edges)
-            x = s % FILTER_BITS
-            # bitmap_bucket_number and bitmap_bit_position count positive values from 1, and 0 as bucket 0 or 1
-            bucket, bit = np.where(x > 0, 1 + (x - 1) // 32768, 0), np.where(x > 0, (x - 1) % 32768, 0)
-            hit = (bits[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1
             one = np.zeros(len(s), bool)
             one[np.unique(s, return_index=True)[1]] = True
-            take = np.flatnonzero(one & (n > 0) & (hit > 0))
+            take = np.flatnonzero(one & (n > 0) & passes(bits, s))
             short = (token >> np.uint64(15)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
             held = [short[edges[i] : edges[i + 1]].tobytes() for i in take.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(s[take]), pa.array(held, pa.binary())], ["s", "held"])

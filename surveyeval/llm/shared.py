@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,35 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of `bit_filter`; fixed, so it is 4 MB at most.
+FILTER_BITS = 1 << 25
+
+
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size for the longs x of `ids`: `passes` is true for each of them and, by chance, for some others."""
+    rows = ids.select(F.pmod("x", F.lit(FILTER_BITS)).alias("x")).distinct()
+    rows = rows.groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
+    out = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
+    for row in rows.collect():  # at most FILTER_BITS / 32768 + 1 of them
+        out[row["b"]] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    x = x % FILTER_BITS
+    # bitmap_bucket_number and bitmap_bit_position count positive values from 1, and 0 as bucket 0
+    bucket, bit = np.where(x > 0, 1 + (x - 1) // 32768, 0), np.where(x > 0, (x - 1) % 32768, 0)
+    return (bits[bucket, bit // 8] >> (bit % 8).astype(np.uint8)) & 1 > 0
+
+
+def positional(df: DataFrame, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1, ... so that no name of its own can clash, and their names; columns called like `replaced` are left out."""
+    keep = [i for i, c in enumerate(df.columns) if c.lower() not in replaced]
+    names = [df.columns[i] for i in keep]
+    held = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}") for i in keep])
+    return held.toDF(*[f"c{i}" for i in range(len(keep))]), names
+
+
 class Scratch:
     """Tables of one job in the shared folder; `clear` deletes them once the job's result is written."""
 

@@ -47,7 +47,7 @@ def test_line_dedup(docs, none):
 
 
 def test_substring_dedup(docs, none):
-    out = {r["doc_id"]: r for r in substring_dedup.remove_windows(docs.drop("n_words"), substring_dedup.repeated_windows(docs)).collect()}
+    out = {r["doc_id"]: r for r in substring_dedup.remove_windows(docs, substring_dedup.repeated_windows(docs)).collect()}
     seen, want = set(), {}
     for d, t, _ in TEXTS:
         w = (t or "").encode().split()
@@ -59,7 +59,28 @@ def test_substring_dedup(docs, none):
             seen.add(key)
         want[d] = (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode())
     assert {d: (r["n_words"], r["n_removed"], r["text"]) for d, r in out.items()} == want
-    assert substring_dedup.remove_windows(none.drop("n_words"), substring_dedup.repeated_windows(none)).count() == 0
+    assert set(next(iter(out.values())).asDict()) == {*docs.columns, "n_removed"} and all(r["at"] == 0 for r in out.values())
+    assert substring_dedup.remove_windows(none, substring_dedup.repeated_windows(none)).count() == 0
+
+
+def test_substring_dedup_shared_doc_ids(spark):
+    """Different texts of one doc_id keep their own words; repeated rows count as one document."""
+    rows = [(1, SPAN), (2, SPAN), (2, " ".join(f"u{i}" for i in range(30))), (None, "a b"), (2, SPAN)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_doc", F.lit(1)).withColumn("N_Removed", F.lit("x"))
+    out = substring_dedup.remove_windows(df, substring_dedup.repeated_windows(df)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["_doc"]) for r in out) == [(0, 2, 0, 1), (1, 30, 0, 1), (2, 30, 0, 1), (2, 30, 30, 1), (2, 30, 30, 1)]
+
+
+def test_substring_dedup_crowded_anchors(spark, monkeypatch):
+    """Anchors with more rows than a task holds give the same spans."""
+    head = " ".join(f"p{i}" for i in range(15))
+    rows = [(i, f"{head} {' '.join(f'q{i % 7}.{j}' for j in range(8))} end{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    words = lambda d: {(r["doc"], r["sub"], r["at"] + j) for r in d.collect() for j in range(r["n"])}
+    want = words(substring_dedup.repeated_windows(df))
+    assert len({d for d, _, _ in want}) == 53
+    monkeypatch.setattr(substring_dedup, "CROWD", 3)
+    assert words(substring_dedup.repeated_windows(df)) == want
 
 
 def test_substring_dedup_windows_alike_in_32_bits(spark):
@@ -70,7 +91,7 @@ def test_substring_dedup_windows_alike_in_32_bits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     assert substring_dedup.repeated_windows(df).count() == 0
     again = df.union(spark.createDataFrame([(99, rows[3][1])], df.schema))
-    assert [tuple(r) for r in substring_dedup.repeated_windows(again).collect()] == [(99, 0, 1)]
+    assert [tuple(r) for r in substring_dedup.repeated_windows(again).collect()] == [(99, 0, 0, 1)]
 
 
 @pytest.mark.parametrize(("group", "hot", "split"), [(48, 8, 50_000), (3, 8, 50_000), (3, 2, 4)])
