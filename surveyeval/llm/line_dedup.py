@@ -1,7 +1,7 @@
 """Line dedup: repeated lines stay only in the first document that holds them; results are per-document keep bitmaps.
 
-Method: lines are hashed (128 bits), hashes are range-partitioned and sorted by (hash, document, position), and one
-streaming pass keeps first occurrences.  Each task first settles what it can by itself: a line that a smaller document
+Method: lines are hashed (128 bits), hashes are range-partitioned (by fixed borders, as hashes are spread evenly, so no
+sample is needed) and sorted by (hash, document, position), and one streaming pass keeps first occurrences.  Each task first settles what it can by itself: a line that a smaller document
 of the same batch holds is dropped there at once, so a very common line reaches the shuffle once per batch, not once
 per document.  Texts are not moved until `apply_keep_bitmaps` joins them with the bitmaps.
 """
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import LOWER
+from .arrays import LOWER, slices
+from .shared import positional
 
 MIN_CODE_POINTS = 10
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -37,14 +38,14 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     A key is the line without ASCII white space at its ends, A-Z lowered.  A key of at least `min_code_points` code
     points keeps its lines only in the smallest doc_id that holds it.  Null text is one empty line; a null doc_id counts
     as smaller than any other; rows that share a doc_id count as one document; equal rows get equal results; other
-    columns are ignored; an empty table gives an empty result.
+    columns, of whatever names, are ignored; a very long text is one row in memory; an empty table gives an empty result.
     """
 
     def local(batches):
         import xxhash
 
         lower = LOWER.tobytes()
-        for batch in batches:
+        for batch in slices(batches, "body", 8 << 20):
             holders: dict[bytes, dict] = {}
             for doc, rid, body in zip(batch.column("doc").to_pylist(), batch.column("rid").to_pylist(), batch.column("body").to_pylist(), strict=True):
                 for i, line in enumerate(body.encode().split(b"\n")):
@@ -83,7 +84,9 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
             yield pa.RecordBatch.from_arrays([batch.column("rid").filter(dropped), batch.column("pos").filter(dropped)], ["rid", "pos"])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_DOC)).alias("doc"), _row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    ranged = rows.mapInArrow(local, _ROWS).repartitionByRange("h1").sortWithinPartitions("h1", "h2", "doc", "rid")
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    border = F.floor((F.shiftright("h1", 32) + F.lit(1 << 31)) * ranges / F.lit(float(1 << 32))).cast("int")
+    ranged = rows.mapInArrow(local, _ROWS).repartitionById(ranges, border).sortWithinPartitions("h1", "h2", "doc", "rid")
     drops = (
         ranged.mapInArrow(stream, "rid long, pos array<int>")
         .groupBy("rid")
@@ -113,27 +116,40 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
 
 def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with only the kept lines in their text, plus n_lines and n_dropped. A null text stays null."""
-    held = docs.select(*docs.columns, _row_id(doc_id, text).alias("_rid")).join(
-        bitmaps.select(F.col("rid").alias("_rid"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep_bitmap").alias("_bitmap")), "_rid"
-    )
-    names = docs.columns
-    at = names.index(text)
+    """The documents with only the kept lines in their text, plus n_lines and n_dropped. A null text stays null.
+
+    Columns of those two names are replaced; all others, of whatever names, are kept.
+    """
+    own, names = positional(docs, ("n_lines", "n_dropped"))
+    columns, body = own.columns, f"c{names.index(text)}"
+    held = own.withColumn("rid", _row_id(f"c{names.index(doc_id)}", body)).join(bitmaps.select("rid", "n_lines", "n_dropped", F.col("keep_bitmap").alias("bits")), "rid")
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches, body, 8 << 20):
             texts = []
-            for body, n, bits in zip(batch.column(text).to_pylist(), batch.column("_n_lines").to_pylist(), batch.column("_bitmap").to_pylist(), strict=True):
-                if body is not None and bits is not None:
+            for words, n, bits in zip(batch.column(body).to_pylist(), batch.column("n_lines").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                if words is not None and bits is not None:
                     keep = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=n).tolist()
-                    body = "\n".join([line for line, k in zip(body.split("\n"), keep, strict=True) if k])
-                texts.append(body)
-            columns = [batch.column(c) for c in names]
-            columns[at] = pa.array(texts, batch.column(text).type)
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("_n_lines"), batch.column("_n_dropped")], [*names, "n_lines", "n_dropped"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return held.select(*names, "_n_lines", "_n_dropped", "_bitmap").mapInArrow(cut, f"{schema}, n_lines long, n_dropped long")
+                    words = "\n".join([line for line, k in zip(words.split("\n"), keep, strict=True) if k])
+                texts.append(words)
+            out = [batch.column(c) for c in columns]
+            out[columns.index(body)] = pa.array(texts, batch.column(body).type)
+            yield pa.RecordBatch.from_arrays([*out, batch.column("n_lines"), batch.column("n_dropped")], [*columns, "n_lines", "n_dropped"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    return held.select(*columns, "n_lines", "n_dropped", "bits").mapInArrow(cut, f"{schema}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")
+
+
+#: The hashes of lines and keys as in `keep_bitmaps`, without hash collisions.
+ORACLE_OP9 = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), first AS (SELECT key, min(doc_id) AS holder FROM keyed WHERE length(key) >= 10 GROUP BY key),
+kept AS (SELECT k.doc_id, k.no, k.line, coalesce(f.holder, k.doc_id) = k.doc_id AS stays FROM keyed k LEFT JOIN first f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '')) AS kept_sha256
+FROM kept GROUP BY doc_id"""
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
