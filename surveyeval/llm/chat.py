@@ -1,47 +1,71 @@
 """Chat formatting by multi-party perspective rotation, in DataFrame operations.
 
-For every participant of a conversation the dialogue is rendered with that speaker as the assistant and all others as named users,
-with a mask of the characters to learn from.  A conversation is cut into segments of at most `turns` turn numbers (a
-usual one is a single segment), so no row and no group grows with the longest conversation.
+For every participant of a conversation the whole dialogue is rendered with that speaker as the assistant and all others as named users,
+with a mask of the characters to learn from.  Only a conversation of more than `max_turns` turns is cut, into runs of that many
+consecutive turns, each led by the conversation's instructions, so that no row grows with the longest conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import join_small, materialize
 
-TURNS = 64
+MAX_TURNS = 2000
 
 
-def perspectives(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", context: str = "system", turns: int = TURNS) -> DataFrame:
-    """Rows (conv_id, speaker, segment, part, n_turns, n_own, text, mask): one per participant and segment.
+def _plain(x: Column) -> Column:
+    """Text without markers: every "<|" is written "< |"."""
+    return F.replace(x, F.lit("<|"), F.lit("< |"))
+
+
+def _pieces(said: DataFrame, context: str, max_turns: int) -> DataFrame:
+    """Turns of conversations longer than `max_turns` as (conv_id, part, turn, by, words, no): consecutive runs, each led by the instructions."""
+    conv = lambda other: F.col("conv_id").eqNullSafe(other)
+    at_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = said.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(at_turn), F.lit(0))).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "before")
+    inside = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("by", "words"))
+    placed = said.withColumn("inside", inside).join(starts, conv(F.col("c")) & F.col("turn").eqNullSafe(F.col("t"))).withColumn("no", (F.col("before") + F.col("inside") - 1).cast("long"))
+    placed = materialize(placed.select("conv_id", F.floor(F.col("no") / max_turns).alias("part"), "turn", "by", "words", "no"), "placed")
+    first = placed.where(F.col("by") != context).groupBy(F.col("conv_id").alias("c")).agg(F.min("no").alias("first"), F.max("part").alias("last"))
+    led = placed.where((F.col("by") == context) & (F.col("part") == 0)).join(first, conv(F.col("c"))).where("no < first and last > 0")
+    led = led.select("conv_id", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("part"), "turn", "by", "words", "no")
+    return placed.unionByName(led)
+
+
+def perspectives(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", context: str = "system", max_turns: int = MAX_TURNS) -> DataFrame:
+    """Rows (conv_id, speaker, part, n_turns, n_own, text, mask): one per participant, and more parts only where a conversation has over `max_turns` turns.
 
     mask is an array of (start, end) character ranges of the participant's own words in `text`.  Turns of the speaker
     `context` are instructions: rendered as system, no participant.  A null speaker is called unknown; a null text is an
-    empty turn; turns sort by number (null last, in a segment of their own), then speaker, then text; repeated rows are repeated turns.
-    Where more than `turns` rows share a segment's turn numbers, they are dealt into parts by hash.  Conversations without a participant
-    give no rows; a null conv_id is a conversation of its own; other columns are ignored; an empty table gives none.
+    empty turn; turns sort by number (null last), then speaker, then text; repeated rows are repeated turns.  Longer
+    conversations are cut by position in that order; every later part is led by the instructions that precede the first participant.
+    "<|" in texts and names is written "< |", "|>" in names "| >" and a line end in names a space, so no text can forge a turn.  Conversations without a participant
+    give no rows; a null conv_id is a conversation of its own; very long texts are rendered whole; other columns, of whatever names, are ignored; an empty table gives none.
     """
     said = conversations.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("by"), F.coalesce(F.col(text), F.lit("")).alias("words")
-    ).withColumn("segment", F.coalesce(F.floor(F.col("turn") / turns), F.lit(-1)).cast("long"))
-    crowded = said.groupBy("conv_id", "segment").agg(F.count("*").alias("n")).where(F.col("n") > turns).select(F.col("conv_id").alias("c"), F.col("segment").alias("g"), F.ceil(F.col("n") / turns).alias("parts"))
-    crowded = materialize(crowded, "crowded")
-    dealt = said.join(crowded, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("g")), "left")
-    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("turn", "by", "words"), F.col("parts")), F.lit(0)).cast("long"))
-    turn_rows = dealt.select("conv_id", "segment", "part", F.struct(F.col("turn").isNull().alias("no"), "turn", "by", "words").alias("t"))
-    segments = turn_rows.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_list("t")).alias("said"))
+    )
+    long = said.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > max_turns).select(F.struct("conv_id").alias("c"))
+    long = materialize(long, "long")
+    keyed = said.withColumn("c", F.struct("conv_id"))
+    usual = join_small(keyed, long, "c", "left_anti").drop("c").withColumn("part", F.lit(0).cast("long"))
+    rows = usual.withColumn("no", F.lit(0).cast("long"))
+    if long.limit(1).count():
+        rows = rows.unionByName(_pieces(join_small(keyed, long, "c", "left_semi").drop("c"), context, max_turns))
+    turns = F.array_sort(F.collect_list(F.struct("no", F.col("turn").isNull().alias("last"), "turn", "by", "words")))
+    pieces = rows.groupBy("conv_id", "part").agg(turns.alias("said"))
     people = said.where(F.col("by") != context).select(F.col("conv_id").alias("c"), F.col("by").alias("speaker")).distinct()
-    seen = segments.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    seen = pieces.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    name = lambda x: F.regexp_replace(F.replace(_plain(x), F.lit("|>"), F.lit("| >")), r"[\r\n]", " ")
 
     def head(t):
-        name = F.when(t["by"] == context, F.lit("system")).when(t["by"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), t["by"]))
-        return F.concat(F.lit("<|"), name, F.lit("|>\n"))
+        who = F.when(t["by"] == context, F.lit("system")).when(t["by"] == F.col("speaker"), F.lit("assistant")).otherwise(F.concat(F.lit("user name="), name(t["by"])))
+        return F.concat(F.lit("<|"), who, F.lit("|>\n"))
 
     end = F.lit("\n<|end|>\n")
-    parts = F.transform("said", lambda t: F.struct(head(t).alias("head"), t["words"].alias("words"), (t["by"] == F.col("speaker")).alias("own")))
+    parts = F.transform("said", lambda t: F.struct(head(t).alias("head"), _plain(t["words"]).alias("words"), (t["by"] == F.col("speaker")).alias("own")))
     seen = seen.withColumn("parts", parts)
     walk = F.aggregate(
         "parts",
@@ -56,7 +80,7 @@ def perspectives(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
         lambda acc: acc["mask"],
     )
     return seen.select(
-        "conv_id", "speaker", "segment", "part", F.size("parts").cast("long").alias("n_turns"), F.size(F.filter("parts", lambda p: p["own"])).cast("long").alias("n_own"),
+        "conv_id", "speaker", "part", F.size("parts").cast("long").alias("n_turns"), F.size(F.filter("parts", lambda p: p["own"])).cast("long").alias("n_own"),
         F.concat_ws("", F.transform("parts", lambda p: F.concat(p["head"], p["words"], end))).alias("text"), walk.alias("mask"),
     )
 
@@ -64,23 +88,31 @@ def perspectives(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
 def op3_chat_perspectives(spark, sf_dir: str) -> DataFrame:
     shown = perspectives(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     spans = F.concat_ws(";", F.transform("mask", lambda m: F.concat(m["start"].cast("string"), F.lit("-"), m["end"].cast("string"))))
-    return shown.select("conv_id", "speaker", "segment", "part", "n_turns", "n_own", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), spans.alias("mask"))
+    return shown.select("conv_id", "speaker", "part", "n_turns", "n_own", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), spans.alias("mask"))
 
 
-ORACLE_OP3 = """
+ORACLE_OP3 = f"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS by_, coalesce(text, '') AS words, coalesce(CAST(floor(turn / 64.0) AS BIGINT), -1) AS segment FROM conversations
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS by_, coalesce(text, '') AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS no
+  FROM conversations
+), first AS (SELECT conv_id, min(no) AS first, max(no) // {MAX_TURNS} AS last FROM said WHERE by_ <> 'system' GROUP BY conv_id),
+pieces AS (
+  SELECT conv_id, by_, words, no, no // {MAX_TURNS} AS part FROM said
+  UNION ALL
+  SELECT s.conv_id, by_, words, no, unnest(range(1, last + 1)) AS part FROM said s JOIN first f ON s.conv_id IS NOT DISTINCT FROM f.conv_id WHERE by_ = 'system' AND no < first AND no < {MAX_TURNS}
 ), people AS (SELECT DISTINCT conv_id, by_ AS speaker FROM said WHERE by_ <> 'system'),
 each AS (
-  SELECT s.conv_id, p.speaker, s.segment, s.turn, s.by_, s.words, s.by_ = p.speaker AS own,
-    '<|' || CASE WHEN s.by_ = 'system' THEN 'system' WHEN s.by_ = p.speaker THEN 'assistant' ELSE 'user name=' || s.by_ END || '|>' || chr(10) AS head
-  FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
+  SELECT s.conv_id, p.speaker, s.part, s.no, replace(s.words, '<|', '< |') AS words, s.by_ = p.speaker AS own,
+    '<|' || CASE WHEN s.by_ = 'system' THEN 'system' WHEN s.by_ = p.speaker THEN 'assistant'
+      ELSE 'user name=' || regexp_replace(replace(replace(s.by_, '<|', '< |'), '|>', '| >'), '[\r\n]', ' ', 'g') END || '|>' || chr(10) AS head
+  FROM pieces s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, head || words || chr(10) || '<|end|>' || chr(10) AS piece,
-    coalesce(sum(length(head) + length(words) + 9) OVER (PARTITION BY conv_id, speaker, segment ORDER BY turn, by_, words ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    coalesce(sum(length(head) + length(words) + 9) OVER (PARTITION BY conv_id, speaker, part ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM each
 )
-SELECT conv_id, speaker, segment, CAST(0 AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
-  CAST(length(string_agg(piece, '' ORDER BY turn, by_, words)) AS BIGINT) AS n_chars, sha256(string_agg(piece, '' ORDER BY turn, by_, words)) AS text_sha256,
-  coalesce(string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(head) + length(words) + 8 AS BIGINT) AS VARCHAR), ';' ORDER BY turn, by_, words) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, speaker, segment"""
+SELECT conv_id, speaker, CAST(part AS BIGINT) AS part, count(*) AS n_turns, count(*) FILTER (own) AS n_own,
+  CAST(length(string_agg(piece, '' ORDER BY no)) AS BIGINT) AS n_chars, sha256(string_agg(piece, '' ORDER BY no)) AS text_sha256,
+  coalesce(string_agg(CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(pos + length(head) + length(words) + 8 AS BIGINT) AS VARCHAR), ';' ORDER BY no) FILTER (own), '') AS mask
+FROM placed GROUP BY conv_id, speaker, part"""
