@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import join_small, materialize
+from .shared import join_small, materialize, positional
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -47,11 +47,14 @@ def mix_sources(docs: DataFrame, size: str = "size", doc_id: str = "doc_id", sou
 
     Each source takes floor(target) words: whole passes over the source, then documents in key order up to the exact
     budget, the last one in part.  Null sizes count 0; a null source is a source of its own, the last; equal rows at the
-    cut share it evenly; an empty table gives an empty result.  The same input gives the same result.
+    cut share it evenly (any rest of that division is not taken); an empty table gives an empty result.  The same input gives the same result.
+    Columns named like the four added ones are replaced; all others, of whatever names, are kept; texts are not read.
     """
-    key = F.xxhash64(F.col(doc_id), F.lit(seed))
-    keyed = docs.withColumn("_s", F.coalesce(F.col(source), F.lit(""))).withColumn("_no", F.col(source).isNull()).withColumn("_key", key).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")))
-    narrow = materialize(keyed.select(F.col("_s").alias("s"), F.col("_no").alias("no_source"), F.col("_key").alias("key"), F.col(doc_id).alias("doc"), F.col("_size").alias("size")), "sizes")
+    own, names = positional(docs, tuple(x for x in ("source_size", "target", "taken", "epochs") if x not in (size, doc_id, source)))
+    at_name = lambda c: F.col(f"c{names.index(c)}")
+    keyed = own.withColumn("s", F.coalesce(at_name(source), F.lit(""))).withColumn("no_source", at_name(source).isNull()).withColumn("key", F.xxhash64(at_name(doc_id), F.lit(seed)))
+    keyed = keyed.withColumn("doc", at_name(doc_id)).withColumn("size", F.coalesce(at_name(size).cast("long"), F.lit(0).cast("long")))
+    narrow = materialize(keyed.select("s", "no_source", "key", "doc", "size"), "sizes")
     bits = min(20, max(8, (max(1, narrow.count()) // RANGE_ROWS).bit_length()))
     ranged = narrow.withColumn("range", F.shiftright("key", 64 - bits))
     name = ["s", "no_source"]
@@ -71,11 +74,11 @@ def mix_sources(docs: DataFrame, size: str = "size", doc_id: str = "doc_id", sou
     last = inside.where("before <= rest and rest < before + size * copies").select(
         *name, F.struct("key", "doc", "size").alias("edge"), F.floor((F.col("rest") - F.col("before")) / F.col("copies")).alias("part")
     )
-    plan = materialize(plan.join(last, name, "left"), "plan").select(F.col("s").alias("_s"), F.col("no_source").alias("_no"), "source_size", "target", "epochs", "edge", "part")
-    at = F.struct(F.col("_key").alias("key"), F.col(doc_id).alias("doc"), F.col("_size").alias("size"))
-    extra = F.when(F.col("edge").isNull(), 0).when(at < F.col("edge"), F.col("_size")).when(at == F.col("edge"), F.col("part")).otherwise(0)
-    mixed = join_small(keyed, plan, ["_s", "_no"], rows=n)
-    return mixed.select(*[F.col(c) for c in docs.columns], "source_size", "target", (F.col("epochs") * F.col("_size") + extra).cast("long").alias("taken"), "epochs")
+    plan = materialize(plan.join(last, name, "left"), "plan").select(*name, "source_size", "target", "epochs", "edge", "part")
+    at = F.struct("key", "doc", "size")
+    extra = F.when(F.col("edge").isNull(), 0).when(at < F.col("edge"), F.col("size")).when(at == F.col("edge"), F.col("part")).otherwise(0)
+    mixed = join_small(keyed, plan, name, rows=n)
+    return mixed.select(*own.columns, "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), "epochs").toDF(*names, "source_size", "target", "taken", "epochs")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
