@@ -3,7 +3,8 @@
 Every window of `w` words keeps the least of its k-gram hashes.  A training text and a benchmark item that share `w`
 consecutive words share that fingerprint, so joining fingerprints finds every such pair; candidates are then extended to
 exact window matches (two independent 64-bit hashes of the whole window).  Items shorter than `w` words are one window of
-their own length and are looked up at every position of that length.
+their own length and are looked up at every position of that length.  A window is one row however many items hold it: documents
+gather windows, and the items of each distinct set of windows are looked up once, so documents x items rows are never made.
 """
 
 from __future__ import annotations
@@ -79,7 +80,8 @@ def contamination(
 
     A-Z are lowered; words are runs of 0-9, a-z and non-ASCII characters.  A word inside any occurrence of an item's
     window is hit.  Null and empty texts have no words; items without words match nothing; a null item_id contributes
-    hits but no name; repeated documents each get their row; other columns are ignored; empty tables give no hits.
+    hits but no name; repeated documents each get their row; a very long text is one row in memory; other columns, of whatever
+    names, are ignored; empty tables give no hits.
     """
     rid = F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
     base = docs.select(F.col(doc_id).alias("doc_id"), rid.alias("rid"), F.col(text).alias("_text"))
@@ -100,7 +102,9 @@ def contamination(
     item_windows = known[0]
     for more in known[1:]:
         item_windows = item_windows.unionByName(more)
-    item_windows = materialize(item_windows.distinct(), "windows")
+    item_windows = materialize(item_windows.withColumn("window", F.xxhash64("wa", "wb", "len")).distinct(), "windows")
+    held_by = item_windows.where("item is not null").select("window", "item")
+    item_windows = materialize(item_windows.select("wa", "wb", "len", "window").distinct(), "windows")
     n_windows = item_windows.count()
 
     marked = _fingerprints(base.select("doc_id", "rid", word_array(F.col("_text")).alias("_w")), "_w", w, k)
@@ -120,12 +124,35 @@ def contamination(
         ),
         lambda acc: acc["n"],
     )
-    by_row = hits.groupBy("rid").agg(spans.cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    by_row = hits.groupBy("rid").agg(spans.cast("long").alias("n_hit"), F.array_sort(F.collect_set("window")).alias("windows")).withColumn("set", F.xxhash64("windows"))
+    by_row = materialize(by_row, "hits")
+    sets = by_row.groupBy("set").agg(F.first("windows").alias("windows")).select("set", F.explode("windows").alias("window"))
+    items_of = join_small(sets, held_by, "window", rows=held_by.count()).groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    by_row = by_row.select("rid", "n_hit", "set").join(items_of, "set", "left")
     return marked.select("doc_id", "rid", "n_words").join(by_row, "rid", "left").select(
         "doc_id", "rid", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
+ORACLE_OP8 = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), bench AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM bench WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows),
+here AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, sizes WHERE len(w) >= n)
+), hits AS (SELECT h.doc_id, h.n, h.i, x.item_id FROM here h JOIN windows x ON h.win = x.win AND h.n = x.n),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM split s LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)"""
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -17,4 +17,10 @@ QUERIES = {
         licenses.op10_license_scan,
     )
 }
-ORACLE_SQL = {"op3_chat_perspectives": chat.ORACLE_OP3, "op10_license_scan": licenses.op10_oracle()}
+ORACLE_SQL = {
+    "op3_chat_perspectives": chat.ORACLE_OP3,
+    "op6_substring_dedup": substring_dedup.ORACLE_OP6,
+    "op8_decontaminate": decontaminate.ORACLE_OP8,
+    "op9_line_dedup": line_dedup.ORACLE_OP9,
+    "op10_license_scan": licenses.op10_oracle(),
+}
