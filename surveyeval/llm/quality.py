@@ -3,27 +3,32 @@
 Both views are logistic regressions.  They start from a bounded sample of labelled rows; in every round each scores all
 documents, and those it is confident about become pseudo-labelled rows of the *other* view.  Each view is then calibrated
 (Platt) on labelled rows kept out of training, and the calibrated log-odds are added, less the prior, to score every document.
-The text is read once: one pass makes a small row of content features, and all rounds work on those rows.
+The content view sees hashed words and word pairs beside counts of how the text is written.  The text is read once: one
+pass makes a small row of features, and all rounds work on those rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher
+from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import slices
 from .shared import join_small, materialize
 
 #: The classifier is fitted on at most about this many labelled rows, drawn by hash of doc_id.
 MAX_LABELLED = 20_000
 ROUNDS, CONFIDENT = 2, 0.98
+#: Words and word pairs are hashed to so many buckets; a view is calibrated on LEAST_HELD rows of each class or not at all.
+BUCKETS, LEAST_HELD = 2048, 10
 MARKS = b"!|#%&$*^~<>{}[]=_@"
 
 
@@ -50,20 +55,29 @@ def content_features(text: str) -> list[float]:
     return out + [min(2.0, int(seen[c]) / m) for c in MARKS]
 
 
+def gram_buckets(text: str) -> list[int]:
+    """The buckets of a text's lower-cased words and pairs of neighbouring words."""
+    own = text.lower().encode().split()
+    seen = {zlib.crc32(w) % BUCKETS for w in set(own)}
+    seen.update(zlib.crc32(b" ".join(pair)) % BUCKETS for pair in set(zip(own, own[1:])))  # noqa: B905  pairs end before the last word
+    return sorted(seen)
+
+
 def _featured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(rid, doc_id, source, lang, length, x) of every row."""
+    """(rid, doc_id, source, lang, length, x, grams) of every row."""
 
     def local(batches):
-        for batch in batches:
-            x = [content_features(t or "") for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float32()))], [*batch.schema.names[:-1], "x"])
+        for batch in slices(batches, "_text"):
+            texts = batch.column("_text").to_pylist()
+            x, grams = [content_features(t or "") for t in texts], [gram_buckets(t or "") for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float32())), pa.array(grams, pa.list_(pa.int16()))], [*batch.schema.names[:-1], "x", "grams"])
 
     has = set(docs.columns)
     meta = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c in has else F.lit("-").alias(c) for c in ("source", "lang")]
     length = F.coalesce(F.col("n_chars").cast("double") if "n_chars" in has else F.lit(None).cast("double"), F.length(text).cast("double"), F.lit(0.0))
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.xxhash64(doc_id, F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.col(doc_id).alias("doc_id"), *meta, F.log1p(F.greatest(length, F.lit(0.0))).alias("length"), F.col(text).alias("_text"))
-    return rows.mapInArrow(local, f"rid long, doc_id {kind}, source string, lang string, length double, x array<float>")
+    return rows.mapInArrow(local, f"rid long, doc_id {kind}, source string, lang string, length double, x array<float>, grams array<short>")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
@@ -71,8 +85,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     rid is a hash of doc_id and text.  Null texts count as empty, null metadata as a value of its own; missing metadata
     columns are left out; labels other than 0 and 1 are ignored and the larger one holds where a doc_id has both.  If the labelled
-    sample has one class only (or none), nothing can be learnt and every document is kept with score 1.  An empty table
-    gives an empty result; other columns are ignored; repeated rows get equal scores.
+    sample has one class only (or none, or fewer than 4 rows of a class), nothing can be learnt and every document is kept with score 1.
+    A quarter of each class is held out for calibration; with fewer than LEAST_HELD held rows of a class the views stay
+    uncalibrated.  A very long text is one row in memory.  An empty table gives an empty result; other columns, of whatever names, are ignored; repeated rows get equal scores.
     """
     given = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("double")).alias("label"))
     rate = min(1.0, max_labelled / max(1, given.count()))
@@ -82,40 +97,59 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     base = FeatureHasher(inputCols=["source", "lang", "bin"], outputCol="hashed", numFeatures=256).transform(base.withColumn("bin", F.round(F.col("length") * 2).cast("int").cast("string")))
     base = base.withColumn("metadata", vector_to_array("hashed", "float32")).withColumn("metadata", F.concat("metadata", F.array(F.col("length").cast("float"))))
     # the hashed vector is nearly all zeros and compresses to little
-    base = materialize(base.select("rid", "doc_id", F.col("x").alias("content"), "metadata"), "features")
-    views = {v: array_to_vector(F.col(v)) for v in ("content", "metadata")}
-    known = materialize(join_small(base, sample, "doc_id").withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0), "labelled")
-    classes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    base = materialize(base.select("rid", "doc_id", F.col("x").alias("content"), "grams", "metadata"), "features")
+    vocabulary = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="_grams", outputCol="_presence")
+    vocabulary.setBinary(True)
+    both = VectorAssembler(inputCols=["_style", "_presence"], outputCol="features")
+
+    def view(df: DataFrame, name: str) -> DataFrame:
+        """df with the vector `features` of a view."""
+        if name == "metadata":
+            return df.withColumn("features", array_to_vector(F.col("metadata")))
+        df = df.withColumn("_grams", F.col("grams").cast("array<string>")).withColumn("_style", array_to_vector(F.col("content")))
+        return both.transform(vocabulary.transform(df)).drop("_grams", "_presence", "_style")
+
+    columns = {"content": ["content", "grams"], "metadata": ["metadata"]}
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(6)), "rid")  # the sample is bounded
+    known = materialize(join_small(base, sample, "doc_id").withColumn("held", F.row_number().over(order) % 4 == 0), "labelled")
+    counts = {(r["label"], r["held"]): r["count"] for r in known.groupBy("label", "held").count().collect()}
+    classes: dict[float, int] = {}
+    for (one_class, _), n in counts.items():
+        classes[one_class] = classes.get(one_class, 0) + n
     if len(classes) < 2 or min(classes.values()) < 4:
         one = F.lit(1.0)
         return base.select("rid", "doc_id", one.alias("p_content"), one.alias("p_metadata"), one.alias("score"), F.lit(True).alias("keep"))
     n_known = sum(classes.values())
     prior = math.log(classes[1.0] / classes[0.0])
 
-    def fit(view: str, extra: DataFrame | None):
-        rows = known.where("not held").select(views[view].alias("features"), "label", F.lit(1.0).alias("weight"))
+    calibrate = min(counts.get((c, True), 0) for c in classes) >= LEAST_HELD
+
+    def fit(name: str, extra: DataFrame | None):
+        rows = view(known.where("not held" if calibrate else "true"), name).select("features", "label", F.lit(1.0).alias("weight"))
         if extra is not None and (n := extra.count()):
-            rows = rows.unionByName(extra.select("features", "label", F.lit(min(1.0, n_known / n)).alias("weight")))
+            rows = rows.unionByName(view(extra, name).select("features", "label", F.lit(min(1.0, n_known / n)).alias("weight")))
         model = LogisticRegression(maxIter=12, regParam=1e-3, weightCol="weight", standardization=True).fit(rows)
-        scored = model.transform(known.where("held").select(views[view].alias("features"), "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
+        if not calibrate:
+            return model, 1.0, 0.0
+        scored = model.transform(view(known.where("held"), name).select("features", "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
         platt = LogisticRegression(maxIter=10, regParam=1e-4).fit(scored.select(array_to_vector(F.array("m")).alias("features"), "label"))
         return model, float(platt.coefficients[0]), float(platt.intercept)
 
-    def odds(df: DataFrame, view: str, fitted) -> DataFrame:
+    def odds(df: DataFrame, name: str, fitted) -> DataFrame:
         """Add the calibrated log-odds of a view."""
         model, a, b = fitted
-        df = model.transform(df.withColumn("features", views[view])).withColumn(f"o_{view}", vector_to_array("rawPrediction")[1] * a + b)
+        df = model.transform(view(df, name)).withColumn(f"o_{name}", vector_to_array("rawPrediction")[1] * a + b)
         return df.drop("features", "rawPrediction", "probability", "prediction")
 
     extra: dict[str, DataFrame | None] = {"content": None, "metadata": None}
-    fitted = {v: fit(v, None) for v in views}
-    unlabelled = base.join(F.broadcast(known.select("rid")), "rid", "left_anti")  # at most about max_labelled rows
+    fitted = {v: fit(v, None) for v in columns}
+    unlabelled = join_small(base, known.select("rid"), "rid", "left_anti")
     edge = math.log(confident / (1 - confident))
     for _ in range(rounds):
         for teacher, pupil in (("content", "metadata"), ("metadata", "content")):
             sure = odds(unlabelled, teacher, fitted[teacher]).where(F.abs(f"o_{teacher}") >= edge)
-            extra[pupil] = materialize(sure.select(F.col(pupil), (F.col(f"o_{teacher}") > 0).cast("double").alias("label")), "pseudo").select(views[pupil].alias("features"), "label")
-        fitted = {v: fit(v, extra[v]) for v in views}
+            extra[pupil] = materialize(sure.select(*columns[pupil], (F.col(f"o_{teacher}") > 0).cast("double").alias("label")), "pseudo")
+        fitted = {v: fit(v, extra[v]) for v in columns}
     scored = odds(odds(base, "content", fitted["content"]), "metadata", fitted["metadata"])
     p = lambda x: 1 / (1 + F.exp(-x))
     total = F.col("o_content") + F.col("o_metadata") - F.lit(prior)
