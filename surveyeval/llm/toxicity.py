@@ -3,6 +3,8 @@
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector, ordered thresholds.  x holds 1 + log counts of terms (words and word beginnings) chosen by
 association with toxic labels in a bounded labelled sample.  Training is Fisher scoring: every step is one Spark job that sums scores
 and information over the labelled rows' partitions; only sums of (terms + thresholds) squared numbers reach the driver.
+Grades are the labels given.  With labels 0 and 1 there is one threshold and severity is the probability of 1; with more
+grades the same weights serve all thresholds.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import slices
 from .shared import join_small, materialize
 
-#: The model is fitted on at most about this many labelled rows, drawn by hash of doc_id, and on at most MAX_TERMS terms.
-MAX_LABELLED, MAX_TERMS = 20_000, 256
+#: The model is fitted on at most about this many labelled rows, drawn by hash of doc_id, and on the MAX_TERMS terms of the largest chi-square.
+MAX_LABELLED, MAX_TERMS = 20_000, 512
 CHI2, MIN_DOCS, MIN_SHARE = 15.0, 3, 0.001
 _TERM = re.compile(r"[^\W\d_]+")
 
@@ -31,17 +34,15 @@ def terms(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
-def hits(text: str | None, place: dict[str, int], heads: set[str]) -> tuple[dict[int, int], int]:
-    """Counts of the chosen features in a text, and the number of words that have any."""
+def hits(text: str | None, place: dict[str, int], heads: set[str]) -> dict[int, int]:
+    """Counts of the chosen features in a text."""
     counts: dict[int, int] = {}
-    words = 0
     for word in terms(text):
         if word[:4] in heads:
-            own = [place[x] for x in features(word) if x in place]
-            words += bool(own)
-            for i in own:
-                counts[i] = counts.get(i, 0) + 1
-    return counts, words
+            for x in features(word):
+                if (i := place.get(x)) is not None:
+                    counts[i] = counts.get(i, 0) + 1
+    return counts
 
 
 def link_probabilities(eta: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,22 +114,22 @@ def fit_ordinal(rows: DataFrame, n_terms: int, counts: list[int], steps: int = 2
     return theta, w
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) of every row; severity is the expected grade.
 
-    Grades of the labelled rows: 0 for not toxic; toxic rows are 1, or 2 where more words have chosen terms than in the median toxic row.
-    Any integer label above 1 is used as a grade as it is.  Null texts count as empty; where a doc_id has several labels the
-    largest holds; if the labelled sample has one class only, or no term is associated with toxicity, every severity is 0.  An
-    empty table gives an empty result; other columns are ignored; equal texts get equal scores.
+    Any integer label of 0 or more is a grade: 0 is not toxic, larger ones are severer.  Null texts count as empty and very long
+    ones are read whole; where a doc_id has several labels the largest holds; if the labelled sample has one class only, or no term is
+    associated with toxicity, every severity is 0.  Features that the same labelled rows hold, as far as counts tell (a word and
+    its beginnings), count once; of the rest the model takes the `max_terms` of the largest chi-square.  An
+    empty table gives an empty result; other columns, of whatever names, are ignored; equal texts get equal scores.
     """
-    spark = docs.sparkSession
     given = labels.where(F.col(label).isNotNull() & (F.col(label) >= 0) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     rate = min(1.0, max_labelled / max(1, given.count()))
     sample = materialize(given.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6 < rate), "labels")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
 
     def counted(batches):
-        for batch in batches:
+        for batch in slices(batches, "body"):
             each = [sorted({x for word in terms(t) for x in features(word)}) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(each, pa.list_(pa.string()))], ["label", "terms"])
 
@@ -142,7 +143,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         seen = known.mapInArrow(counted, "label int, terms array<string>").select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") > 0).alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(MIN_DOCS, MIN_SHARE * n))
         a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
         chi2 = n * F.pow(a * (n - t - b) - b * (t - a), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * float(t) * float(n - t))
-        chosen = seen.where((a * (n - t) > b * t) & (F.col("df") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
+        chosen = seen.where((a * (n - t) > b * t) & (F.col("df") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2)
+        alike = F.substring(F.regexp_replace("term", "-$", ""), 1, 4)
+        chosen = chosen.groupBy(alike, "a", "df").agg(F.min_by("term", F.struct(F.length("term"), "term")).alias("term"), F.first("chi2").alias("chi2"))
+        chosen = chosen.orderBy(F.desc("chi2"), "term").limit(max_terms)
         vocabulary = sorted(r["term"] for r in chosen.select("term").collect())
     if not vocabulary:
         zero = F.lit(0.0)
@@ -152,30 +156,27 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     heads = {x.rstrip("-")[:4] for x in vocabulary}
 
     def sparse(batches):
-        for batch in batches:
+        for batch in slices(batches, "body"):
             found = [hits(t, place, heads) for t in batch.column("body").to_pylist()]
-            ids = pa.array([list(c) for c, _ in found], pa.list_(pa.int32()))
-            counts = pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), ids, counts, pa.array([n for _, n in found], pa.int64())], ["label", "ids", "counts", "words"])
-
-    rows = materialize(known.mapInArrow(sparse, "label int, ids array<int>, counts array<int>, words long"), "sparse")
-    middle = rows.where("label > 0").agg(F.percentile("words", F.lit(0.5))).first()[0]
-    grade = F.when(F.col("label") != 1, F.col("label")).otherwise(F.when(F.col("words") > middle, 2).otherwise(1))
-    rows = rows.select("ids", "counts", grade.alias("raw"))
-    by_grade = {r["raw"]: r["count"] for r in rows.groupBy("raw").count().collect()}
+            ids = pa.array([list(c) for c in found], pa.list_(pa.int32()))
+            counts = pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), ids, counts], ["label", "ids", "counts"])
+
+    rows = materialize(known.mapInArrow(sparse, "label int, ids array<int>, counts array<int>"), "sparse")
+    by_grade = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     levels = sorted(by_grade)
     rank = F.create_map(*[F.lit(x) for i, g in enumerate(levels) for x in (g, i)])
-    rows = rows.select("ids", "counts", rank[F.col("raw")].alias("grade")).coalesce(8).cache()
+    rows = rows.select("ids", "counts", rank[F.col("label")].alias("grade")).coalesce(8).cache()
     theta, w = fit_ordinal(rows, len(vocabulary), [by_grade[g] for g in levels])
     rows.unpersist()
     worth = np.array(levels, float)
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches, "body"):
             eta = np.zeros(batch.num_rows)
             for i, body in enumerate(batch.column("body").to_pylist()):
                 if body:
-                    eta[i] = sum(w[j] * (1 + np.log(c)) for j, c in hits(body, place, heads)[0].items())
+                    eta[i] = sum(w[j] * (1 + np.log(c)) for j, c in hits(body, place, heads).items())
             p, _ = link_probabilities(eta, theta)
             toxic = 1 - p[:, 0] if levels[0] == 0 else np.ones(len(eta))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p @ worth), pa.array(worth[p.argmax(1)].astype(np.int32)), pa.array(toxic), pa.array(toxic > 0.5)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
