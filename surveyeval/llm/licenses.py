@@ -1,4 +1,4 @@
-"""License scans: sentencelambda s: known licence sentencelambda s: ordered licence rules, in DataFrame operations only.
+"""License scans: sentences, known licence sentences, ordered licence rules, in DataFrame operations only.
 
 One pass without shuffles: each text is cut into sentences, each sentence is normalised and looked up in the table of
 known sentences, and the sequence of identifiers found is matched against rules (identifiers in order, others between).
@@ -68,9 +68,48 @@ WHOLE = {
     "this source code form is subject to the terms of the mozilla public license v": "mpl_ref",  # "v. " ends a sentence
 }
 WHOLE_RULES = [("GPL-2.0", "copyleft", ["gpl2_free", "gpl_warranty"])]
+_LIBRARY = "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation "
+_AFFERO = "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+# More whole normalised sentences of public texts and notices, and their rules.
+WHOLE |= {
+    _LIBRARY + "either version 2 1 of the license or at your option any later version": "lgpl21_free",
+    _LIBRARY + "either version 3 of the license or at your option any later version": "lgpl3_free",
+    _AFFERO + "either version 3 of the license or at your option any later version": "agpl3_free",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd_name",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "spdx license identifier mit": "spdx_mit",
+    "spdx license identifier apache 2 0": "spdx_apache",
+    "spdx license identifier bsd 2 clause": "spdx_bsd2",
+    "spdx license identifier bsd 3 clause": "spdx_bsd3",
+    "spdx license identifier gpl 2 0 only": "spdx_gpl2",
+    "spdx license identifier gpl 3 0 only": "spdx_gpl3",
+    "spdx license identifier mpl 2 0": "spdx_mpl",
+}
+WHOLE_RULES += [
+    ("LGPL-2.1", "copyleft", ["lgpl21_free"]),
+    ("LGPL-3.0", "copyleft", ["lgpl3_free"]),
+    ("AGPL-3.0", "copyleft", ["agpl3_free"]),
+    ("BSD-3-Clause", "permissive", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_name"]),
+    ("ISC", "permissive", ["isc_grant"]),
+    ("Unlicense", "public domain", ["unlicense"]),
+    ("MIT", "permissive", ["spdx_mit"]),
+    ("Apache-2.0", "permissive", ["spdx_apache"]),
+    ("BSD-2-Clause", "permissive", ["spdx_bsd2"]),
+    ("BSD-3-Clause", "permissive", ["spdx_bsd3"]),
+    ("GPL-2.0", "copyleft", ["spdx_gpl2"]),
+    ("GPL-3.0", "copyleft", ["spdx_gpl3"]),
+    ("MPL-2.0", "copyleft", ["spdx_mpl"]),
+]
+#: A licence whose text holds all of another's: where the key holds, the value is left out.
+COVERS = {"BSD-3-Clause": "BSD-2-Clause"}
 #: Ends of sentences that may be wrapped over lines: a mark and white space, a line without letters or digits, the start of a numbered line.
 WRAPPED_BREAK = r"[.!?]+\s+|\n(?:[^A-Za-z0-9\n]*\n)+|\n(?=[^A-Za-z0-9\n]*[0-9]{1,2}[.)]\s)"
 BREAK = r"[.!?]+[ \t]+|\n+"
+#: Where grants begin or end inside a run without other marks (texts whose line ends were lost); looked up only for long sentences.
+FINER_BREAK = r"[.!?]+\s+|:\s+(?=[A-Z])|\s+(?=Permission is hereby granted|Permission to use, copy|Redistribution and use in source)"
+LONG = 60
 NOISE = r"[^a-z0-9]+"
 
 
@@ -88,8 +127,8 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kn
 
     n_sentences counts lines and sentences; a sentence wrapped over lines is looked up as a whole, and line by line where that is not known.
     A rule holds where its identifiers occur in order, anything between them.  licenses and kinds are sorted, distinct and
-    joined by '+'.  Null and empty texts have no sentences and no licence; repeated rows each get their row; other columns
-    are ignored.
+    joined by '+'; a licence whose text holds another's (`COVERS`) replaces it.  Null and empty texts have no sentences and no licence; very long
+    texts are read whole; repeated rows each get their row; other columns, of whatever names, are ignored; an empty table gives an empty result.
     """
     table = {s: name for name, s in (known or SENTENCES).items()} | ({} if known else WHOLE)
     rules = rules or RULES + WHOLE_RULES
@@ -100,17 +139,22 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kn
         F.col(doc_id).alias("doc_id"), F.size(F.filter(sentences(body), lambda s: s != "")).cast("long").alias("n_sentences"),
         F.transform(F.split(body, WRAPPED_BREAK), lambda s: F.struct(look(_normal(s)).alias("whole"), s.alias("s"))).alias("said"),
     )
-    ids = F.transform("said", lambda p: F.when(p["whole"].isNotNull(), F.array(p["whole"])).otherwise(F.array_compact(F.transform(sentences(p["s"]), look))))
+    finer = lambda s: F.array_compact(F.transform(F.filter(F.transform(F.split(s, FINER_BREAK), _normal), lambda x: F.length(x) >= LONG), look))
+    lines = lambda s: F.array_compact(F.transform(sentences(s), look))
+    found = lambda p: F.when(p["whole"].isNotNull(), F.array(p["whole"])).when(p["s"].rlike(FINER_BREAK), F.concat(lines(p["s"]), finer(p["s"]))).otherwise(lines(p["s"]))
+    ids = F.transform("said", found)
     said = said.select("doc_id", "n_sentences", F.flatten(ids).alias("ids"))
     said = said.withColumn("sentence_ids", F.concat_ws(" ", "ids"))
 
     def met(ids: list[str]) -> Column:
         return F.col("sentence_ids").rlike("(^| )" + " (.* )?".join(ids) + "( |$)")
 
+    less = F.array_compact(F.array(*[F.when(F.array_contains(F.col("hold"), more), F.lit(other)) for more, other in COVERS.items()]))
     hold = F.array(*[F.when(met(ids), F.lit(name)) for name, _, ids in rules])
     kinds = F.array(*[F.when(met(ids), F.lit(kind)) for _, kind, ids in rules])
     join = lambda x: F.concat_ws("+", F.array_sort(F.array_distinct(F.array_compact(x))))
-    return said.select("doc_id", "n_sentences", "sentence_ids", join(hold).alias("licenses"), join(kinds).alias("kinds"))
+    said = said.withColumn("hold", F.array_compact(hold))
+    return said.select("doc_id", "n_sentences", "sentence_ids", join(F.array_except("hold", less)).alias("licenses"), join(kinds).alias("kinds"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
