@@ -32,16 +32,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = apply_keep_bitmaps(docs, keep_bitmaps(docs))
+    """Repeated lines go; so do documents that have nothing but white space left of them (their lines are all in other documents)."""
+    kept = apply_keep_bitmaps(docs, keep_bitmaps(docs)).where(~((F.col("n_dropped") > 0) & F.col("text").rlike(r"^[\x20\x09-\x0D]*$")))
     return kept.select(*[F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group (five words, similarity 0.8)."""
-    groups = jaccard_groups(docs, k=5, num=80, den=100)
-    copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    copies = materialize(copies, "copies")
-    return join_small(docs, copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group (five words, similarity 0.8): that of the smallest doc_id, null last; rows without words stay."""
+    groups = jaccard_groups(docs, k=5, num=80, den=100).where("component is not null")
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
+    copies = groups.join(first, "component").where("rid <> first.rid")
+    kept = _without(docs, copies, "copies").withColumn("rid", _row_id())
+    again = materialize(groups.groupBy("rid").count().where("count > 1").select("rid"), "again")
+    if not again.limit(1).count():
+        return kept.select(*docs.columns)
+    single = join_small(kept, again, "rid", "left_anti").unionByName(join_small(kept, again, "rid", "left_semi").dropDuplicates(["rid"]))
+    return single.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

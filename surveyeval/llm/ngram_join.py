@@ -338,12 +338,12 @@ def _verified(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFram
 
 
 def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of `docs`: doc_id, rid, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity num/den or more).
+    """Per row of `docs`: doc_id, rid, n_shingles, component_id (smallest doc_id reachable by links of Jaccard similarity num/den or more), component.
 
     A-Z are lowered; words are runs of bytes other than ASCII white space; texts of fewer than k words have one shingle, their
     whole sequence; texts without words (or null) have none and link with nothing.  Equal sets always link.  A null doc_id
     never names a component: such rows take the smallest other doc_id, and null if there is none.  rid is a hash of doc_id
-    and text; repeated rows are reported as often as they come.  A very long text is one row and one set in memory.  Other columns, of whatever names, are
+    and text, component a number of the component (null for a text without words); repeated rows are reported as often as they come.  A very long text is one row and one set in memory.  Other columns, of whatever names, are
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -384,8 +384,8 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tied = nodes.join(comp.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("component", "s").alias("c"))
     tied = scratch.save(tied, "tied")
     roots = tied.groupBy("c").agg(F.min("least").alias("root"))
-    ids = tied.join(roots, "c").select("s", "root")
-    out = rows.join(ids, "s", "left").select(F.col("doc").alias("doc_id"), "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc")).alias("component_id"))
+    ids = tied.join(roots, "c").select("s", "root", "c")
+    out = rows.join(ids, "s", "left").select(F.col("doc").alias("doc_id"), "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("n") > 0, F.col("c")).alias("component"))
     out = materialize(out, "components")
     scratch.clear()
     return out
@@ -393,4 +393,4 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return jaccard_groups(docs, k=4, num=85, den=100).drop("rid")
+    return jaccard_groups(docs, k=4, num=85, den=100).drop("rid", "component")
