@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # Negative codes that mean a missing answer.
 MISSING_CODES = (-100, -99, -98, -97, -96, -95, -90, -80, -70, -60, -50, -40)
-# Labels that are no substantive answer, as whole labels and as parts.
-EMPTY_LABELS = ("", "na", "n.a.", "n/a", "dk", "iap")
-EMPTY_PARTS = ("refused", "don't know", "dont know", "do not know", "no answer", "not applicable", "inapplicable", "skipped", "cannot choose", "uncodeable", "not available")
+# Labels that are no substantive answer, as whole labels and as parts of labels.
+EMPTY_LABELS = ("na", "n/a", "n.a.", "dk", "dk/na", "na/dk")
+EMPTY_PARTS = ("refused", "no answer", "don't know", "do not know", "inapplicable", "not applicable", "skipped on web", "uncodable", "iap", "not asked", "not in survey")
 
 
 def is_missing(code: Column) -> Column:
@@ -17,9 +17,12 @@ def is_missing(code: Column) -> Column:
 
 
 def non_substantive(label: Column) -> Column:
-    """Null labels are substantive."""
+    """Null labels are substantive, blank ones are not."""
     text = F.lower(F.trim(label))
-    return F.coalesce(text.isin(*EMPTY_LABELS) | text.rlike("|".join(EMPTY_PARTS)), F.lit(False))
+    part = F.lit(False)
+    for x in EMPTY_PARTS:
+        part = part | F.contains(text, F.lit(x))
+    return F.coalesce((text == "") | text.isin(*EMPTY_LABELS) | part, F.lit(False))
 
 
 def truth_code(code: Column, label: Column) -> Column:
@@ -52,6 +55,11 @@ def exact_match(true_code: Column, pred_code: Column, parse_ok: Column) -> tuple
     return F.coalesce(hit, F.lit(0.0)), hit
 
 
+def unified_error(kind: Column, abs_err: Column, cat_match: Column, parse_ok: Column) -> Column:
+    """One error column for both treatments: the distance of likert answers, 1 less the match of categorical ones; null for failures."""
+    return F.when(parse_ok, F.when(kind == "likert", abs_err.cast("double")).otherwise(1.0 - cat_match))
+
+
 def item_format(n_options: Column) -> Column:
     return F.when(n_options == 2, "binary").when(n_options.isin(3, 4, 5, 7), F.concat(F.lit("likert"), n_options.cast("string"))).otherwise("categorical")
 
@@ -89,8 +97,9 @@ def relabel(column: Column, names: dict[str, str]) -> Column:
 
 
 def clean_label(label: Column) -> Column:
-    """Drop '(specify)' and a trailing '.0'; capitalise labels written all in capitals."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(label, r"(?i)\s*\(specify\)", ""), r"\.0$", ""))
+    """Drop '(specify)' and '(please specify)' and the '.0' of whole numbers; capitalise labels written all in capitals."""
+    text = F.trim(F.regexp_replace(label, r"(?i)\s*\((please\s+)?specify\)\s*", ""))
+    text = F.regexp_replace(text, r"^(-?\d+)\.0$", "$1")
     return F.when((F.upper(text) == text) & text.rlike("[A-Z]"), F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text))))).otherwise(text)
 
 

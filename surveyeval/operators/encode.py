@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +33,10 @@ def ridge_by_item(df: DataFrame, x: list[str], item: str = "item", y: str = "y",
     """
     df = df.withColumn("_g", F.concat_ws("|", F.col(item), F.col(fold).cast("string")))
     k = len(x) + 1
-    rows = ST.gram(df, x, y, "_g").collect()
     parts: dict[str, dict[str, tuple[np.ndarray, np.ndarray, int]]] = {}
-    for r in rows:
-        a = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                a[i, j] = a[j, i] = r[f"xx_{i}_{j}"]
-        name, f = r["_g"].rsplit("|", 1)
-        parts.setdefault(name, {})[f] = (a, np.array([r[f"xy_{i}"] for i in range(k)]), r["n"])
+    for key, (n, a, right, _) in ST.gram(df, x, y, "_g").items():
+        name, f = key.rsplit("|", 1)
+        parts.setdefault(name, {})[f] = (a, right, n)
     table = []
     ridge = np.diag([0.0] + [alpha] * (k - 1)) + 1e-9 * np.eye(k)
     for name, folds in parts.items():
@@ -63,24 +59,33 @@ def logistic_folds(df: DataFrame, x: list[str], y: str = "y", fold: str = "fold"
     """
     k = len(x) + 1
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-    cols = [F.lit(1.0), *[F.col(c) for c in x]]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     pen = np.diag([0.0] + [ridge] * (k - 1))
     betas = {f: np.zeros(k) for f in folds}
-    rows = df.select(F.col(fold).alias("_own"), F.col(y).cast("double").alias("_y"), *x)
+    rows = df.select(F.col(fold).cast("long").alias("own"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)])
+
+    def sums(at: dict):
+        def local(batches):
+            h, g = {f: np.zeros((k, k)) for f in at}, {f: np.zeros(k) for f in at}
+            for pdf in batches:
+                a, target, own = np.c_[np.ones(len(pdf)), pdf[[f"x{i}" for i in range(k - 1)]].to_numpy(float)], pdf["y"].to_numpy(), pdf["own"].to_numpy()
+                for f, b in at.items():
+                    q = a[own != f]
+                    p = 1 / (1 + np.exp(-np.clip(q @ b, -30, 30)))
+                    h[f] += (q * (p * (1 - p))[:, None]).T @ q
+                    g[f] += q.T @ (target[own != f] - p)
+            yield pd.DataFrame({"f": list(at), "h": [h[f].tobytes() for f in at], "g": [g[f].tobytes() for f in at]})
+
+        return rows.mapInPandas(local, "f long, h binary, g binary").collect()  # one matrix for each partition and fold
+
     for _ in range(steps):
-        models = F.array(*[F.struct(F.lit(f).alias("f"), F.array(*map(F.lit, map(float, b))).alias("b")) for f, b in betas.items()])
-        fit = rows.select("*", F.explode(models).alias("_m")).where(F.col("_m.f") != F.col("_own"))
-        p = 1 / (1 + F.exp(-sum((F.col("_m.b")[i] * c for i, c in enumerate(cols)), F.lit(0.0))))
-        fit = fit.withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
-        sums = fit.groupBy(F.col("_m.f").alias("f")).agg(*[F.sum(F.col("_w") * cols[i] * cols[j]).alias(f"h_{i}_{j}") for i, j in pairs], *[F.sum((F.col("_y") - F.col("_p")) * c).alias(f"g_{i}") for i, c in enumerate(cols)]).collect()
+        h, g = {f: np.zeros((k, k)) for f in folds}, {f: np.zeros(k) for f in folds}
+        for r in sums(betas):
+            h[r["f"]] += np.frombuffer(r["h"]).reshape(k, k)
+            g[r["f"]] += np.frombuffer(r["g"])
         largest = 0.0
-        for r in sums:
-            h = np.zeros((k, k))
-            for i, j in pairs:
-                h[i, j] = h[j, i] = r[f"h_{i}_{j}"]
-            move = np.linalg.solve(h + pen + 1e-9 * np.eye(k), np.array([r[f"g_{i}"] for i in range(k)]) - pen @ betas[r["f"]])
-            betas[r["f"]] = betas[r["f"]] + move
+        for f in folds:
+            move = np.linalg.solve(h[f] + pen + 1e-9 * np.eye(k), g[f] - pen @ betas[f])
+            betas[f] = betas[f] + move
             largest = max(largest, float(np.abs(move).max()))
         if largest < 1e-6:
             break

@@ -5,9 +5,10 @@ from __future__ import annotations
 from math import factorial
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring as S
 from . import stats as ST
 from . import tables as T
 
@@ -140,8 +141,5 @@ def battery_drops(df: DataFrame, batteries: DataFrame, B: int = 1000, least: int
     table = df.sparkSession.createDataFrame(rows, "battery string, bin string, delta double, n_pairs long, lo double, hi double, p double")
     nested = T.holm(table, ["bin"], key="battery").withColumnsRenamed({"p_adj": "p_bin", "significant": "significant_bin"})
     joint = T.holm(nested.withColumn("_all", F.lit(0)), ["_all"], key="battery").drop("_all").withColumnsRenamed({"p_adj": "p_all", "significant": "significant_all"})
-    from pyspark.sql import Window
-
-    label = F.when(F.abs("delta") < 0.02, "small").when(F.abs("delta") < 0.05, "modest").otherwise("substantive")
-    joint = joint.withColumn("effect", label).withColumn("substantive", F.col("significant_bin") & (F.col("effect") != "small") & F.coalesce(~F.isnan("lo") & (F.col("lo") > 0.02), F.lit(False)))
+    joint = joint.withColumn("effect", S.effect_label(F.col("delta"))).withColumn("substantive", S.substantive_flag(F.col("significant_bin"), F.col("effect"), F.col("lo")))
     return joint.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy(F.desc("delta"), "battery")).cast("long"))

@@ -78,23 +78,51 @@ def bca_bounds(draws: np.ndarray, point: float, skew: float, alpha: float = 0.05
     return tuple(float(v) for v in np.quantile(draws, [low, high]))
 
 
+def ratio_intervals(clusters: DataFrame, by: list[str], total: str, count: str, cluster: str = "rid", B: int = 1000, seed: int = 42, alpha: float = 0.05, method: str = "bca", least: int = 20) -> DataFrame:
+    """(by.., point, lo, hi, p, n) for each group: sum(total) / sum(count) with clusters resampled; a mean is the case count = 1.
+
+    One pass draws all groups: a cluster has the same weight in every group, a partition emits B rows a group, and nothing reaches the driver.
+    BCa intervals of fewer than `least` clusters are null; `method` percentile has no least.  p is two-sided, from the share of
+    replicates at or below 0.  Groups without a positive count are left out; group keys are not null.
+    """
+    held = clusters.select(*by, F.xxhash64(cluster).alias("_k"), F.coalesce(F.col(total).cast("double"), F.lit(0.0)).alias("_t"), F.coalesce(F.col(count).cast("double"), F.lit(0.0)).alias("_c"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.select(*by).schema.fields)
+
+    def draw(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                weights, x = poisson_weights(part["_k"].to_numpy(np.int64), B, seed), part[["_t", "_c"]].to_numpy(float)
+                for key, rows in part.groupby(by, sort=False).indices.items():
+                    key = key if isinstance(key, tuple) else (key,)
+                    sums[key] = sums.get(key, 0.0) + weights[:, rows] @ x[rows]
+        for key, x in sums.items():
+            yield pd.DataFrame({**dict(zip(by, ([k] * B for k in key), strict=True)), "replicate": np.arange(B), "s": x[:, 0], "c": x[:, 1]})
+
+    draws = held.mapInPandas(draw, f"{keys}, replicate long, s double, c double").groupBy(*by, "replicate").agg((F.sum("s") / F.when(F.sum("c") > 0, F.sum("c"))).alias("r"))
+    whole = held.groupBy(*by).agg(F.sum("_t").alias("s"), F.sum("_c").alias("c"), F.count("*").alias("n")).where("c > 0")
+    jack = F.when(F.col("_c") < F.col("c"), (F.col("s") - F.col("_t")) / (F.col("c") - F.col("_c")))
+    moments = held.join(whole, by).groupBy(*by).agg(F.first(F.col("s") / F.col("c")).alias("point"), F.first("n").alias("n"), F.skewness(jack).alias("skew"), F.var_pop(jack).alias("spread"), F.count(jack).alias("m"))
+
+    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, r = pdf.iloc[0], pdf["r"].dropna().to_numpy()
+        point, n = float(first["point"]), int(first["n"])
+        below = float((r <= 0).mean()) if len(r) else 0.5
+        row = {**{k: [first[k]] for k in by}, "point": [point], "lo": [float("nan")], "hi": [float("nan")], "p": [min(1.0, 2 * min(below, 1 - below) + 1 / B)], "n": [n]}
+        if len(r) and (method != "bca" or n >= least):
+            accel = -first["skew"] / (6 * sqrt(first["m"])) if method == "bca" and first["spread"] > 1e-30 else float("nan")
+            lo, hi = bca_bounds(r, point, accel, alpha) if method == "bca" else np.quantile(r, [alpha / 2, 1 - alpha / 2])
+            row |= {"lo": [float(lo)], "hi": [float(hi)]}
+        return pd.DataFrame(row)
+
+    return draws.join(moments, by).groupBy(*by).applyInPandas(bounds, f"{keys}, point double, lo double, hi double, p double, n long")
+
+
 def ratio_ci(clusters: DataFrame, total: str, count: str, cluster: str = "rid", B: int = 1000, seed: int = 42, alpha: float = 0.05) -> dict:
-    """BCa interval and two-sided p of sum(total) / sum(count) with clusters resampled; a mean is the case count = 1."""
-    s = clusters.agg(F.sum(total).alias("s"), F.sum(count).alias("c"), F.count("*").alias("n")).first()
-    if not s["n"]:
-        return {"point": None, "lo": None, "hi": None, "p": None, "n": 0}
-    point = s["s"] / s["c"]
-    jack = (s["s"] - F.col(total)) / (s["c"] - F.col(count))
-    mean = clusters.where(F.col(count) < s["c"]).agg(F.avg(jack).alias("m")).first()["m"]
-    if mean is None:
-        return {"point": point, "lo": point, "hi": point, "p": 1.0, "n": s["n"]}
-    d = F.lit(mean) - jack
-    m = clusters.agg(F.sum(d * d).alias("d2"), F.sum(d * d * d).alias("d3")).first()
-    skew = m["d3"] / (6 * m["d2"] ** 1.5) if m["d2"] > 1e-30 else float("nan")
-    draws = poisson_boot(clusters, cluster, [total, count], B, seed).where("w > 0").select((F.col(total) / F.col(count)).alias("r")).toPandas()["r"].to_numpy()
-    lo, hi = bca_bounds(draws, point, skew, alpha)
-    below = float((draws <= 0).mean())
-    return {"point": point, "lo": lo, "hi": hi, "p": min(1.0, 2 * min(below, 1 - below) + 1 / B), "n": s["n"]}
+    """The single row of `ratio_intervals` without groups, as a dict; all null for no clusters."""
+    row = ratio_intervals(clusters.withColumn("_all", F.lit(0)), ["_all"], total, count, cluster, B, seed, alpha).drop("_all").first()
+    return row.asDict() if row else {"point": None, "lo": None, "hi": None, "p": None, "n": 0}
 
 
 def wilcoxon(diffs: DataFrame, value: str = "delta") -> DataFrame:
@@ -112,26 +140,32 @@ def normal_p(z: float) -> float:
     return 2 * (1 - Z.cdf(abs(z)))
 
 
-def gram(df: DataFrame, x: list[str], y: str, by: str) -> DataFrame:
-    """Per group the sums of products of x (with intercept) and y, as plain aggregates: (by, n, xx_i_j, xy_i, yy)."""
-    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
-    k = len(cols)
-    aggs = [F.sum(cols[i] * cols[j]).alias(f"xx_{i}_{j}") for i in range(k) for j in range(i, k)]
-    aggs += [F.sum(c * F.col(y)).alias(f"xy_{i}") for i, c in enumerate(cols)]
-    return df.groupBy(by).agg(F.count("*").alias("n"), *aggs, F.sum(F.col(y) * F.col(y)).alias("yy"))
+def gram(df: DataFrame, x: list[str], y: str, by: str) -> dict:
+    """{group: (n, X'X, X'y, y'y)} with an intercept first: numpy products are summed in each partition, so wide tables need no wide plan."""
+    k = len(x) + 1
+    held = df.select(F.col(by).alias("_by"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], F.col(y).cast("double").alias("y"))
+
+    def local(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby("_by", sort=False):
+                a = np.c_[np.ones(len(part)), part[[*(f"x{i}" for i in range(k - 1)), "y"]].to_numpy(float)]
+                sums[key] = sums.get(key, 0.0) + a.T @ a
+        for key, a in sums.items():
+            yield pd.DataFrame({"_by": [key], "a": [a.tobytes()]})
+
+    out: dict = {}
+    kind = held.schema["_by"].dataType.simpleString()
+    for row in held.mapInPandas(local, f"_by {kind}, a binary").collect():  # one matrix for each partition and group
+        out[row["_by"]] = out.get(row["_by"], 0.0) + np.frombuffer(row["a"]).reshape(k + 1, k + 1)
+    return {g: (int(round(a[0, 0])), a[:k, :k], a[:k, k], float(a[k, k])) for g, a in out.items()}
 
 
 def ridge_folds(df: DataFrame, x: list[str], y: str, fold: str = "fold", alpha: float = 1.0) -> dict[int, np.ndarray]:
     """Ridge coefficients (intercept first, unpenalised) for each held-out fold: the whole Gram matrix less the fold's."""
     k = len(x) + 1
-    rows = gram(df, x, y, fold).collect()
-    xx, xy = {}, {}
-    for r in rows:
-        a = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                a[i, j] = a[j, i] = r[f"xx_{i}_{j}"]
-        xx[r[fold]], xy[r[fold]] = a, np.array([r[f"xy_{i}"] for i in range(k)])
+    sums = gram(df, x, y, fold)
+    xx, xy = {f: a for f, (_, a, _, _) in sums.items()}, {f: b for f, (_, _, b, _) in sums.items()}
     ridge = np.diag([0.0] + [alpha] * (k - 1))
     total, right = sum(xx.values()), sum(xy.values())
     return {f: np.linalg.solve(total - xx[f] + ridge + 1e-9 * np.eye(k), right - xy[f]) for f in xx}
@@ -140,14 +174,9 @@ def ridge_folds(df: DataFrame, x: list[str], y: str, fold: str = "fold", alpha:
 def clustered_ols(df: DataFrame, x: list[str], y: str, cluster: str = "rid") -> list[dict]:
     """OLS with cluster-robust errors: coefficients from sums of products, the meat from per-cluster score sums; normal p-values."""
     k = len(x) + 1
-    one = df.withColumn("_all", F.lit(0))
-    r = gram(one, x, y, "_all").first()
-    a = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = r[f"xx_{i}_{j}"]
+    n, a, right, _ = gram(df.withColumn("_all", F.lit(0)), x, y, "_all")[0]
     bread = np.linalg.inv(a)
-    beta = bread @ np.array([r[f"xy_{i}"] for i in range(k)])
+    beta = bread @ right
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x]]
     resid = F.col(y) - sum((float(b) * c for b, c in zip(beta[1:], cols[1:], strict=True)), F.lit(float(beta[0])))
     score = df.withColumn("_e", resid).groupBy(cluster).agg(*[F.sum(c * F.col("_e")).alias(f"u{i}") for i, c in enumerate(cols)])
@@ -156,7 +185,7 @@ def clustered_ols(df: DataFrame, x: list[str], y: str, cluster: str = "rid") ->
     for i in range(k):
         for j in range(i, k):
             meat[i, j] = meat[j, i] = m[f"m_{i}_{j}"]
-    g, n = m["g"], r["n"]
+    g = m["g"]
     cov = bread @ meat @ bread * (g / (g - 1) * (n - 1) / (n - k))
     out = []
     for i, name in enumerate(["intercept", *x]):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from . import stats as ST
 
 
 def r6(x: Column) -> Column:
@@ -43,10 +44,80 @@ def pair_conditions(df: DataFrame, base: str = "Full", value: str = "err") -> Da
 
 
 def pair_ablation(df: DataFrame, ablated: str = "random_battery_drop", base: str = "Full", value: str = "err") -> DataFrame:
-    """Rows (rid, item, battery_no, base, other) parsed in both arms."""
-    ok = df.where("parse_ok")
-    left = ok.where(F.col("condition") == ablated).select("rid", "item", "battery_no", F.col(value).alias("other"))
-    return left.join(ok.where(F.col("condition") == base).select("rid", "item", F.col(value).alias("base")), ["rid", "item"])
+    """Rows (rid, item, battery_no, base, other), and the ablated arm's model where there is one, parsed in both arms, from one aggregation.
+
+    There is one row for each respondent, item and condition.
+    """
+    more = [c for c in ("battery_no", "model") if c in df.columns]
+    arm = lambda c, *cols: F.max(F.when(F.col("condition") == c, F.struct(*cols)))
+    rows = df.where(F.col("parse_ok") & F.col("condition").isin(ablated, base)).groupBy("rid", "item")
+    rows = rows.agg(arm(base, value).alias("a"), arm(ablated, value, *more).alias("b")).where("a is not null and b is not null")
+    return rows.select("rid", "item", *[f"b.{c}" for c in more], F.col(f"a.{value}").alias("base"), F.col(f"b.{value}").alias("other"))
+
+
+def _columns() -> Column:
+    """The model's own column and the combined one."""
+    return F.explode(F.array(F.col("model"), F.lit("combined")))
+
+
+def bin_deltas(df: DataFrame, base: str = "Full") -> DataFrame:
+    """(rid, column, condition, delta): respondent means of each dropped group less the base, by model and for all models together."""
+    cells = df.groupBy("rid", "condition", "model").agg(F.sum("err").alias("s"), F.count("err").alias("n")).withColumn("column", _columns())
+    means = cells.groupBy("rid", "column", "condition").agg((F.sum("s") / F.sum("n")).alias("m")).where("m is not null")
+    both = means.groupBy("rid", "column").agg(F.max(F.when(F.col("condition") == base, F.col("m"))).alias("base"), F.collect_list(F.struct("condition", "m")).alias("all"))
+    each = both.where("base is not null").select("rid", "column", "base", F.explode("all").alias("x")).where(F.col("x.condition").startswith("drop_"))
+    return each.select("rid", "column", "x.condition", (F.col("x.m") - F.col("base")).alias("delta"))
+
+
+def bin_columns(df: DataFrame) -> DataFrame:
+    return bin_deltas(df).groupBy("condition", "column").agg(r6(F.avg("delta")).alias("delta"), F.count("*").alias("n"))
+
+
+def bin_intervals(df: DataFrame, B: int = 1000) -> DataFrame:
+    """T2: every dropped group's error delta by column with interval, p and Holm p over the groups of the column."""
+    rows = ST.ratio_intervals(bin_deltas(df).withColumn("one", F.lit(1.0)), ["condition", "column"], "delta", "one", B=B)
+    return holm(rows, ["column"], key="condition").select("condition", "column", F.col("point").alias("delta"), "lo", "hi", "p", F.col("p_adj").alias("p_holm"), "n")
+
+
+def battery_pairs(df: DataFrame) -> DataFrame:
+    """(rid, item, battery_no, column, delta) of pairs parsed in both arms."""
+    return pair_ablation(df).select("rid", "item", "battery_no", _columns().alias("column"), (F.col("other") - F.col("base")).alias("delta"))
+
+
+def battery_columns(df: DataFrame, batteries: DataFrame) -> DataFrame:
+    """Pair-level mean delta by battery and column, with counts and the battery's rank by the combined delta."""
+    out = battery_pairs(df).groupBy("battery_no", "column").agg(r6(F.avg("delta")).alias("delta"), F.count("*").alias("n_pairs"), F.countDistinct("rid").alias("n_respondents"), F.countDistinct("item").alias("n_items"))
+    out = out.join(batteries.select("battery_no", "battery"), "battery_no").drop("battery_no")
+    rank = F.row_number().over(Window.orderBy(F.desc("delta"), "battery")).cast("long")  # one row for each battery
+    order = out.where(F.col("column") == "combined").select("battery", rank.alias("rank"))
+    return out.join(order, "battery")
+
+
+def battery_intervals(df: DataFrame, batteries: DataFrame, B: int = 1000) -> DataFrame:
+    """T3: the columns of `battery_columns` with intervals of the pair-level mean, respondents resampled."""
+    sums = battery_pairs(df).groupBy("rid", "battery_no", "column").agg(F.sum("delta").alias("s"), F.count("*").cast("double").alias("c"))
+    ci = ST.ratio_intervals(sums, ["battery_no", "column"], "s", "c", B=B).join(batteries.select("battery_no", "battery"), "battery_no")
+    return battery_columns(df, batteries).join(ci.select("battery", "column", "lo", "hi"), ["battery", "column"])
+
+
+def headline_intervals(df: DataFrame, B: int = 1000) -> DataFrame:
+    """Respondent-macro error of every condition with its interval, and paired deltas to the base with interval and p (delta null for the base)."""
+    means = df.groupBy("rid", "condition").agg(F.avg("err").alias("m")).where("m is not null").withColumn("one", F.lit(1.0))
+    level = ST.ratio_intervals(means, ["condition"], "m", "one", B=B).select("condition", F.col("point").alias("macro"), "lo", "hi", "n")
+    delta = ST.ratio_intervals(pair_conditions(df).withColumn("one", F.lit(1.0)), ["condition"], "delta", "one", B=B)
+    return level.join(delta.select("condition", F.col("point").alias("delta"), F.col("lo").alias("delta_lo"), F.col("hi").alias("delta_hi"), "p"), "condition", "left")
+
+
+def condition_metrics(df: DataFrame) -> DataFrame:
+    """(condition, metric, respondent_macro, item_macro, pooled, n) of likert error, within-1 and category match on parsed answers."""
+    kind = S.treatment(F.col("fmt"), F.col("true_code"), F.col("pred_code"))
+    likert, nominal = F.col("parse_ok") & (kind == "likert"), F.col("parse_ok") & (kind == "categorical")
+    each = [("likert_mae", likert, F.col("abs_err").cast("double")), ("within1", likert, (F.col("abs_err") <= 1).cast("double")), ("cat_match", nominal, (F.col("abs_err") == 0).cast("double"))]
+    rows = df.select("condition", "rid", "item", F.explode(F.array_compact(F.array(*[F.when(ok, F.struct(F.lit(name).alias("metric"), v.alias("v"))) for name, ok, v in each]))).alias("x")).select("condition", "rid", "item", "x.*")
+    cell = rows.groupBy("condition", "metric", "rid", "item").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
+    macro = cell.groupBy("condition", "metric", "rid").agg((F.sum("s") / F.sum("n")).alias("m")).groupBy("condition", "metric").agg(r6(F.avg("m")).alias("respondent_macro"))
+    items = cell.groupBy("condition", "metric", "item").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("condition", "metric")
+    return macro.join(items.agg(r6(F.avg(F.col("s") / F.col("n"))).alias("item_macro"), r6(F.sum("s") / F.sum("n")).alias("pooled"), F.sum("n").alias("n")), ["condition", "metric"])
 
 
 def bin_delta(df: DataFrame) -> DataFrame:
@@ -55,7 +126,7 @@ def bin_delta(df: DataFrame) -> DataFrame:
 
 def battery_delta(df: DataFrame, batteries: DataFrame) -> DataFrame:
     """Pair-level mean delta by battery with pair, respondent and item counts."""
-    pairs = pair_ablation(df).join(F.broadcast(batteries), "battery_no")
+    pairs = pair_ablation(df).join(batteries, "battery_no")
     return pairs.groupBy("battery", "bin").agg(r6(F.avg(F.col("other") - F.col("base"))).alias("delta"), F.count("*").alias("n_pairs"), F.countDistinct("rid").alias("n_respondents"), F.countDistinct("item").alias("n_items"))
 
 
@@ -168,33 +239,44 @@ def main_effects(df: DataFrame) -> DataFrame:
     return sets.agg(r6(F.avg("err")).alias("err"), r6(F.avg("exact0")).alias("exact"), F.count("*").alias("n")).select(F.when(F.col("model").isNotNull(), "model").otherwise("prompt").alias("factor"), F.coalesce("model", "prompt").alias("level"), "err", "exact", "n")
 
 
+def _panels(df: DataFrame, models: list[str], *more: str) -> DataFrame:
+    """One row for each answer of a whole panel with a column for each model's code, by plain hash aggregation: (keys.., ok, m0, m1, ..)."""
+    code = lambda m: F.max(F.when(F.col("model") == m, F.col("pred_code")))
+    seen = F.bit_or(F.element_at(F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(1 << i))]), F.col("model")))
+    rows = df.where(F.col("model").isin(*models)).groupBy("rid", "prompt", "condition", "item", "sample", *more)
+    return rows.agg(seen.alias("_seen"), F.bool_and("parse_ok").alias("ok"), *[code(m).alias(f"m{i}") for i, m in enumerate(models)]).where(F.col("_seen") == (1 << len(models)) - 1).drop("_seen")
+
+
 def agreement(df: DataFrame, models: list[str]) -> DataFrame:
     """Strict agreement %: all expected models present, parsed and identical; failures stay in the denominator."""
-    rows = df.where(F.col("model").isin(*models)).groupBy("rid", "prompt", "condition", "item", "sample").agg(F.countDistinct("model").alias("k"), F.bool_and("parse_ok").alias("ok"), F.min("pred_code").alias("a"), F.max("pred_code").alias("b"))
-    rows = rows.where(F.col("k") == len(models))
-    same = F.col("ok") & (F.col("a") == F.col("b"))
-    return rows.groupBy("prompt", "condition").agg(F.count("*").alias("n"), F.count_if(same).alias("agree"), r6(100 * F.avg(F.coalesce(same, F.lit(False)).cast("double"))).alias("agreement"))
+    codes = [F.col(f"m{i}") for i in range(len(models))]
+    same = F.col("ok") & (F.least(*codes) == F.greatest(*codes)) if len(codes) > 1 else F.col("ok")
+    return _panels(df, models).groupBy("prompt", "condition").agg(F.count("*").alias("n"), F.count_if(same).alias("agree"), r6(100 * F.avg(F.coalesce(same, F.lit(False)).cast("double"))).alias("agreement"))
 
 
-def panel_code(df: DataFrame, models: list[str], seed: str = "42") -> DataFrame:
-    """The panel's answer: median snapped to the nearest valid code, or the mode for nominal items; ties by SHA-256.
+def panel_code(df: DataFrame, models: list[str], valid: Column | None = None) -> DataFrame:
+    """The panel's answer: the median of ordinal items, snapped to the nearest valid code; the mode of binary and categorical ones, and
+    of contingent ones where a model gave 7.
 
-    Tuples with a parse failure become failures (null); incomplete panels are dropped.
+    `valid` is the array of valid codes (lo to hi without one).  Ties are broken by a hash of item, respondent, sorted codes and
+    sorted candidates.  Tuples with a parse failure become failures (null); incomplete panels are dropped.
     """
-    rows = df.where(F.col("model").isin(*models)).groupBy("rid", "prompt", "condition", "item", "sample", "lo", "hi", "fmt").agg(F.countDistinct("model").alias("k"), F.bool_and("parse_ok").alias("ok"), F.array_sort(F.collect_list("pred_code")).alias("codes"))
-    rows = rows.where(F.col("k") == len(models))
+    rows = _panels(df, models, "lo", "hi", "fmt").withColumn("codes", F.array_sort(F.array(*[F.col(f"m{i}") for i in range(len(models))])))
     codes = F.col("codes")
     counted = F.transform(F.array_distinct(codes), lambda c: F.struct(F.size(F.filter(codes, lambda x: x == c)).alias("n"), c.alias("code")))
     most = F.array_max(F.transform(counted, lambda x: x["n"]))
     modes = F.array_sort(F.transform(F.filter(counted, lambda x: x["n"] == most), lambda x: x["code"]))
-    half = F.size(codes) / 2
-    lower, upper = F.element_at(codes, F.ceil(half).cast("int")), F.element_at(codes, (F.floor(half) + 1).cast("int"))
-    twice = lower + upper
-    middle = F.array_distinct(F.array(F.floor(twice / 2).cast("long"), F.ceil(twice / 2).cast("long")))
-    nominal = (F.col("fmt") == "binary") | ((F.col("fmt") == "contingent") & F.array_contains(codes, F.lit(7).cast("long")))
-    rows = rows.withColumn("options", F.when(nominal, modes).otherwise(middle))
-    pick = S.hash_pick(F.concat_ws("|", F.lit(seed), F.col("rid").cast("string"), "prompt", "item", F.col("sample").cast("string")), F.size("options"))
-    return rows.select("rid", "prompt", "condition", "item", "sample", "ok", F.when(F.col("ok"), F.element_at("options", (pick + 1).cast("int"))).alias("panel_code"))
+    k = len(models)
+    twice = F.element_at(codes, (k + 1) // 2) + F.element_at(codes, k // 2 + 1)
+    away = F.transform(F.array_sort(valid if valid is not None else F.sequence("lo", "hi")), lambda c: F.struct(F.abs(2 * c - twice).alias("far"), c.alias("code")))
+    near = F.array_min(F.transform(away, lambda x: x["far"]))
+    middle = F.transform(F.filter(away, lambda x: x["far"] == near), lambda x: x["code"])
+    nominal = F.col("fmt").isin("binary", "categorical") | ((F.col("fmt") == "contingent") & F.array_contains(codes, F.lit(7).cast("long")))
+    rows = rows.withColumn("options", F.when(F.col("ok"), F.when(nominal, modes).otherwise(middle)))
+    text = lambda x: F.array_join(x.cast("array<string>"), ",")
+    pick = S.hash_pick(F.concat_ws("|", "item", F.col("rid").cast("string"), text(codes), text(F.col("options"))), F.size("options"), 8)
+    code = F.when(F.size("options") == 1, F.element_at("options", 1)).otherwise(F.element_at("options", (pick + 1).cast("int")))
+    return rows.select("rid", "prompt", "condition", "item", "sample", "ok", F.when(F.col("ok"), code).alias("panel_code"))
 
 
 def no_profile(df: DataFrame) -> DataFrame:

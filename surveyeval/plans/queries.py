@@ -357,9 +357,9 @@ def _(spark, d):
 
 
 @query("ag_panel_code", f"""{A}, q AS (SELECT rid, prompt, condition, item, sample, lo, hi, fmt, bool_and(parse_ok) AS ok, list_sort(list(pred_code)) AS codes, sum(CASE WHEN pred_code = 7 THEN 1 ELSE 0 END) AS seven FROM p GROUP BY rid, prompt, condition, item, sample, lo, hi, fmt HAVING count(DISTINCT model) = 4),
- o AS (SELECT *, CASE WHEN fmt = 'binary' OR (fmt = 'contingent' AND seven > 0) THEN list_sort(list_filter(list_distinct(codes), lambda c: len(list_filter(codes, lambda x: x = c)) = list_max(list_transform(list_distinct(codes), lambda e: len(list_filter(codes, lambda x: x = e))))))
-  ELSE list_sort(list_distinct([CAST(floor((codes[2] + codes[3]) / 2.0) AS BIGINT), CAST(ceil((codes[2] + codes[3]) / 2.0) AS BIGINT)])) END AS options FROM q)
- SELECT rid, prompt, condition, item, CAST(sample AS BIGINT) AS sample, ok, CASE WHEN ok THEN options[CAST(CAST('0x' || substr(sha256('42|' || CAST(rid AS VARCHAR) || '|' || prompt || '|' || item || '|' || CAST(sample AS VARCHAR)), 1, 16) AS UBIGINT) % CAST(len(options) AS UBIGINT) AS BIGINT) + 1] END AS panel_code FROM o""")
+ o AS (SELECT *, CASE WHEN fmt IN ('binary', 'categorical') OR (fmt = 'contingent' AND seven > 0) THEN list_sort(list_filter(list_distinct(codes), lambda c: len(list_filter(codes, lambda x: x = c)) = list_max(list_transform(list_distinct(codes), lambda e: len(list_filter(codes, lambda x: x = e))))))
+  ELSE list_filter(range(lo, hi + 1), lambda c: abs(2 * c - codes[2] - codes[3]) = list_min(list_transform(range(lo, hi + 1), lambda e: abs(2 * e - codes[2] - codes[3])))) END AS options FROM q)
+ SELECT rid, prompt, condition, item, CAST(sample AS BIGINT) AS sample, ok, CASE WHEN ok THEN CASE WHEN len(options) = 1 THEN options[1] ELSE options[CAST(CAST('0x' || substr(sha256(item || '|' || CAST(rid AS VARCHAR) || '|' || array_to_string(codes, ',') || '|' || array_to_string(options, ',')), 1, 8) AS UBIGINT) % CAST(len(options) AS UBIGINT) AS BIGINT) + 1] END END AS panel_code FROM o""")
 def _(spark, d):
     return T.panel_code(panel(spark, d), FX.MODELS)
 
@@ -578,15 +578,14 @@ def _(spark, d):
 
 @query("st_paired_delta")
 def _(spark, d):
-    pairs = T.pair_conditions(pred(spark, d)).withColumn("one", F.lit(1.0)).cache()
-    rows = [{"condition": c, **ST.ratio_ci(pairs.where(F.col("condition") == c), "delta", "one")} for _, c, _ in FX.CONDITIONS if c.startswith("drop_")]
-    return spark.createDataFrame(rows, "condition string, point double, lo double, hi double, p double, n long")
+    pairs = T.pair_conditions(pred(spark, d)).where(F.col("condition").startswith("drop_")).withColumn("one", F.lit(1.0))
+    return ST.ratio_intervals(pairs, ["condition"], "delta", "one")
 
 
 @query("st_cluster_ratio")
 def _(spark, d):
     pairs = T.pair_ablation(pred(spark, d)).groupBy("rid").agg(F.sum(F.col("other") - F.col("base")).alias("s"), F.count("*").cast("double").alias("c"))
-    return spark.createDataFrame([ST.ratio_ci(pairs, "s", "c")], "point double, lo double, hi double, p double, n long")
+    return ST.ratio_intervals(pairs.withColumn("g", F.lit(0)), ["g"], "s", "c").drop("g")
 
 
 @query("st_clustered_ols")

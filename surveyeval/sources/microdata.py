@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 RECORD = """respondent_id INT, condition STRING, model STRING, prompt_id STRING, per_item_scores MAP<STRING, ARRAY<STRUCT<truth INT, persona_raw STRING, persona_code INT, parse_fail BOOLEAN, treatment STRING, abs_err DOUBLE, cat_match INT, skipped_missing_truth BOOLEAN, error_type STRING>>>"""
 
@@ -76,11 +80,13 @@ def guarded_parquet(spark: SparkSession, path: str, conditions: set[str]) -> Dat
 def append_new(spark: SparkSession, new: DataFrame, path: str, key: list[str]) -> int:
     """Append the rows whose key is not stored yet; returns how many."""
     stored = spark.read.parquet(path).select(*key).distinct()
-    fresh = new.dropDuplicates(key).join(stored, key, "left_anti").cache()
-    n = fresh.count()
+    fresh = new.dropDuplicates(key).join(stored, key, "left_anti")
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    fresh.write.parquet(staged)  # what is appended does not read the path it is appended to
+    rows = spark.read.schema(fresh.schema).parquet(staged)
+    n = rows.count()
     if n:
-        fresh.write.mode("append").parquet(path)
-    fresh.unpersist()
+        rows.write.mode("append").parquet(path)
     return n
 
 
@@ -96,3 +102,64 @@ def partial_guard(existing: int, expected: int) -> None:
     """Refuse to resume from fewer than 5 % of the expected rows (20 at least)."""
     if 0 < existing < max(0.05 * expected, 20):
         raise ValueError(f"{existing} of {expected} rows: too few to resume from")
+
+
+#: The long prediction table as it is stored, in column order.
+LONG_SCHEMA = """rid LONG, model STRING, prompt STRING, condition STRING, item STRING, fmt STRING, lo LONG, hi LONG, sample LONG, battery_no LONG, true_code LONG, pred_code LONG, parse_ok BOOLEAN, abs_err LONG,
+treatment STRING, cat_match LONG, error_type STRING, raw STRING, run_id STRING"""
+
+
+def load_year(df: DataFrame, year: float | None = 2024, columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """(rows of one year, requested columns that do not exist): projection and filter reach the scan; YEAR is kept, and needed for a year."""
+    if year is not None and "YEAR" not in df.columns:
+        raise ValueError("no YEAR column to filter by")
+    keep = [c for c in columns or df.columns if c in df.columns]
+    missing = sorted(set(columns or []) - set(keep))
+    for name in missing:
+        warnings.warn(f"requested but missing in data: {name}", stacklevel=2)
+    keep += ["YEAR"] if "YEAR" in df.columns and "YEAR" not in keep else []
+    return (df if year is None else df.where(F.col("YEAR") == year)).select(*keep), missing
+
+
+def json_table(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """(key, value) rows of a JSON file that holds one object, as reference tables do; `value` is the Spark type of its values."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {value}>").alias("x"))
+    return text.select(F.explode("x").alias("key", "value"))
+
+
+def records_array(spark: SparkSession, path: str) -> DataFrame:
+    """Records of files that hold one JSON array over many lines (or one record)."""
+    return spark.read.schema(RECORD).option("multiLine", True).json(path)
+
+
+def predictions_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV with a header read by column name: blanks are null, and values that do not fit their type are null."""
+    raw = spark.read.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    fields = StructType.fromDDL(schema).fields
+    blank = lambda c: F.when(F.trim(F.col(c)) != "", F.trim(F.col(c)))
+    return raw.select(*[(blank(f.name).try_cast("double").cast(f.dataType) if isinstance(f.dataType, (IntegerType, LongType)) else blank(f.name).try_cast(f.dataType)).alias(f.name) for f in fields])
+
+
+def write_long(df: DataFrame, path: str, protected: str | None = None) -> None:
+    """Write the long table with the columns and types of LONG_SCHEMA, by condition; columns it lacks are null.
+
+    Nothing is overwritten, and rows of more than one condition are refused at the `protected` path, which is for single-condition data.
+    """
+    if protected is not None and path.rstrip("/") == protected.rstrip("/") and df.select("condition").distinct().limit(2).count() > 1:
+        raise ValueError(f"{path} is for data of one condition")
+    fields = StructType.fromDDL(LONG_SCHEMA).fields
+    typed = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    typed.write.mode("errorifexists").partitionBy("condition").parquet(path)
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str, cohort: str) -> None:
+    """Each table of a cohort as Parquet and, with the same numbers, as CSV and JSON: <folder>/<cohort>/<table>.<kind>.
+
+    CSV and JSON are written from the stored Parquet, so resampled numbers agree in all three.
+    """
+    for name, table in tables.items():
+        place = f"{folder.rstrip('/')}/{cohort}/{name}"
+        table.write.mode("errorifexists").parquet(f"{place}.parquet")
+        stored = table.sparkSession.read.parquet(f"{place}.parquet")
+        stored.write.mode("errorifexists").option("header", True).csv(f"{place}.csv")
+        stored.write.mode("errorifexists").json(f"{place}.json")

@@ -15,7 +15,7 @@ from surveyeval.operators import stats as ST
 from surveyeval.operators import tables as T
 from surveyeval.operators import text as TX
 from surveyeval.operators import report as R
-from surveyeval.plans import composed_queries, report_queries  # noqa: F401  (register their queries)
+from surveyeval.plans import composed_queries, more_queries, report_queries  # noqa: F401  (register their queries)
 from surveyeval.plans.queries import ORACLE_SQL, QUERIES
 from surveyeval.sources import microdata as M
 from surveyeval.streaming import health as H
