@@ -122,6 +122,17 @@ def sentences(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), _normal)
 
 
+def cues(known: list[str]) -> list[str]:
+    """A few long words so that each known sentence holds at least one: the word in most sentences first."""
+    left, out = list(known), []
+    while left:
+        held = {w for s in left for w in s.split() if len(w) > 6} or {max(left[0].split(), key=len)}
+        best = max(held, key=lambda w: (sum(w in s for s in left), w))
+        out.append(best)
+        left = [s for s in left if best not in s]
+    return out
+
+
 def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: dict[str, str] | None = None, rules=None) -> DataFrame:
     """All rows of docs as (doc_id, n_sentences, sentence_ids, licenses, kinds): which licence rules each text satisfies.
 
@@ -132,18 +143,22 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kn
     """
     table = {s: name for name, s in (known or SENTENCES).items()} | ({} if known else WHOLE)
     rules = rules or RULES + WHOLE_RULES
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    cue = F.lit(False)
+    for word in cues(list(table)):  # texts without any of them hold no known sentence
+        cue = cue | F.contains(low, F.lit(word))
     table = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     body = F.coalesce(F.col(text), F.lit(""))
     look = lambda s: F.element_at(table, s)
     said = docs.select(
-        F.col(doc_id).alias("doc_id"), F.size(F.filter(sentences(body), lambda s: s != "")).cast("long").alias("n_sentences"),
-        F.transform(F.split(body, WRAPPED_BREAK), lambda s: F.struct(look(_normal(s)).alias("whole"), s.alias("s"))).alias("said"),
+        F.col(doc_id).alias("doc_id"), F.size(F.filter(F.split(body, BREAK), lambda s: F.lower(s).rlike("[a-z0-9]"))).cast("long").alias("n_sentences"),
+        F.when(cue, F.transform(F.split(body, WRAPPED_BREAK), lambda s: F.struct(look(_normal(s)).alias("whole"), s.alias("s")))).alias("said"),
     )
     finer = lambda s: F.array_compact(F.transform(F.filter(F.transform(F.split(s, FINER_BREAK), _normal), lambda x: F.length(x) >= LONG), look))
     lines = lambda s: F.array_compact(F.transform(sentences(s), look))
     found = lambda p: F.when(p["whole"].isNotNull(), F.array(p["whole"])).when(p["s"].rlike(FINER_BREAK), F.concat(lines(p["s"]), finer(p["s"]))).otherwise(lines(p["s"]))
     ids = F.transform("said", found)
-    said = said.select("doc_id", "n_sentences", F.flatten(ids).alias("ids"))
+    said = said.select("doc_id", "n_sentences", F.coalesce(F.flatten(ids), F.array().cast("array<string>")).alias("ids"))
     said = said.withColumn("sentence_ids", F.concat_ws(" ", "ids"))
 
     def met(ids: list[str]) -> Column:

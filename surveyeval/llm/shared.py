@@ -36,13 +36,26 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 FILTER_BITS = 1 << 25
 
 
-def bit_filter(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size for the longs x of `ids`: `passes` is true for each of them and, by chance, for some others."""
+def filter_table(ids: DataFrame) -> DataFrame:
+    """A filter of fixed size for the longs x of `ids` as rows (bucket, bits): at most FILTER_BITS / 32768 + 1 rows of 4 KB."""
     rows = ids.select(F.pmod("x", F.lit(FILTER_BITS)).alias("x")).distinct()
-    rows = rows.groupBy(F.expr("bitmap_bucket_number(x)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
+    return rows.groupBy(F.expr("bitmap_bucket_number(x)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(x))").alias("bits"))
+
+
+def with_passes(df: DataFrame, x, table: DataFrame, name: str) -> DataFrame:
+    """df plus a flag that is true for every x in the filter and, by chance, for some others; the broadcast is of fixed size."""
+    bits = table.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    held = df.withColumn("_x", F.pmod(x, F.lit(FILTER_BITS)))
+    held = held.join(F.broadcast(bits), F.expr("bitmap_bucket_number(_x)") == F.col("_bucket"), "left")
+    bit = F.expr("shiftright(cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_x) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(_x) % 8 as int)) % 2 = 1")
+    return held.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_x", "_bucket", "_bits")
+
+
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """The filter as an array, for `passes` inside tasks."""
     out = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
-    for row in rows.collect():  # at most FILTER_BITS / 32768 + 1 of them
-        out[row["b"]] = np.frombuffer(row["bits"], np.uint8)
+    for row in filter_table(ids).collect():
+        out[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return out
 
 

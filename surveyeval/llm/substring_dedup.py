@@ -12,13 +12,12 @@ shuffled (as far as a filter of fixed size can tell them).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import later_copies, mix, ngrams, runs, slices, sorted_pieces, utf8, word_hash, words
-from .shared import Scratch, bit_filter, join_small, materialize, passes, positional
+from .shared import Scratch, filter_table, join_small, materialize, positional, with_passes
 
 WINDOW = 20
 GRAM = 10
@@ -162,19 +161,12 @@ def remove_windows(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", te
 
     Columns of those two names are replaced; all others, of whatever names, are kept.  A null text becomes an empty one.
     """
-    spark = docs.sparkSession
     own, names = positional(docs, ("n_words", "n_removed"))
     body = f"c{names.index(text)}"
     spans = materialize(found.groupBy("doc", "sub").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
     held = _numbered(own, f"c{names.index(doc_id)}", body, own.columns)
-    marked = spark.sparkContext.broadcast(bit_filter(spans.select(F.xxhash64("doc", "sub").alias("x"))))
-
-    @F.pandas_udf("boolean")
-    def touched(x: pd.Series) -> pd.Series:
-        return pd.Series(passes(marked.value, x.to_numpy()))
-
     def cut(batches):
-        for batch in slices(batches, body, 8 << 20):
+        for batch in slices(batches, body):
             kept, count, removed = [], [], []
             for words, spans in zip(batch.column(body).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 own = (words or "").encode().split()
@@ -196,9 +188,10 @@ def remove_windows(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", te
 
     columns_in = own.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    may = touched(F.xxhash64("doc", "sub"))
-    rest = held.where(~may).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    some = held.where(may).join(spans, ["doc", "sub"], "left")
+    table = materialize(filter_table(spans.select(F.xxhash64("doc", "sub").alias("x"))), "filter")
+    held = with_passes(held, F.xxhash64("doc", "sub"), table, "may")
+    rest = held.where("not may").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    some = held.where("may").join(spans, ["doc", "sub"], "left")
     both = [x.select(*columns_in, "spans").mapInArrow(cut, f"{schema}, n_words long, n_removed long") for x in (rest, some)]
     return both[0].unionByName(both[1]).toDF(*names, "n_words", "n_removed")
 
