@@ -23,7 +23,7 @@ from .arrays import runs, slices, utf8, word_hash, words
 from .shared import Scratch, materialize
 from .substring_dedup import WINDOW, _numbered
 
-#: Words of a shard; one automaton takes about 40 bytes a word when broadcast and ten times that inside a task.
+#: Words of a shard; one automaton takes about 45 bytes a word when broadcast and some 15 times that inside a task.
 SHARD_WORDS = 200_000
 
 
