@@ -10,18 +10,19 @@ pass makes a small row of features, and all rounds work on those rows.
 from __future__ import annotations
 
 import math
-import zlib
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, FeatureHasher, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .arrays import slices
+from .arrays import LOWER, ngrams, slices, utf8, word_hash, words
 from .shared import join_small, materialize
 
 #: The classifier is fitted on at most about this many labelled rows, drawn by hash of doc_id.
@@ -55,29 +56,50 @@ def content_features(text: str) -> list[float]:
     return out + [min(2.0, int(seen[c]) / m) for c in MARKS]
 
 
-def gram_buckets(text: str) -> list[int]:
-    """The buckets of a text's lower-cased words and pairs of neighbouring words."""
-    own = text.lower().encode().split()
-    seen = {zlib.crc32(w) % BUCKETS for w in set(own)}
-    seen.update(zlib.crc32(b" ".join(pair)) % BUCKETS for pair in set(zip(own, own[1:])))  # noqa: B905  pairs end before the last word
-    return sorted(seen)
+def gram_buckets(column: pa.Array) -> np.ndarray:
+    """A row of flags for each text: the buckets of its words (A-Z lower-cased) and of its pairs of neighbouring words."""
+    data, off = utf8(column)
+    data = LOWER[data]
+    starts, ends, first = words(data, off)
+    h, owner = word_hash(data, starts, ends), np.repeat(np.arange(len(column)), np.diff(first))
+    seen = np.zeros((len(column), BUCKETS), bool)
+    seen[owner, h % np.uint64(BUCKETS)] = True
+    within = owner[1:] == owner[:-1]
+    seen[owner[1:][within], ngrams(h, 2)[within] % np.uint64(BUCKETS)] = True
+    return seen
+
+
+#: How a vector is stored in Parquet; `_content` is written in this form and read back as a vector.
+STORED_VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
+def _content(column: pa.Array) -> pa.StructArray:
+    """The content features of texts as sparse vectors: how they are written, then their buckets."""
+    style = np.array([content_features(t or "") for t in column.to_pylist()])
+    used = np.hstack([style != 0, gram_buckets(column)])
+    row, at = np.nonzero(used)
+    values = np.ones(len(at))
+    styled = at < style.shape[1]
+    values[styled] = style[row[styled], at[styled]]
+    ends = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)
+    n = len(column)
+    parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, used.shape[1], np.int32)), pa.ListArray.from_arrays(ends, at.astype(np.int32)), pa.ListArray.from_arrays(ends, values)]
+    return pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
 
 
 def _featured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(rid, doc_id, source, lang, length, x, grams) of every row."""
+    """(rid, doc_id, source, lang, length, content) of every row."""
 
     def local(batches):
         for batch in slices(batches, "_text"):
-            texts = batch.column("_text").to_pylist()
-            x, grams = [content_features(t or "") for t in texts], [gram_buckets(t or "") for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float32())), pa.array(grams, pa.list_(pa.int16()))], [*batch.schema.names[:-1], "x", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _content(batch.column("_text"))], [*batch.schema.names[:-1], "content"])
 
     has = set(docs.columns)
     meta = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c in has else F.lit("-").alias(c) for c in ("source", "lang")]
     length = F.coalesce(F.col("n_chars").cast("double") if "n_chars" in has else F.lit(None).cast("double"), F.length(text).cast("double"), F.lit(0.0))
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.xxhash64(doc_id, F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.col(doc_id).alias("doc_id"), *meta, F.log1p(F.greatest(length, F.lit(0.0))).alias("length"), F.col(text).alias("_text"))
-    return rows.mapInArrow(local, f"rid long, doc_id {kind}, source string, lang string, length double, x array<float>, grams array<short>")
+    return rows.mapInArrow(local, f"rid long, doc_id {kind}, source string, lang string, length double, content {STORED_VECTOR}")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
@@ -95,21 +117,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     sample = materialize(given.where(unit < rate), "labels")
     base = _featured(docs, doc_id, text)
     base = FeatureHasher(inputCols=["source", "lang", "bin"], outputCol="hashed", numFeatures=256).transform(base.withColumn("bin", F.round(F.col("length") * 2).cast("int").cast("string")))
-    base = base.withColumn("metadata", vector_to_array("hashed", "float32")).withColumn("metadata", F.concat("metadata", F.array(F.col("length").cast("float"))))
-    # the hashed vector is nearly all zeros and compresses to little
-    base = materialize(base.select("rid", "doc_id", F.col("x").alias("content"), "grams", "metadata"), "features")
-    vocabulary = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], inputCol="_grams", outputCol="_presence")
-    vocabulary.setBinary(True)
-    both = VectorAssembler(inputCols=["_style", "_presence"], outputCol="features")
-
-    def view(df: DataFrame, name: str) -> DataFrame:
-        """df with the vector `features` of a view."""
-        if name == "metadata":
-            return df.withColumn("features", array_to_vector(F.col("metadata")))
-        df = df.withColumn("_grams", F.col("grams").cast("array<string>")).withColumn("_style", array_to_vector(F.col("content")))
-        return both.transform(vocabulary.transform(df)).drop("_grams", "_presence", "_style")
-
-    columns = {"content": ["content", "grams"], "metadata": ["metadata"]}
+    base = VectorAssembler(inputCols=["hashed", "length"], outputCol="metadata").transform(base).select("rid", "doc_id", "content", "metadata")
+    read = StructType([StructField(f.name, VectorUDT()) if f.name == "content" else f for f in base.schema])
+    base = materialize(base, "features", read)
+    views = ("content", "metadata")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(6)), "rid")  # the sample is bounded
     known = materialize(join_small(base, sample, "doc_id").withColumn("held", F.row_number().over(order) % 4 == 0), "labelled")
     counts = {(r["label"], r["held"]): r["count"] for r in known.groupBy("label", "held").count().collect()}
@@ -125,31 +136,32 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     calibrate = min(counts.get((c, True), 0) for c in classes) >= LEAST_HELD
 
     def fit(name: str, extra: DataFrame | None):
-        rows = view(known.where("not held" if calibrate else "true"), name).select("features", "label", F.lit(1.0).alias("weight"))
+        rows = known.where("not held" if calibrate else "true").select(name, "label", F.lit(1.0).alias("weight"))
         if extra is not None and (n := extra.count()):
-            rows = rows.unionByName(view(extra, name).select("features", "label", F.lit(min(1.0, n_known / n)).alias("weight")))
-        model = LogisticRegression(maxIter=12, regParam=1e-3, weightCol="weight", standardization=True).fit(rows)
+            rows = rows.unionByName(extra.withColumn("weight", F.lit(min(1.0, n_known / n))))
+        model = LogisticRegression(featuresCol=name, maxIter=12, regParam=1e-3, weightCol="weight", standardization=True).fit(rows)
         if not calibrate:
             return model, 1.0, 0.0
-        scored = model.transform(view(known.where("held"), name).select("features", "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
+        scored = model.transform(known.where("held").select(name, "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
         platt = LogisticRegression(maxIter=10, regParam=1e-4).fit(scored.select(array_to_vector(F.array("m")).alias("features"), "label"))
         return model, float(platt.coefficients[0]), float(platt.intercept)
 
     def odds(df: DataFrame, name: str, fitted) -> DataFrame:
         """Add the calibrated log-odds of a view."""
         model, a, b = fitted
-        df = model.transform(view(df, name)).withColumn(f"o_{name}", vector_to_array("rawPrediction")[1] * a + b)
-        return df.drop("features", "rawPrediction", "probability", "prediction")
+        df = model.transform(df).withColumn(f"o_{name}", vector_to_array("rawPrediction")[1] * a + b)
+        return df.drop("rawPrediction", "probability", "prediction")
 
-    extra: dict[str, DataFrame | None] = {"content": None, "metadata": None}
-    fitted = {v: fit(v, None) for v in columns}
+    extra: dict[str, DataFrame | None] = {v: None for v in views}
+    fitted = {v: fit(v, None) for v in views}
     unlabelled = join_small(base, known.select("rid"), "rid", "left_anti")
     edge = math.log(confident / (1 - confident))
     for _ in range(rounds):
-        for teacher, pupil in (("content", "metadata"), ("metadata", "content")):
+        for teacher, pupil in (views, views[::-1]):
+            # not written anew: a pass over the features costs less than a copy of them
             sure = odds(unlabelled, teacher, fitted[teacher]).where(F.abs(f"o_{teacher}") >= edge)
-            extra[pupil] = materialize(sure.select(*columns[pupil], (F.col(f"o_{teacher}") > 0).cast("double").alias("label")), "pseudo")
-        fitted = {v: fit(v, extra[v]) for v in columns}
+            extra[pupil] = sure.select(pupil, (F.col(f"o_{teacher}") > 0).cast("double").alias("label"))
+        fitted = {v: fit(v, extra[v]) for v in views}
     scored = odds(odds(base, "content", fitted["content"]), "metadata", fitted["metadata"])
     p = lambda x: 1 / (1 + F.exp(-x))
     total = F.col("o_content") + F.col("o_metadata") - F.lit(prior)

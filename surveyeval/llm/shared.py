@@ -24,12 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str = "step", schema=None) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back (by `schema` where given): cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 #: Bits of `bit_filter`; fixed, so it is 4 MB at most.
