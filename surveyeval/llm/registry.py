@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for the entry module."""
 
-from . import chat, decontaminate, licenses, line_dedup, media, mixing, ngram_join, quality, substring_dedup, toxicity
+from . import chat, cross_tokens, decontaminate, licenses, line_dedup, media, mixing, ngram_join, periodic_runs, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,9 @@ QUERIES = {
         decontaminate.op8_decontaminate,
         line_dedup.op9_line_dedup,
         licenses.op10_license_scan,
+        periodic_runs.op11_periodic_runs,
+        cross_tokens.op12_cross_tokens,
+        suffix_dedup.op13_suffix_array_dedup,
     )
 }
 ORACLE_SQL = {
