@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import stats as ST
+from .baseline import find_columns
 
 
 def encode(df: DataFrame, numeric: list[str], nominal: list[str], clip: float = 50.0, flat: float = 1e-6) -> tuple[DataFrame, list[str]]:
     """Adds model columns x0, x1, ... and returns their meanings.
 
     Numbers get the mean where null; each level of a nominal column, MISSING included, becomes 0/1.  Columns with a deviation up to `flat` are
-    left out, the others are divided by it without centring and clipped.  Levels are collected: nominal columns must be codes, not ids.
+    left out, the others are divided by it without centring and clipped.  Levels are collected: nominal columns of over 1,000 levels are refused.
     """
-    levels = {c: sorted(r[0] for r in df.select(F.coalesce(F.col(c).cast("string"), F.lit("MISSING"))).distinct().collect()) for c in nominal}
+    levels = find_columns(df, [], nominal).levels
     means = df.agg(*[F.avg(c).alias(c) for c in numeric]).first() if numeric else {}
     raw: list[tuple[str, Column]] = [(c, F.coalesce(F.col(c).cast("double"), F.lit(float(means[c] if means[c] is not None else 0.0)))) for c in numeric]
     raw += [(f"{c}={v}", (F.coalesce(F.col(c).cast("string"), F.lit("MISSING")) == v).cast("double")) for c in nominal for v in levels[c]]
@@ -73,15 +74,16 @@ def logistic_folds(df: DataFrame, x: list[str], y: str = "y", fold: str = "fold"
                     p = 1 / (1 + np.exp(-np.clip(q @ b, -30, 30)))
                     h[f] += (q * (p * (1 - p))[:, None]).T @ q
                     g[f] += q.T @ (target[own != f] - p)
-            yield pd.DataFrame({"f": list(at), "h": [h[f].tobytes() for f in at], "g": [g[f].tobytes() for f in at]})
+            for f in at:
+                yield pd.DataFrame({"f": [f] * k, "i": np.arange(k, dtype=np.int32), "v": [r.tobytes() for r in np.c_[h[f], g[f]]]})
 
-        return rows.mapInPandas(local, "f long, h binary, g binary").collect()  # one matrix for each partition and fold
+        return ST.summed(rows.mapInPandas(local, "f long, i int, v binary"), ("f",)).collect()  # one matrix for each fold
 
     for _ in range(steps):
         h, g = {f: np.zeros((k, k)) for f in folds}, {f: np.zeros(k) for f in folds}
         for r in sums(betas):
-            h[r["f"]] += np.frombuffer(r["h"]).reshape(k, k)
-            g[r["f"]] += np.frombuffer(r["g"])
+            v = np.frombuffer(r["v"])
+            h[r["f"]][r["i"]], g[r["f"]][r["i"]] = v[:k], v[k]
         largest = 0.0
         for f in folds:
             move = np.linalg.solve(h[f] + pen + 1e-9 * np.eye(k), g[f] - pen @ betas[f])

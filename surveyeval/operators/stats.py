@@ -8,6 +8,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,23 +126,108 @@ def ratio_ci(clusters: DataFrame, total: str, count: str, cluster: str = "rid",
     return row.asDict() if row else {"point": None, "lo": None, "hi": None, "p": None, "n": 0}
 
 
+def cumulative(freq: DataFrame, order: str, count: str, borders: int = 64) -> DataFrame:
+    """freq plus `before`: the sum of `count` over all rows of smaller `order` (one row for each value of it).
+
+    Values are dealt to ranges by `borders` approximate quantiles; a running sum inside a range and the totals of the ranges before
+    it (at most borders + 1 rows) give the answer, so no task sorts all rows.
+    """
+    cuts = freq.agg(F.percentile_approx(order, [i / borders for i in range(1, borders)], 10_000)).first()[0] or []
+    ranged = freq.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col(order))))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(F.sum(count).alias("_all"))
+    offset = totals.select("_range", F.coalesce(F.sum("_all").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))  # one row for each range
+    rows = ranged.withColumn("_inside", F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    return rows.join(F.broadcast(offset), "_range").withColumn("before", F.col("_offset") + F.col("_inside")).drop("_range", "_offset", "_inside")
+
+
+def signed_ranks(diffs: DataFrame, value: str = "delta") -> DataFrame:
+    """One row (n, w_plus, ties, zeros, better): sums of the signed-rank test with average ranks of equal |d|; zeros and nulls take no rank."""
+    d = F.col(value).cast("double")
+    freq = diffs.where(d.isNotNull() & (d != 0)).groupBy(F.abs(d).alias("d")).agg(F.count("*").alias("t"), F.count_if(d > 0).alias("pos"))
+    ranked = cumulative(freq, "d", "t").withColumn("r", F.col("before") + (F.col("t") + 1) / 2)
+    sums = ranked.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(F.col("r") * F.col("pos")).alias("w_plus"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"), F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"))
+    return sums.join(diffs.agg(F.count_if(d == 0).alias("zeros"), F.count(d).alias("n_all"), F.avg(d).alias("mean")))
+
+
+def _z(s: DataFrame) -> DataFrame:
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    return s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(F.when(var > 0, var)))
+
+
 def wilcoxon(diffs: DataFrame, value: str = "delta") -> DataFrame:
-    """Signed-rank test by normal approximation with average ties; ranks come from a frequency table of |d|, so no single-task sort of rows."""
-    freq = diffs.where(F.col(value).isNotNull() & (F.col(value) != 0)).groupBy(F.abs(value).alias("d")).agg(F.count("*").alias("t"), F.count_if(F.col(value) > 0).alias("pos"))
-    w = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2
-    s = freq.withColumn("r", rank).agg(F.sum("t").cast("double").alias("n"), F.sum(F.col("r") * F.col("pos")).alias("w"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
-    var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    z = (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)
-    return s.select(F.col("n").cast("long").alias("n"), F.round("w", 1).alias("w_plus"), F.round(z, 6).alias("z"))
+    """Signed-rank statistic and its normal score with average ties, in one row; null for no differences."""
+    return _z(signed_ranks(diffs, value)).select(F.col("n").cast("long").alias("n"), F.round("w_plus", 1).alias("w_plus"), F.round("z", 6).alias("z"))
+
+
+def exact_signed_rank_p(n: int, w: float) -> float:
+    """Two-sided exact p of the signed-rank sum of n untied differences: the share of the 2^n sign choices that are as far out."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1.0
+    for r in range(1, n + 1):
+        ways[r:] += ways[: len(ways) - r].copy()
+    share = ways / ways.sum()
+    return float(min(1.0, 2 * min(share[: int(w) + 1].sum(), share[int(np.ceil(w)) :].sum())))
+
+
+def wilcoxon_test(diffs: DataFrame, value: str = "delta", cluster: str = "rid", B: int = 1000, seed: int = 42, exact: int = 50) -> DataFrame:
+    """One row: n (differences that are not 0), n_zero, w_plus, z, p, method, share_better, mean, lo, hi.
+
+    p is two-sided: exact for up to `exact` differences without ties or zeros, else from the normal approximation with the tie correction and no
+    continuity correction; null where no difference is left.  share_better is the share of all differences below 0 (the first arm errs more); the mean
+    difference has a percentile interval with clusters resampled.  Null differences do not count.
+    """
+    s = _z(signed_ranks(diffs, value)).first()  # one row
+    n, zeros = int(s["n"]), int(s["zeros"])
+    small = 0 < n <= exact and not zeros and not s["ties"]
+    p = exact_signed_rank_p(n, s["w_plus"]) if small else normal_p(s["z"]) if s["z"] is not None else None
+    ci = ratio_intervals(diffs.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1.0)), ["_all"], value, "_one", cluster, B, seed, method="percentile").first()
+    row = (n, zeros, s["w_plus"], s["z"], p, ("exact" if small else "normal") if n else None, (n - int(s["pos"])) / int(s["n_all"]) if s["n_all"] else None, s["mean"], ci["lo"] if ci else None, ci["hi"] if ci else None)
+    return diffs.sparkSession.createDataFrame([row], "n long, n_zero long, w_plus double, z double, p double, method string, share_better double, mean double, lo double, hi double")
 
 
 def normal_p(z: float) -> float:
-    return 2 * (1 - Z.cdf(abs(z)))
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def summed(parts: DataFrame, keys: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(keys.., i, v): packed rows of doubles (v) added up by key and row number i.
+
+    Tasks that hold partial matrices emit them row by row; every (key, i) is summed as it streams by, so no task holds the
+    matrices of all partitions and nothing reaches the driver.
+    """
+    names = [*keys, "i"]
+
+    def add(batches):
+        now, total = None, None
+        for batch in batches:
+            done: list[list] = [[] for _ in range(len(names) + 1)]
+
+            def put(done=done):
+                for column, x in zip(done, (*now, total.tobytes()), strict=True):
+                    column.append(x)
+
+            for *key, v in zip(*[batch.column(c).to_pylist() for c in (*names, "v")], strict=True):
+                a = np.frombuffer(v)
+                if tuple(key) == now:
+                    total = total + a
+                else:
+                    if now is not None:
+                        put()
+                    now, total = tuple(key), a
+            if done[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, batch.schema.field(c).type) for c, x in zip((*names, "v"), done, strict=True)], [*names, "v"])
+            schema = batch.schema
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], schema.field(c).type) for c, x in zip((*names, "v"), (*now, total.tobytes()), strict=True)], [*names, "v"])
+
+    held = parts.select(*names, "v").repartition(*names).sortWithinPartitions(*names)
+    return held.mapInArrow(add, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields))
 
 
 def gram(df: DataFrame, x: list[str], y: str, by: str) -> dict:
-    """{group: (n, X'X, X'y, y'y)} with an intercept first: numpy products are summed in each partition, so wide tables need no wide plan."""
+    """{group: (n, X'X, X'y, y'y)} with an intercept first: products are summed in each partition and merged by group in Spark; one matrix a group is returned."""
     k = len(x) + 1
     held = df.select(F.col(by).alias("_by"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(x)], F.col(y).cast("double").alias("y"))
 
@@ -152,12 +238,12 @@ def gram(df: DataFrame, x: list[str], y: str, by: str) -> dict:
                 a = np.c_[np.ones(len(part)), part[[*(f"x{i}" for i in range(k - 1)), "y"]].to_numpy(float)]
                 sums[key] = sums.get(key, 0.0) + a.T @ a
         for key, a in sums.items():
-            yield pd.DataFrame({"_by": [key], "a": [a.tobytes()]})
+            yield pd.DataFrame({"_by": [key] * (k + 1), "i": np.arange(k + 1, dtype=np.int32), "v": [r.tobytes() for r in a]})
 
     out: dict = {}
     kind = held.schema["_by"].dataType.simpleString()
-    for row in held.mapInPandas(local, f"_by {kind}, a binary").collect():  # one matrix for each partition and group
-        out[row["_by"]] = out.get(row["_by"], 0.0) + np.frombuffer(row["a"]).reshape(k + 1, k + 1)
+    for row in summed(held.mapInPandas(local, f"_by {kind}, i int, v binary"), ("_by",)).collect():
+        out.setdefault(row["_by"], np.zeros((k + 1, k + 1)))[row["i"]] = np.frombuffer(row["v"])
     return {g: (int(round(a[0, 0])), a[:k, :k], a[:k, k], float(a[k, k])) for g, a in out.items()}
 
 

@@ -14,7 +14,8 @@ from . import stats as ST
 
 
 def r6(x: Column) -> Column:
-    return F.round(x, 6)
+    """Six places, whatever the order of a sum: the noise of its last bits is rounded off first, so exact halves always go up."""
+    return F.round(F.round(x, 12), 6)
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -156,6 +157,26 @@ def parse_failures(df: DataFrame) -> DataFrame:
     return df.groupBy("item", "model").agg(r6(1 - F.avg(F.col("parse_ok").cast("double"))).alias("parse_fail"), F.count("*").alias("n"))
 
 
+def item_pivot(df: DataFrame, by: list[str], models: list[str], count: bool = False) -> DataFrame:
+    """T0 and T1 as they are printed: a column of mean errors for each model and one for all together; with `count` the rows behind the latter."""
+    long = item_table(df, [*by, "model"])
+    out = long.groupBy(*by).pivot("model", [*models, "combined"]).agg(F.first("err"))
+    return out.join(long.where("model = 'combined'").select(*by, F.col("n").alias("n_pairs")), by) if count else out
+
+
+def parse_failure_pivot(df: DataFrame, models: list[str]) -> DataFrame:
+    """T5: the share of answers that could not be parsed, by item with a column for each model and one for all together."""
+    sets = df.groupingSets([[F.col("item"), F.col("model")], [F.col("item")]], "item", "model")
+    rate = sets.agg(r6(1 - F.avg(F.col("parse_ok").cast("double"))).alias("fail")).withColumn("model", F.coalesce("model", F.lit("combined")))
+    return rate.groupBy("item").pivot("model", [*models, "combined"]).agg(F.first("fail"))
+
+
+def policy_gap(df: DataFrame, condition: str = "Full") -> DataFrame:
+    """One row: the respondent-macro error of a condition with failures as misses and with failures left out, the gap, and the respondents of each."""
+    means = df.where(F.col("condition") == condition).groupBy("rid").agg(F.avg("err").alias("a"), F.avg("err_opt").alias("b"))
+    return means.agg(r6(F.avg("a")).alias("conservative"), r6(F.avg("b")).alias("optimistic"), r6(F.avg("a") - F.avg("b")).alias("gap"), F.count("a").alias("n"), F.count("b").alias("n_optimistic"))
+
+
 def respondent_condition(df: DataFrame) -> DataFrame:
     """Per respondent and condition: likert MAE, within-1 %, category match %, parse failure %, self-consistency % of samples 1 and 2."""
     kind = S.treatment(F.col("fmt"), F.col("true_code"), F.col("pred_code"))
@@ -233,10 +254,42 @@ def collapse(df: DataFrame) -> DataFrame:
     return prof.select("model", "item", "distinct_codes", "top1_share", F.when(F.col("k") >= 3, F.col("top1_share") > 0.95).otherwise(F.col("distinct_codes") == 1).alias("collapsed"))
 
 
+def _levels(df: DataFrame) -> DataFrame:
+    """(rid, factor, level, err, exact, n): a respondent's mean over cells and items, samples first, for every model and prompt."""
+    cell = df.groupBy("rid", "item", "model", "prompt").agg(F.avg("err").alias("e"), F.avg("exact0").alias("x"), F.count("*").alias("n"))
+    both = F.explode(F.array(F.struct(F.lit("model").alias("factor"), F.col("model").alias("level")), F.struct(F.lit("prompt").alias("factor"), F.col("prompt").alias("level"))))
+    return cell.select("rid", both.alias("f"), "e", "x", "n").groupBy("rid", "f.factor", "f.level").agg(F.avg("e").alias("err"), F.avg("x").alias("exact"), F.sum("n").alias("n"))
+
+
 def main_effects(df: DataFrame) -> DataFrame:
-    """Mean error and exact match by model and by prompt, from one pass."""
-    sets = df.groupingSets([[F.col("model")], [F.col("prompt")]], "model", "prompt")
-    return sets.agg(r6(F.avg("err")).alias("err"), r6(F.avg("exact0")).alias("exact"), F.count("*").alias("n")).select(F.when(F.col("model").isNotNull(), "model").otherwise("prompt").alias("factor"), F.coalesce("model", "prompt").alias("level"), "err", "exact", "n")
+    """Respondent-macro error and exact match by model (over prompts) and by prompt (over models)."""
+    return _levels(df).groupBy("factor", "level").agg(r6(F.avg("err")).alias("err"), r6(F.avg("exact")).alias("exact"), F.sum("n").alias("n"), F.count("*").alias("n_respondents"))
+
+
+def main_effect_intervals(df: DataFrame, B: int = 1000) -> DataFrame:
+    """`main_effects` with percentile intervals of the error, respondents resampled."""
+    ci = ST.ratio_intervals(_levels(df).withColumn("one", F.lit(1.0)), ["factor", "level"], "err", "one", B=B, method="percentile")
+    return main_effects(df).join(ci.select("factor", "level", "lo", "hi"), ["factor", "level"])
+
+
+def _difficulty(df: DataFrame) -> DataFrame:
+    """(item, rid, err, exact): a respondent's mean over the cells that asked the item, samples first."""
+    cell = df.groupBy("item", "rid", "model", "prompt").agg(F.avg("err").alias("e"), F.avg("exact0").alias("x"), F.count("*").alias("n"))
+    return cell.groupBy("item", "rid").agg(F.avg("e").alias("err"), F.avg("x").alias("exact"), F.sum("n").alias("n"))
+
+
+def item_difficulty(df: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per item over all cells: respondent-macro error and exact match beside the modal answer's and a uniform guess's, and the lift over the modal answer."""
+    options = df.groupBy("item").agg((F.max("hi") - F.min("lo") + 1).alias("k"))
+    base = majority(truth).select("item", (F.col("n_mode") / F.col("n")).alias("base"), F.col("n").alias("n_truth"))
+    rows = _difficulty(df).groupBy("item").agg(F.avg("err").alias("e"), F.avg("exact").alias("x"), F.sum("n").alias("n"), F.count("*").alias("n_respondents")).join(options, "item").join(base, "item", "left")
+    return rows.select("item", "k", r6("e").alias("err"), r6("x").alias("exact"), r6("base").alias("maj_em"), r6(1 / F.col("k")).alias("uniform_em"), r6(S.lift(F.col("x"), F.col("base"))).alias("lift_maj"), "n", "n_respondents", "n_truth")
+
+
+def item_difficulty_intervals(df: DataFrame, truth: DataFrame, B: int = 1000) -> DataFrame:
+    """`item_difficulty` with percentile intervals of the error, respondents resampled."""
+    ci = ST.ratio_intervals(_difficulty(df).withColumn("one", F.lit(1.0)), ["item"], "err", "one", B=B, method="percentile")
+    return item_difficulty(df, truth).join(ci.select("item", "lo", "hi"), "item")
 
 
 def _panels(df: DataFrame, models: list[str], *more: str) -> DataFrame:

@@ -52,11 +52,23 @@ def last_option(text: Column, options: list[str]) -> Column:
     return F.array_max(F.array_compact(found))["option"]
 
 
-def option_match(predicted: Column, truth: Column) -> Column:
-    """Equal after normalisation, containment either way, or a comma or slash fragment of the truth."""
-    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^a-z0-9,/]+", " "))
+def option_match(predicted: Column, truth: Column, options: list[str] | None = None) -> Column:
+    """Does a predicted text name the true option?  Case and runs of white space do not matter; an empty or null side never matches.
+
+    Without `options`: either text holds the other, or the answer holds a comma or slash fragment of the truth.  With them (a closed list): both
+    texts hold the same option, or one begins with the other.
+    """
+    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
     p, t = norm(predicted), norm(truth)
-    return F.coalesce((p != "") & ((p == t) | F.contains(p, t) | F.contains(t, p) | F.exists(F.split(t, "[,/]"), lambda x: F.trim(x) == p)), F.lit(False))
+    if options is None:
+        pieces = F.filter(F.transform(F.split(t, "[,/]"), lambda x: F.trim(x)), lambda x: x != "")
+        same = F.contains(p, t) | F.contains(t, p) | F.exists(pieces, lambda x: F.contains(p, x))
+    else:
+        same = F.startswith(p, t) | F.startswith(t, p)
+        for o in options:
+            low = " ".join(o.lower().split())
+            same = same | (F.contains(p, F.lit(low)) & F.contains(t, F.lit(low)))
+    return F.coalesce((p != "") & (t != "") & same, F.lit(False))
 
 
 def phrase_scan(docs: DataFrame, rules: list[tuple[str, str]], negation: str = r"\b(not|no|never)\b", exempt: tuple[str, ...] = ()) -> DataFrame:
@@ -68,19 +80,6 @@ def phrase_scan(docs: DataFrame, rules: list[tuple[str, str]], negation: str = r
     return lines.where(~F.col("low").rlike(negation)).select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.explode(hits).alias("rule"))
 
 
-def transcript_answers(turns: DataFrame, anchors: list[tuple[str, str]], ahead: int = 15) -> DataFrame:
-    """For each conversation and item: the first assistant turn with the item's anchor, and the user turns after it up to the next assistant turn."""
-    asked = F.array_compact(F.array(*[F.when((F.col("role") == "assistant") & F.contains(F.lower("text"), F.lit(a.lower())), F.lit(item)) for item, a in anchors]))
-    start = turns.select("conv_id", "turn", F.explode(asked).alias("item")).groupBy("conv_id", "item").agg(F.min("turn").alias("anchor"))
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(0, Window.unboundedFollowing)
-    marked = turns.withColumn("stop", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(w))
-    later = marked.where("role = 'user'").join(start, "conv_id").where((F.col("turn") > F.col("anchor")) & (F.col("turn") <= F.col("anchor") + ahead))
-    ends = turns.where("role = 'assistant'").join(start, "conv_id").where("turn > anchor").groupBy("conv_id", "item").agg(F.min("turn").alias("end"))
-    later = later.join(ends, ["conv_id", "item"], "left").where("end is null or turn < end")
-    said = later.groupBy("conv_id", "item", "anchor").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    return said.select("conv_id", "item", "anchor", F.size("x").cast("long").alias("n_turns"), F.concat_ws(" ", F.transform("x", lambda e: e["text"])).alias("answer"))
-
-
 def utterances(transcripts: DataFrame, speakers: tuple[str, ...] = ("Interviewer", "Respondent")) -> DataFrame:
     """(doc_id, n, role, utterance) from labelled transcript text; lines without a label continue the last one."""
     rx = "^(" + "|".join(speakers) + r"):\s*(.*)$"

@@ -217,22 +217,6 @@ def _(spark, d):
     return E.ridge_by_item(rows, x).select("item", "fold", "n", T.r6("mae").alias("mae"))
 
 
-@query("ml_logistic")
-def _(spark, d):
-    rows, x = _by_item(spark, d)
-    guns = rows.where("item = 'GUNS'").withColumn("y", F.col("y") - F.col("lo"))
-    return E.logistic_folds(guns, x).select("fold", "n", T.r6("mae").alias("mae"))
-
-
-@query("ag_t4_vs_baseline")
-def _(spark, d):
-    rows, x = _by_item(spark, d)
-    span = FX.items(spark).select("item", (F.col("hi") - F.col("lo")).alias("span"))
-    base = E.ridge_by_item(rows, x).groupBy("item").agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("m")).join(F.broadcast(span), "item").select("item", (F.col("m") / F.col("span")).alias("baseline"))
-    full = pred(spark, d).where("condition = 'Full'").groupBy("item").agg(F.avg("err").alias("err"))
-    return full.join(base, "item", "full").select("item", T.r6("err").alias("err"), T.r6("baseline").alias("baseline"), T.r6(F.col("baseline") - F.col("err")).alias("gain"))
-
-
 @query("ag_r1_cost_interval")
 def _(spark, d):
     """The ablation's paired cost over all items with a cluster interval, beside its point value per item in ag_r1_cost."""

@@ -142,12 +142,17 @@ def _(spark, d):
     return M.explode_records(records).select(F.col("rid").cast("long").alias("rid"), "item", F.col("sample").cast("int").alias("sample"), "true_code", "pred_code", "parse_ok")
 
 
-@query("txt_option_match", "SELECT c_custkey AS rid, CASE c_custkey % 4 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN c_mktsegment = 'BUILDING' ELSE FALSE END AS match FROM customer")
+_MATCH = "CASE k WHEN 0 THEN lower(s) WHEN 1 THEN 'I say  ' || s || '!' WHEN 2 THEN 'Building' WHEN 3 THEN 'mostly ' || lower(substr(s, 1, 4)) WHEN 4 THEN ' ' ELSE 'the ' || s || ' trade' END"
+
+
+@query("txt_option_match", f"""WITH a AS (SELECT c_custkey AS rid, c_mktsegment AS s, c_custkey % 6 AS k FROM customer), b AS (SELECT rid, lower(trim(regexp_replace({_MATCH}, '\\s+', ' ', 'g'))) AS p, lower(substr(s, 1, 4) || ' sector, ' || s || ' / other') AS t, s FROM a)
+ SELECT rid, p <> '' AND (contains(p, t) OR contains(t, p) OR len(list_filter(regexp_split_to_array(t, '[,/]'), lambda f: trim(f) <> '' AND contains(p, trim(f)))) > 0) AS match, p <> '' AND (starts_with(p, lower(s)) OR starts_with(lower(s), p) OR len(list_filter(['building', 'machinery'], lambda o: contains(p, o) AND contains(lower(s), o))) > 0) AS shared FROM b""")
 def _(spark, d):
-    """Answers that equal the truth, hold it, name one segment always, or are empty."""
-    seg, k = F.col("c_mktsegment"), F.col("c_custkey") % 4
-    said = F.when(k == 0, F.lower(seg)).when(k == 1, F.concat(F.lit("I say "), seg, F.lit("!"))).when(k == 2, "Building").otherwise(" ?")
-    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("rid"), TX.option_match(said, seg).alias("match"))
+    """Answers that repeat, hold or shorten the truth or a fragment of it, name one segment always, or are empty; and with a closed list of options."""
+    seg, k = F.col("c_mktsegment"), F.col("c_custkey") % 6
+    said = F.when(k == 0, F.lower(seg)).when(k == 1, F.concat(F.lit("I say  "), seg, F.lit("!"))).when(k == 2, "Building").when(k == 3, F.concat(F.lit("mostly "), F.lower(F.substring(seg, 1, 4)))).when(k == 4, " ").otherwise(F.concat(F.lit("the "), seg, F.lit(" trade")))
+    truth = F.concat(F.substring(seg, 1, 4), F.lit(" sector, "), seg, F.lit(" / other"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("rid"), TX.option_match(said, truth).alias("match"), TX.option_match(said, seg, ["Building", "machinery"]).alias("shared"))
 
 
 @query("txt_utterances", r"""WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Respondent' ELSE 'Interviewer' END AS role, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS words FROM conversations WHERE turn IS NOT NULL),

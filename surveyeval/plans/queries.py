@@ -18,11 +18,28 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def steady(sql: str) -> str:
+    """round(x, 6) in SQL as `tables.r6` rounds: through decimals of 12 places, so exact halves go up whatever the order of a sum."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, i = 1, start + len("round(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            i += 1
+        inside = sql[start + len("round(") : i - 1]
+        out.append(sql[at:start])
+        out.append(f"CAST(round(CAST({steady(inside[:-3])} AS DECIMAL(38, 12)), 6) AS DOUBLE)" if inside.endswith(", 6") else f"round({steady(inside)})")
+        at = i
+    return "".join(out) + sql[at:]
+
+
 def query(name: str, sql: str | None = None):
     def put(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = sql.strip()
+            ORACLE_SQL[name] = steady(sql.strip())
         return f
 
     return put
@@ -320,17 +337,6 @@ def _(spark, d):
     return T.collapse(panel(spark, d))
 
 
-@query("ag_main_effects", f"{A} SELECT CASE WHEN model IS NOT NULL THEN 'model' ELSE 'prompt' END AS factor, coalesce(model, prompt) AS level, round(avg(err), 6) AS err, round(avg(exact0), 6) AS exact, count(*) AS n FROM p GROUP BY GROUPING SETS ((model), (prompt))")
-def _(spark, d):
-    return T.main_effects(panel(spark, d))
-
-
-@query("ag_item_difficulty", f"{A} SELECT item, round(avg(e), 6) AS err, round(avg(x), 6) AS exact, CAST(sum(n) AS BIGINT) AS n FROM (SELECT model, prompt, item, avg(err) AS e, avg(exact0) AS x, count(*) AS n FROM p GROUP BY model, prompt, item) q GROUP BY item")
-def _(spark, d):
-    cell = panel(spark, d).groupBy("model", "prompt", "item").agg(F.avg("err").alias("e"), F.avg("exact0").alias("x"), F.count("*").alias("n"))
-    return cell.groupBy("item").agg(T.r6(F.avg("e")).alias("err"), T.r6(F.avg("x")).alias("exact"), F.sum("n").alias("n"))
-
-
 @query("ag_binary_em", f"{A} SELECT model, round(sum(exact0) / count(*), 6) AS em, count(*) AS n FROM p WHERE fmt = 'binary' GROUP BY model")
 def _(spark, d):
     return panel(spark, d).where("fmt = 'binary'").groupBy("model").agg(T.r6(F.sum("exact0") / F.count("*")).alias("em"), F.count("*").alias("n"))
@@ -536,13 +542,6 @@ def _(spark, d):
     return TX.phrase_scan(spark.read.parquet(f"{d}/documents.parquet"), _RULES, exempt=("src3",))
 
 
-@query("txt_transcript_answers", """WITH a AS (SELECT conv_id, item, min(turn) AS anchor FROM (SELECT conv_id, turn, unnest(['A', 'B']) AS item, text FROM conversations WHERE role = 'assistant') q WHERE contains(lower(text), CASE item WHEN 'A' THEN 'the' ELSE 'que' END) GROUP BY conv_id, item),
- e AS (SELECT a.conv_id, a.item, min(c.turn) AS stop FROM a JOIN conversations c ON c.conv_id = a.conv_id AND c.role = 'assistant' AND c.turn > anchor GROUP BY a.conv_id, a.item)
- SELECT a.conv_id, a.item, anchor, count(*) AS n_turns, string_agg(text, ' ' ORDER BY turn, text) AS answer FROM a LEFT JOIN e ON e.conv_id = a.conv_id AND e.item = a.item JOIN conversations c ON c.conv_id = a.conv_id AND c.role = 'user' AND c.turn > anchor AND c.turn <= anchor + 15 AND (stop IS NULL OR c.turn < stop) GROUP BY a.conv_id, a.item, anchor""")
-def _(spark, d):
-    return TX.transcript_answers(spark.read.parquet(f"{d}/conversations.parquet"), [("A", "the"), ("B", "que")])
-
-
 @query("txt_likert_extract", f"""{P} SELECT rid, item, condition, CASE WHEN rid % 3 = 0 THEN CASE WHEN pred_code <= 5 AND pred_code >= 1 THEN pred_code ELSE 2 END WHEN pred_code <= 5 AND pred_code >= 1 THEN pred_code END AS answer FROM p WHERE parse_ok""".replace("AS answer FROM p", "AS answer FROM p"))
 def _(spark, d):
     text = F.concat(F.when(F.col("rid") % 3 == 0, "two, or rather ").otherwise("I say "), F.col("pred_code").cast("string"), F.lit("."))
@@ -592,12 +591,3 @@ def _(spark, d):
 def _(spark, d):
     df = panel(spark, d).select("rid", "err", *[(F.col("model") == m).cast("double").alias(m) for m in FX.MODELS[1:]], *[(F.col("prompt") == p).cast("double").alias(p) for p in FX.PROMPTS[1:]])
     return spark.createDataFrame(ST.clustered_ols(df, [*FX.MODELS[1:], *FX.PROMPTS[1:]], "err"), "term string, coef double, se double, lo double, hi double, p double, n long")
-
-
-@query("ml_ridge_logistic")
-def _(spark, d):
-    t = FX.truth(spark, d).where("item = 'VIEWS'").join(C.folds(FX.truth(spark, d), 5), "rid").select("rid", "fold", F.col("true_code").cast("double").alias("y"), (F.col("rid") % 7).cast("double").alias("x1"), (F.col("rid") % 2).cast("double").alias("x2"))
-    beta = ST.ridge_folds(t, ["x1", "x2"], "y")
-    table = spark.createDataFrame([(int(f), *map(float, b)) for f, b in beta.items()], "fold long, b0 double, b1 double, b2 double")
-    guess = F.least(F.lit(7.0), F.greatest(F.lit(1.0), F.round(F.col("b0") + F.col("b1") * F.col("x1") + F.col("b2") * F.col("x2"))))
-    return t.join(F.broadcast(table), "fold").groupBy("fold").agg(F.count("*").alias("n"), T.r6(F.avg(F.abs(guess - F.col("y")))).alias("mae"))

@@ -5,11 +5,17 @@ from __future__ import annotations
 import uuid
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-RECORD = """respondent_id INT, condition STRING, model STRING, prompt_id STRING, per_item_scores MAP<STRING, ARRAY<STRUCT<truth INT, persona_raw STRING, persona_code INT, parse_fail BOOLEAN, treatment STRING, abs_err DOUBLE, cat_match INT, skipped_missing_truth BOOLEAN, error_type STRING>>>"""
+from ..functions import scoring as S
+from .codebooks import read_codebooks, value_labels
+
+RECORD = """respondent_id INT, condition STRING, model STRING, prompt_id STRING, per_item_scores MAP<STRING, ARRAY<STRUCT<truth INT, persona_raw STRING, persona_code INT, parse_fail BOOLEAN, treatment STRING, abs_err DOUBLE,
+within1 INT, cat_match INT, skipped_missing_truth BOOLEAN, error_type STRING, provider STRING, system_fingerprint STRING, model_returned STRING, tokens_in INT, tokens_out INT, random_dropped_battery STRING, seed LONG>>>"""
+#: What a sample may say of the call that gave it.
+PROVENANCE = ("tokens_in", "tokens_out", "provider", "system_fingerprint", "model_returned", "random_dropped_battery")
 
 
 def fixed_width(spark: SparkSession, path: str, spec: list[tuple[str, int, int]]) -> DataFrame:
@@ -17,30 +23,10 @@ def fixed_width(spark: SparkSession, path: str, spec: list[tuple[str, int, int]]
     return spark.read.text(path).select(*[F.trim(F.substring("value", a, b - a + 1)).try_cast("double").alias(n) for n, a, b in spec])
 
 
-def codebook(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(variables, variable labels, value labels) of a codebook file of infix, label variable, label define and label values statements."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
-    start = F.when(F.col("line").startswith("infix"), "infix").when(F.col("line").startswith("label define"), F.concat(F.lit("define "), F.regexp_extract("line", r"^label define (\w+)", 1))).when(F.col("line").startswith("label ") | F.col("line").startswith("using"), "other")
-    lines = lines.withColumn("block", F.last(start, ignorenulls=True).over(Window.orderBy("at")))  # one codebook file, not data
-    rx = r"^(?:infix\s+)?(?:[a-z]+\s+)?(\w+)\s+(\d+)\s*-\s*(\d+)"
-    variables = lines.where((F.col("block") == "infix") & F.col("line").rlike(rx)).select(F.upper(F.regexp_extract("line", rx, 1)).alias("var"), F.regexp_extract("line", rx, 2).cast("int").alias("start"), F.regexp_extract("line", rx, 3).cast("int").alias("end"))
-    lv = r'^label variable (\w+)\s+"(.*)"'
-    var_labels = lines.where(F.col("line").rlike(lv)).select(F.upper(F.regexp_extract("line", lv, 1)).alias("var"), F.regexp_extract("line", lv, 2).alias("label"))
-    ld = r'(-?\d+)\s+"([^"]*)"'
-    defined = lines.where(F.col("block").startswith("define ")).select(F.substring("block", 8, 200).alias("set"), F.explode(F.arrays_zip(F.regexp_extract_all("line", F.lit(ld), F.lit(1)).alias("code"), F.regexp_extract_all("line", F.lit(ld), F.lit(2)).alias("label"))).alias("x"))
-    ls = r"^label values (\w+)\s+(\w+)"
-    links = lines.where(F.col("line").rlike(ls)).select(F.upper(F.regexp_extract("line", ls, 1)).alias("var"), F.regexp_extract("line", ls, 2).alias("set"))
-    values = links.join(defined, "set").select("var", F.col("x.code").cast("long").alias("code"), F.col("x.label").alias("label"))
-    return variables, var_labels, values
-
-
-def merge_codebooks(parts: list[DataFrame]) -> DataFrame:
-    """First-seen variable wins, in batch order."""
-    rows = [p.withColumn("batch", F.lit(i)) for i, p in enumerate(parts)]
-    all_rows = rows[0]
-    for r in rows[1:]:
-        all_rows = all_rows.unionByName(r)
-    return all_rows.groupBy("var").agg(F.min_by(F.struct(*[c for c in all_rows.columns if c not in ("var", "batch")], "batch"), "batch").alias("x")).select("var", "x.*")
+def codebook(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(variables, variable labels, value labels) of one codebook file; see `codebooks` for several at once."""
+    book = read_codebooks(spark, path)
+    return book.variables.select("var", "start", "end"), book.labels.select("var", "label"), value_labels(book).select("var", "code", "label")
 
 
 def align_batches(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,13 +46,22 @@ def records_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).json(path)
 
 
-def explode_records(records: DataFrame) -> DataFrame:
-    """Nested answer records to long rows: 1-based sample positions; rows without a truth are skipped."""
-    items = records.select("respondent_id", "condition", "model", "prompt_id", F.explode("per_item_scores").alias("item", "samples"))
+def explode_records(records: DataFrame, relabel: dict[str, str] | None = None) -> DataFrame:
+    """Nested answer records to long rows: 1-based sample positions, rows without a truth skipped, and what is known of each call.
+
+    Conditions in `relabel` take their stored name, others stay.  A sample that does not say whether it was parsed counts as a failure.  The error is null on failures, the ordinal distance where there is
+    one, else 1 for a mismatch.  error_type defaults to ok or parse_fail; fields that the records lack are null.
+    """
+    items = records.select("respondent_id", "condition", "model", F.coalesce("prompt_id", F.lit("P0")).alias("prompt_id"), F.explode("per_item_scores").alias("item", "samples"))
     rows = items.select("respondent_id", "condition", "model", "prompt_id", "item", F.posexplode("samples").alias("pos", "s")).where("s.truth is not null and not coalesce(s.skipped_missing_truth, false)")
-    ok = ~F.coalesce(F.col("s.parse_fail"), F.lit(False))
-    err = F.when(~ok, None).when(F.col("s.treatment") == "likert", F.col("s.abs_err")).otherwise(1.0 - F.col("s.cat_match"))
-    return rows.select(F.col("respondent_id").alias("rid"), "condition", "model", F.col("prompt_id").alias("prompt"), "item", (F.col("pos") + 1).alias("sample"), F.col("s.truth").alias("true_code"), F.when(ok, F.col("s.persona_code")).alias("pred_code"), ok.alias("parse_ok"), err.cast("int").alias("abs_err"))
+    fields = rows.schema["s"].dataType.fieldNames()
+    has = lambda n, kind: (F.col(f"s.{n}") if n in fields else F.lit(None)).cast(kind)
+    ok = ~F.coalesce(F.col("s.parse_fail"), F.lit(True))
+    err = F.when(ok, F.coalesce(has("abs_err", "double"), 1.0 - has("cat_match", "double")))
+    kind = F.coalesce(has("error_type", "string"), F.when(ok, "ok").otherwise("parse_fail"))
+    condition = S.relabel(F.col("condition"), relabel) if relabel else F.col("condition")
+    more = [has(n, "int" if n.startswith("tokens") else "string").alias(n) for n in PROVENANCE]
+    return rows.select(F.col("respondent_id").alias("rid"), condition.alias("condition"), "model", F.col("prompt_id").alias("prompt"), "item", (F.col("pos") + 1).alias("sample"), F.col("s.truth").alias("true_code"), F.when(ok, F.col("s.persona_code")).alias("pred_code"), ok.alias("parse_ok"), err.cast("int").alias("abs_err"), kind.alias("error_type"), *more)
 
 
 def guarded_parquet(spark: SparkSession, path: str, conditions: set[str]) -> DataFrame:
@@ -87,6 +82,8 @@ def append_new(spark: SparkSession, new: DataFrame, path: str, key: list[str]) -
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     return n
 
 
@@ -105,8 +102,10 @@ def partial_guard(existing: int, expected: int) -> None:
 
 
 #: The long prediction table as it is stored, in column order.
-LONG_SCHEMA = """rid LONG, model STRING, prompt STRING, condition STRING, item STRING, fmt STRING, lo LONG, hi LONG, sample LONG, battery_no LONG, true_code LONG, pred_code LONG, parse_ok BOOLEAN, abs_err LONG,
-treatment STRING, cat_match LONG, error_type STRING, raw STRING, run_id STRING"""
+LONG_SCHEMA = """respondent_id INT, model STRING, prompt STRING, condition STRING, item STRING, true_code INT, pred_code INT, parse_ok BOOLEAN, abs_err INT, sample_position INT, timestamp STRING, cost_usd DOUBLE, tokens_in INT, tokens_out INT,
+error_type STRING, provider STRING, system_fingerprint STRING, model_returned STRING, random_dropped_battery STRING"""
+#: Names that stored columns have inside the library.
+_HERE = {"respondent_id": "rid", "sample_position": "sample", "random_dropped_battery": "battery"}
 
 
 def load_year(df: DataFrame, year: float | None = 2024, columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
@@ -140,16 +139,28 @@ def predictions_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(*[(blank(f.name).try_cast("double").cast(f.dataType) if isinstance(f.dataType, (IntegerType, LongType)) else blank(f.name).try_cast(f.dataType)).alias(f.name) for f in fields])
 
 
-def write_long(df: DataFrame, path: str, protected: str | None = None) -> None:
-    """Write the long table with the columns and types of LONG_SCHEMA, by condition; columns it lacks are null.
+def write_long(df: DataFrame, path: str, protected: str | None = None, timestamp: str | None = None) -> None:
+    """Write the long table with the columns and types of LONG_SCHEMA, by condition.
 
-    Nothing is overwritten, and rows of more than one condition are refused at the `protected` path, which is for single-condition data.
+    Columns go by their stored or their library name; those that are lacking are null, but for `timestamp` (text, the same for all rows) where
+    one is given.  Numbers that do not fit stop the job.  Nothing is overwritten, and rows of more than one condition are refused at the `protected` path, which is for single-condition data.
     """
     if protected is not None and path.rstrip("/") == protected.rstrip("/") and df.select("condition").distinct().limit(2).count() > 1:
         raise ValueError(f"{path} is for data of one condition")
+
+    def column(name: str):
+        for n in (name, _HERE.get(name)):
+            if n in df.columns:
+                return F.col(n)
+        return F.lit(timestamp if name == "timestamp" else None)
+
     fields = StructType.fromDDL(LONG_SCHEMA).fields
-    typed = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-    typed.write.mode("errorifexists").partitionBy("condition").parquet(path)
+    df.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.mode("errorifexists").partitionBy("condition").parquet(path)
+
+
+def read_long(spark: SparkSession, path: str) -> DataFrame:
+    """The stored long table, columns in the order of LONG_SCHEMA whatever the folders say."""
+    return spark.read.schema(LONG_SCHEMA).parquet(path).select(*StructType.fromDDL(LONG_SCHEMA).names)
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, cohort: str) -> None:

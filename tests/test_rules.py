@@ -122,7 +122,7 @@ def test_sinks(spark, tmp_path):
     path = str(tmp_path / "long.parquet")
     M.write_long(df, path)
     back = spark.read.parquet(path)
-    assert len(back.columns) == 19 and "extra" not in back.columns and dict(back.dtypes)["rid"] == "bigint" and {r["condition"] for r in back.collect()} == {"Full", "drop"}
+    assert len(back.columns) == 19 and "extra" not in back.columns and dict(back.dtypes)["respondent_id"] == "int" and {r["condition"] for r in back.collect()} == {"Full", "drop"}
     with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
         M.write_long(df, path)
     with pytest.raises(ValueError):
