@@ -12,9 +12,14 @@ from . import text as TX
 CAPITALS = ("USA", "TV", "AIDS", "ID", "HTML", "URL")
 
 
-def task_grid(truth: DataFrame, conditions: list[str], models: list[str], prompt: str, seed: str = "42", panel: bool = False) -> DataFrame:
-    """(rid, item, condition, prompt, model): one hash-dispatched model per respondent, or every model of the panel. No shuffle."""
-    rows = truth.select("rid", "item", F.explode(F.array(*map(F.lit, conditions))).alias("condition")).withColumn("prompt", F.lit(prompt))
+def task_grid(truth: DataFrame, conditions: list[str], models: list[str], prompt: str, seed: str = "42", panel: bool = False, samples: int = 1) -> DataFrame:
+    """(rid, item, condition, prompt, sample, model): `samples` calls (numbered from 1) of one hash-dispatched model per respondent, or of every model of the panel.
+
+    `truth` has one row for each item that a respondent was asked; rows without a true code are off the ballot and make no calls.  No shuffle.
+    """
+    asked = truth.where("true_code is not null") if "true_code" in truth.columns else truth
+    rows = asked.select("rid", "item", F.explode(F.array(*map(F.lit, conditions))).alias("condition")).withColumn("prompt", F.lit(prompt))
+    rows = rows.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     names = F.array(*map(F.lit, models))
     if panel:
         return rows.withColumn("model", F.explode(names))

@@ -40,15 +40,20 @@ def databook(df: DataFrame, truth: DataFrame, rates: dict[str, float]) -> DataFr
     return rows.select("model", "prompt", "item", k.alias("k"), *shown, r6(rnd).alias("rnd_em"), r6(S.lift(F.col("em"), rnd)).alias("lift_rnd"), r6(S.lift(F.col("em"), F.col("maj_em"))).alias("lift_maj"), "pred_distinct_codes", r6("pred_top1_share").alias("pred_top1_share"), cost.alias("cost_per_call"))
 
 
-def multimodel_headline(df: DataFrame, models: list[str]) -> DataFrame:
-    """Error three ways for every model and for the panel's answer, and the agreement of the models, by prompt."""
+def multimodel_rows(df: DataFrame, models: list[str]) -> DataFrame:
+    """(rid, prompt, item, model, err): the answers of every model, and the panel's under the name panel."""
     keys = ["rid", "prompt", "condition", "item", "sample"]
     answers = T.panel_code(df, models).join(df.select(*keys, "true_code", "lo", "hi", "fmt").dropDuplicates(keys), keys)
     ok = F.col("ok")
     nominal = (F.col("fmt") == "binary") | ((F.col("fmt") == "contingent") & ((F.col("true_code") == 7) | (F.col("panel_code") == 7)))
     raw = F.when(nominal, (F.col("panel_code") != F.col("true_code")).cast("double")).otherwise(F.abs(F.col("panel_code") - F.col("true_code")).cast("double"))
     panel = answers.select("rid", "prompt", "item", F.lit("panel").alias("model"), F.when(ok, raw / (F.col("hi") - F.col("lo"))).otherwise(1.0).alias("err"))
-    rows = df.where(F.col("model").isin(*models)).select("rid", "prompt", "item", "model", "err").unionByName(panel)
+    return df.where(F.col("model").isin(*models)).select("rid", "prompt", "item", "model", "err").unionByName(panel)
+
+
+def multimodel_headline(df: DataFrame, models: list[str]) -> DataFrame:
+    """Error three ways for every model and for the panel's answer, and the agreement of the models, by prompt."""
+    rows = multimodel_rows(df, models)
     cell = rows.groupBy("model", "prompt", "rid", "item").agg(F.sum("err").alias("s"), F.count("err").alias("n"))
     macro = cell.groupBy("model", "prompt", "rid").agg((F.sum("s") / F.sum("n")).alias("m")).groupBy("model", "prompt").agg(r6(F.avg("m")).alias("respondent_macro"))
     items = cell.groupBy("model", "prompt", "item").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).groupBy("model", "prompt").agg(r6(F.avg(F.col("s") / F.col("n"))).alias("item_macro"), r6(F.sum("s") / F.sum("n")).alias("pooled"), F.sum("n").alias("n"))

@@ -24,9 +24,9 @@ _FEATS_PRED = _FEATURES.replace("WITH ", f"WITH {FX.PRED_SQL}, ", 1)
 # --- grids and profiles ------------------------------------------------------------------------------------------------
 
 
-@query("txt_task_grid", f"WITH {FX.TRUTH_SQL} SELECT rid, item, c.condition, 'P1' AS prompt, [{', '.join(repr(m) for m in FX.MODELS)}][{_HEX(chr(39) + '42|' + chr(39) + ' || CAST(rid AS VARCHAR) || ' + chr(39) + '|P1' + chr(39), 4)} + 1] AS model FROM truth, (VALUES {', '.join(f'({c!r})' for _, c, _ in FX.CONDITIONS)}) c(condition)")
+@query("txt_task_grid", f"WITH {FX.TRUTH_SQL} SELECT rid, item, c.condition, 'P1' AS prompt, s.sample, [{', '.join(repr(m) for m in FX.MODELS)}][{_HEX(chr(39) + '42|' + chr(39) + ' || CAST(rid AS VARCHAR) || ' + chr(39) + '|P1' + chr(39), 4)} + 1] AS model FROM truth, (VALUES {', '.join(f'({c!r})' for _, c, _ in FX.CONDITIONS)}) c(condition), (VALUES (1), (2)) s(sample)")
 def _(spark, d):
-    return G.task_grid(FX.truth(spark, d), [c for _, c, _ in FX.CONDITIONS], FX.MODELS, "P1")
+    return G.task_grid(FX.truth(spark, d), [c for _, c, _ in FX.CONDITIONS], FX.MODELS, "P1", samples=2)
 
 
 @query("txt_r1_exclusion", f"{_FEATS_TRUTH} SELECT t.rid, t.item, var, bin, label FROM truth t JOIN feats ON feats.rid = t.rid WHERE NOT ({_HIDDEN})")

@@ -305,11 +305,6 @@ def _(spark, d):
 _CELL = "macro AS (SELECT model, prompt, round(avg(m), 6) AS macro, count(*) AS n FROM (SELECT model, prompt, rid, avg(err) AS m FROM p GROUP BY model, prompt, rid) q GROUP BY model, prompt)"
 
 
-@query("ag_cell_normalized_mae", f"{A}, {_CELL} SELECT * FROM macro")
-def _(spark, d):
-    return T.respondent_macro(panel(spark, d), ["model", "prompt"])
-
-
 _MODE = f"{TR}, k AS (SELECT item, true_code, count(*) AS n FROM truth GROUP BY item, true_code), md AS (SELECT item, min(true_code) FILTER (n = m) AS mode, max(n) AS n_mode, CAST(sum(n) AS BIGINT) AS n, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS share FROM (SELECT *, max(n) OVER (PARTITION BY item) AS m FROM k) q GROUP BY item), mb AS (SELECT t.rid, t.item, CASE WHEN fmt = 'binary' OR (fmt = 'contingent' AND (true_code = 7 OR mode = 7)) THEN CAST(mode <> true_code AS BIGINT) ELSE abs(mode - true_code) END / CAST(hi - lo AS DOUBLE) AS err FROM truth t JOIN md ON md.item = t.item)"
 
 
@@ -327,11 +322,6 @@ _PROFILE = """SELECT {0}, item, CAST(sum(n) AS BIGINT) AS n_total, CAST(sum(ok)
  count(*) FILTER (ok > 0) AS distinct_codes, round(CAST(max(ok) AS DOUBLE) / sum(ok), 6) AS top1_share FROM (SELECT {0}, item, pred_code, count(*) AS n, count(*) FILTER (parse_ok) AS ok, sum(exact0) AS hit, sum(err) AS err FROM p GROUP BY {0}, item, pred_code) h GROUP BY {0}, item"""
 
 
-@query("ag_item_profile", f"{A} {_PROFILE.format('model, prompt')}")
-def _(spark, d):
-    return T.item_profile(panel(spark, d), ["model", "prompt"])
-
-
 @query("ag_collapse", f"{A}, pr AS ({_PROFILE.format('model')}) SELECT model, pr.item, distinct_codes, top1_share, CASE WHEN hi - lo + 1 >= 3 THEN top1_share > 0.95 ELSE distinct_codes = 1 END AS collapsed FROM pr JOIN items ON items.item = pr.item")
 def _(spark, d):
     return T.collapse(panel(spark, d))

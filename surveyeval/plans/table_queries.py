@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import baseline as B
 from ..operators import cohorts as C
+from ..operators import compare as CM
 from ..operators import profiles as PF
 from ..operators import stats as ST
 from ..operators import tables as T
 from ..operators import transcripts as TR
 from ..sources import codebooks as K
 from . import fixtures as FX
-from .queries import _ANSWERS, _MEANS, SEGMENTS, A, P, _features, panel, pred, query
+from .queries import _ABL, _ANSWERS, _MEANS, _PROFILE, _UNIT, ORACLE_SQL, SEGMENTS, A, P, _features, panel, pred, query
 
 # --- printed tables ----------------------------------------------------------------------------------------------------
 
@@ -79,6 +80,89 @@ def _(spark, d):
     return ST.wilcoxon_test(pairs.select("rid", T.r6("delta").alias("delta")), B=20).select("n", "n_zero", T.r6("share_better").alias("share_better"), T.r6("mean").alias("mean"))
 
 
+# --- cells, arms and policies ------------------------------------------------------------------------------------------
+
+_SOME = ["Full", "drop_demographic", "drop_attitudinal"]
+_IN = ", ".join(f"'{c}'" for c in _SOME)
+
+
+@query("jn_common_in_all", f"{P}, ok AS (SELECT rid FROM p WHERE condition IN ({_IN}) AND parse_ok AND item = 'VIEWS' GROUP BY rid HAVING count(DISTINCT condition) = 3) SELECT condition, count(*) AS n, round(avg(err), 6) AS err FROM p WHERE condition IN ({_IN}) AND rid IN (SELECT rid FROM ok) GROUP BY condition")
+def _(spark, d):
+    """Errors by condition over the respondents whose views were parsed in all of three conditions."""
+    df = pred(spark, d)
+    ids = CM.common_respondents(df.where("item = 'VIEWS'"), _SOME, "err_opt")
+    return df.where(F.col("condition").isin(*_SOME)).join(ids, "rid", "left_semi").groupBy("condition").agg(F.count("*").alias("n"), T.r6(F.avg("err")).alias("err"))
+
+
+@query("ag_item_profile", f"""{A}, pr AS ({_PROFILE.format('model, prompt')}), v AS (SELECT model, prompt, item, var_pop(m) AS v FROM (SELECT model, prompt, item, rid, avg(CAST(pred_code AS DOUBLE)) AS m FROM p WHERE parse_ok GROUP BY model, prompt, item, rid) q GROUP BY model, prompt, item),
+ h AS (SELECT item, round(var_pop(CAST(true_code AS DOUBLE)), 6) AS h FROM truth GROUP BY item) SELECT pr.*, round(v / h, 6) AS var_ratio FROM pr JOIN v ON v.model = pr.model AND v.prompt = pr.prompt AND v.item = pr.item JOIN h ON h.item = pr.item""")
+def _(spark, d):
+    return CM.item_profile_with_variance(panel(spark, d), ["model", "prompt"], T.human_variance(FX.truth(spark, d)))
+
+
+@query("ag_cell_normalized_mae", f"{A}, m AS (SELECT model, prompt, rid, avg(err) AS a, avg(err) FILTER (parse_ok) AS b FROM p GROUP BY model, prompt, rid) SELECT model, prompt, round(avg(a), 6) AS macro, count(a) AS n, round(avg(b), 6) AS optimistic, count(b) AS n_optimistic FROM m GROUP BY model, prompt")
+def _(spark, d):
+    return CM.cell_errors(panel(spark, d), ["model", "prompt"])
+
+
+_ARMS = ["panel", "on", "off"]
+
+
+def _arms(spark, d):
+    """The first prompt of three models as the panel, the anchor's first prompt with the rule on and its second with the rule off, on a cohort of respondents."""
+    arm = F.when((F.col("model") != "cheap_d") & (F.col("prompt") == "P1"), "panel").when((F.col("model") == "cheap_d") & (F.col("prompt") == "P1"), "on").when((F.col("model") == "cheap_d") & (F.col("prompt") == "P2"), "off")
+    return panel(spark, d).where("rid % 4 = 0").withColumn("arm", arm).where("arm is not null")
+
+
+_ARM_SQL = f"{A}, a AS (SELECT *, CASE WHEN model <> 'cheap_d' AND prompt = 'P1' THEN 'panel' WHEN model = 'cheap_d' AND prompt = 'P1' THEN 'on' WHEN model = 'cheap_d' AND prompt = 'P2' THEN 'off' END AS arm FROM p WHERE rid % 4 = 0)"
+_ARM_COLUMNS = ", ".join(f"round(max(em) FILTER (arm = '{a}'), 6) AS em_{a}, round(max(err) FILTER (arm = '{a}'), 6) AS err_{a}, CAST(max(n) FILTER (arm = '{a}') AS BIGINT) AS n_{a}" for a in _ARMS)
+
+
+@query("ag_anchor_arms", f"{_ARM_SQL}, m AS (SELECT item, arm, model, sum(exact0) FILTER (parse_ok) AS hit, count(*) FILTER (parse_ok) AS ok, avg(err) AS e FROM a WHERE arm IS NOT NULL GROUP BY item, arm, model), c AS (SELECT item, arm, sum(hit) / sum(ok) AS em, avg(e) AS err, sum(ok) AS n FROM m GROUP BY item, arm) SELECT item, {_ARM_COLUMNS} FROM c GROUP BY item")
+def _(spark, d):
+    return CM.arms_by_item(_arms(spark, d), _ARMS)
+
+
+@query("ag_anchor_pooled", f"""{_ARM_SQL}, t AS (SELECT item, true_code, count(*) AS n FROM truth WHERE rid % 4 = 0 GROUP BY item, true_code), k AS (SELECT item, max(n) AS top, sum(n) AS n FROM t GROUP BY item)
+ SELECT arm, round(sum(exact0) FILTER (parse_ok) / count(*) FILTER (parse_ok), 6) AS em, count(*) FILTER (parse_ok) AS n FROM a WHERE arm IS NOT NULL GROUP BY arm UNION ALL SELECT 'majority', round(CAST(sum(top) AS DOUBLE) / sum(n), 6), CAST(sum(n) AS BIGINT) FROM k""")
+def _(spark, d):
+    return CM.pooled_arms(_arms(spark, d), FX.truth(spark, d).where("rid % 4 = 0"))
+
+
+_METRICS = ["likert_mae", "within1", "cat_match", "parse_failure", "self_consistency"]
+
+
+@query("ag_arm_metrics", f"WITH m AS (SELECT * FROM ({ORACLE_SQL['ag_respondent_condition']}) q) SELECT model, prompt, count(*) AS n_respondents, {', '.join(f'round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_sd, count({m}) AS {m}_n' for m in _METRICS)} FROM m GROUP BY model, prompt")
+def _(spark, d):
+    return CM.arm_summary(T.respondent_condition(panel(spark, d)), ["model", "prompt"], _METRICS)
+
+
+@query("st_battery_items", f"{_ABL}, n AS (SELECT battery_no, count(*) AS n FROM ab GROUP BY battery_no) SELECT battery, bin, item, round(avg(other - base), 6) AS delta, count(*) AS n_pairs, round(sum(other - base) / max(n), 6) AS share FROM ab JOIN n ON n.battery_no = ab.battery_no JOIN batteries ON batteries.battery_no = ab.battery_no GROUP BY battery, bin, item")
+def _(spark, d):
+    return CM.battery_items(pred(spark, d), FX.batteries(spark))
+
+
+@query("st_router_exact", f"""{A}, parts AS (SELECT c_custkey AS rid, CASE WHEN {_UNIT.format('c_custkey')} < {2**31} THEN 'train' ELSE 'test' END AS part FROM customer),
+ r AS (SELECT item, model, sum(exact0) FILTER (part = 'train') AS a, count(*) FILTER (part = 'train') AS na, sum(exact0) FILTER (part = 'test') AS b, count(*) FILTER (part = 'test') AS nb FROM p JOIN parts USING (rid) GROUP BY item, model),
+ s AS (SELECT model, sum(b) / sum(nb) AS single, row_number() OVER (ORDER BY sum(a) / sum(na) DESC, model) AS rk FROM r GROUP BY model),
+ i AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY a / na DESC, model) AS r1, row_number() OVER (PARTITION BY item ORDER BY b / nb DESC, model) AS r2 FROM r),
+ g AS (SELECT sum(b) FILTER (r1 = 1) / sum(nb) FILTER (r1 = 1) AS routed, sum(b) FILTER (r2 = 1) / sum(nb) FILTER (r2 = 1) AS oracle FROM i)
+ SELECT model AS best_single, round(routed, 6) AS routed, round(single, 6) AS single, round(oracle, 6) AS oracle, round(routed - single, 6) AS gain FROM g, s WHERE rk = 1""")
+def _(spark, d):
+    ids = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("rid"))
+    return CM.router(panel(spark, d), C.split(ids, 0.5), "exact0", highest=True)
+
+
+@query("ag_databook_intervals")
+def _(spark, d):
+    return CM.databook_intervals(panel(spark, d), B=300)
+
+
+@query("ag_multimodel_intervals")
+def _(spark, d):
+    return CM.multimodel_intervals(panel(spark, d), FX.MODELS)
+
+
 # --- profiles by prompt ------------------------------------------------------------------------------------------------
 
 _NAMES = [("SEGMENT", "market segment "), ("NATION", "nation")]
