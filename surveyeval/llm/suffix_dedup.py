@@ -31,9 +31,12 @@ GRAM = 64
 #: Segments whose suffixes a task sorts at once, about 1 MB of text.
 TOGETHER = 4_000
 #: An anchor with more distinct segments than this is taken window by window.
-CROWD = 20_000
-#: Segments that a map task settles at once before they shuffle.
-HELD = 250_000
+CROWD = 5_000
+#: Segments that a map task settles at once before they shuffle, and bytes of text that it hashes at once.
+HELD = 100_000
+SLICE = 1 << 20
+#: Places that are turned into spans at once.
+PLACES = 500_000
 #: A place of a segment: the two hashes of its text, its first window and how many neighbouring windows have the same segment.
 _PLACE = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("at", "<i4"), ("times", "<i4")])
 _SPANS = "array<struct<i:int,n:int>>"
@@ -95,7 +98,7 @@ def repeated_anchors(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
     def local(batches):
         parts, held = [], 0
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "body", SLICE):
             found = _segments(*utf8(batch.column("body")), length, gram)
             if found is not None:
                 parts.append(found[:2])
@@ -125,6 +128,10 @@ def segment_places(texts: DataFrame, repeated: DataFrame, length: int = LENGTH,
         begin = np.concatenate([p[6] for p in parts])
         order = np.lexsort((at, k2, k1, g, a))
         a, g, m, k1, k2, at, source, begin = (x[order] for x in (a, g, m, k1, k2, at, source, begin))
+        n = np.diff(np.append(np.flatnonzero(_new_groups(a, g)), len(a)))
+        # equal texts have equal places: they count, but stand once
+        own = _new_groups(a, g, k1, k2, at)
+        a, g, m, k1, k2, at, source, begin = (x[own] for x in (a, g, m, k1, k2, at, source, begin))
         # one window after the other with equal bytes (text of one repeated byte) is one place
         run = np.ones(len(a), bool)
         run[1:] = ~((a[1:] == a[:-1]) & (g[1:] == g[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (at[1:] == at[:-1] + 1) & (m[1:] == 1))
@@ -137,12 +144,11 @@ def segment_places(texts: DataFrame, repeated: DataFrame, length: int = LENGTH,
         places = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(place.tobytes())])
         need = passes(mixed, a[rows])
         bodies = [parts[p][7][b : b + w + length - 1].tobytes() if x else None for p, b, w, x in zip(source[rows].tolist(), begin[rows].tolist(), m[rows].tolist(), need.tolist(), strict=True)]
-        n = np.diff(np.append(rows, len(a)))
         return pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(g[rows]), pa.array(m[rows].astype(np.int32)), pa.array(n.astype(np.int64)), places, pa.array(bodies, pa.binary())], ["a", "g", "m", "n", "places", "body"])
 
     def local(batches):
         parts, held = [], 0
-        for batch in slices(batches, "body"):
+        for batch in slices(batches, "body", SLICE):
             data, off = utf8(batch.column("body"))
             found = _segments(data, off, length, gram)
             if found is None:
@@ -222,44 +228,51 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     found = found.join(parts.where("n > 1").select("a", "g"), ["a", "g"], "left_anti")
     met = held.select("a", "g", "m", "places").join(whole.unionByName(found), ["a", "g"])
 
+    def merged(parts):
+        k1, k2, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((n, at, k2, k1))
+        k1, k2, at, n = k1[order], k2[order], at[order], n[order]
+        own = _new_groups(k1, k2, at, n)
+        k1, k2, at, n = k1[own], k2[own], at[own], n[own]
+        joined = np.zeros(len(at), bool)  # the next run starts where this one ends
+        joined[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (at[1:] == at[:-1] + n[:-1])
+        head = np.flatnonzero(~joined)
+        last = np.append(head[1:], len(at)) - 1
+        return pa.RecordBatch.from_arrays([pa.array(k1[head]), pa.array(k2[head]), pa.array(at[head]), pa.array((at + n)[last] - at[head])], ["k1", "k2", "at", "n"])
+
     def expand(batches):
         for batch in batches:
-            k1, k2, at, n = [], [], [], []
-            for m, raw, spans in zip(batch.column("m").to_pylist(), batch.column("places").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                place = np.frombuffer(raw, _PLACE)
+            parts, size = [], 0
+            for m, raw, spans in zip(batch.column("m").to_pylist(), batch.column("places"), batch.column("spans").to_pylist(), strict=True):
+                place = np.frombuffer(raw.as_buffer(), _PLACE)
                 for i, width in [(0, m)] if spans is None else [(s["i"], s["n"]) for s in spans]:
-                    k1.append(place["k1"])
-                    k2.append(place["k2"])
-                    at.append(place["at"] + np.int32(i))
-                    n.append(place["times"] + np.int32(width - 1))
-            if not k1:
-                continue
-            k1, k2, at, n = (np.concatenate(x) for x in (k1, k2, at, n))
-            order = np.lexsort((at, k2, k1))
-            k1, k2, at, n = k1[order], k2[order], at[order], n[order]
-            joined = np.zeros(len(at), bool)  # the next run starts where this one ends
-            joined[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (at[1:] == at[:-1] + n[:-1])
-            head = np.flatnonzero(~joined)
-            last = np.append(head[1:], len(at)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(k1[head]), pa.array(k2[head]), pa.array(at[head]), pa.array((at + n)[last] - at[head])], ["k1", "k2", "at", "n"])
+                    parts.append((place["k1"], place["k2"], place["at"] + np.int32(i), place["times"] + np.int32(width - 1)))
+                    size += len(place)
+                    if size > PLACES:
+                        yield merged(parts)
+                        parts, size = [], 0
+            if parts:
+                yield merged(parts)
 
     spans = met.select("m", "places", "spans").mapInArrow(expand, "k1 long, k2 long, at int, n int")
-    return spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    # a text that many batches hold has its spans from each of them: a set keeps one of each
+    return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
     """The documents plus kept (binary: the bytes that are left), n_bytes, n_removed and n_spans (maximal removed runs).
 
-    Columns of those four names are replaced; all others, of whatever names, are kept.  A null text counts as empty.  See `repeated_spans`.
+    Columns of those four names are replaced; all others, of whatever names, are kept, the text only if `with_text`.  A null text counts as empty.  See `repeated_spans`.
     """
     spans = materialize(repeated_spans(docs.select(F.col(text).alias("text")), "text", length, gram), "spans")
     made = ["kept", "n_bytes", "n_removed", "n_spans"]
     own, names = positional(docs, tuple(made))
     columns, body = own.columns, f"c{names.index(text)}"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
+    shown = [c for c in columns if with_text or c != body]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields if f.name in shown)
 
     def cut(batches):
-        for batch in slices(batches, body):
+        for batch in slices(batches, body, SLICE):
             data, off = utf8(batch.column(body))
             out: list[list] = [[], [], [], []]
             for b, e, found in zip(off[:-1].tolist(), off[1:].tolist(), batch.column("spans").to_pylist(), strict=True):
@@ -275,17 +288,19 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 for column, value in zip(out, (own_bytes.tobytes(), e - b, removed, runs), strict=True):
                     column.append(value)
             arrays = [pa.array(out[0], pa.binary()), *[pa.array(x, pa.int64()) for x in out[1:]]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *arrays], [*columns, *made])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in shown], *arrays], [*shown, *made])
 
     table = materialize(filter_table(spans.select(F.col("k1").alias("x"))), "filter")
     held = own.select(*columns, *_keys(F.coalesce(F.col(body), F.lit(""))))
     held = with_passes(held, F.col("k1"), table, "may")
-    rest = held.where("not may").select(*columns, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    whole = F.coalesce(F.col(body), F.lit("")).cast("binary")
+    zero = F.lit(0).cast("long")
+    rest = held.where("not may").select(*shown, whole.alias("kept"), F.octet_length(whole).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"))
     some = held.where("may").join(spans, ["k1", "k2"], "left").select(*columns, "spans")
-    both = [x.mapInArrow(cut, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long") for x in (rest, some)]
-    return both[0].unionByName(both[1]).toDF(*names, *made)
+    some = some.mapInArrow(cut, f"{schema}kept binary, n_bytes long, n_removed long, n_spans long")
+    return rest.unionByName(some).toDF(*[n for n, c in zip(names, columns, strict=True) if c in shown], *made)
 
 
 def op13_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -229,6 +229,17 @@ def test_suffix_dedup(spark, none, monkeypatch, crowd):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_many_copies_of_one_text(spark):
+    """A group of exact copies: what is kept of a text grows with the text, not with the number of its copies."""
+    page = " ".join(f"word{i}" for i in range(200))
+    df = spark.createDataFrame([(i, page) for i in range(300)], "doc_id long, text string").repartition(6)
+    spans = suffix_dedup.repeated_spans(df).collect()
+    assert len(spans) == 1 and len(spans[0]["spans"]) < 60
+    out = suffix_dedup.remove_repeats(df, with_text=False)
+    assert out.columns == ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert {(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()} == {(len(page), len(page), 1, b"")}
+
+
 def test_op13(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
