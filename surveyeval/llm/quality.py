@@ -1,21 +1,24 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other over rounds.
 
-Both views are logistic regressions.  They start from a bounded sample of labelled rows; in every round each scores all
-documents, and those it is confident about become pseudo-labelled rows of the *other* view.  Each view is then calibrated
-(Platt) on labelled rows kept out of training, and the calibrated log-odds are added, less the prior, to score every document.
-The content view sees hashed words and word pairs beside counts of how the text is written.  The text is read once: one
-pass makes a small row of features, and all rounds work on those rows.
+The content view sees what a text says: its words and pairs of neighbouring words, hashed to BUCKETS places, by damped counts of length one.  The
+metadata view sees what is known of the page without reading it: source, language, length, lines, links, script, marks and repeats.  Both are logistic
+regressions that start from a bounded sample of labelled rows.  In every round each view scores all documents, and of those without a label the
+most confident share of each class is exchanged: the same number of both classes, drawn by hash up to a bound, become pseudo-labelled
+rows of the *other* view.  Each view is calibrated (Platt) on labelled rows kept out of training, and the calibrated log-odds are added,
+less the prior, to score every document.
+
+A pass over the texts computes both views' odds from broadcast weights (BUCKETS and META numbers); features are stored for labelled and exchanged rows only.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
@@ -27,145 +30,193 @@ from .shared import join_small, materialize
 
 #: The classifier is fitted on at most about this many labelled rows, drawn by hash of doc_id.
 MAX_LABELLED = 20_000
-ROUNDS, CONFIDENT = 2, 0.98
-#: Words and word pairs are hashed to so many buckets; a view is calibrated on LEAST_HELD rows of each class or not at all.
-BUCKETS, LEAST_HELD = 2048, 10
+#: Rounds of exchange; the share of documents of which each view is held to be confident at either end; and at most so many rows a class, view and round.
+ROUNDS, SHARE, EXCHANGED = 2, 0.1, 3_000
+#: Places of hashed words and pairs; a view is calibrated on LEAST_HELD rows of each class or not at all.
+BUCKETS, LEAST_HELD = 1 << 18, 10
+#: Steps and penalties of the two regressions and of the calibration.
+STEPS, RIDGE, PLATT = 30, {"content": 1e-5, "metadata": 1e-3}, 1e-3
 MARKS = b"!|#%&$*^~<>{}[]=_@"
+#: The metadata view: hashed source, language and length, the length, then numbers of the page's layout, script and marks.
+CODES, LAYOUT = 256, 24 + len(MARKS)
+META = CODES + 1 + LAYOUT
 
 
-def content_features(text: str) -> list[float]:
-    """Shares and counts that describe how a text is written; an empty text gives zeros."""
+def page_features(text: str) -> list[float]:
+    """How a page is laid out and typed, whatever its words say; an empty text gives zeros."""
     raw = text.encode()
     own = raw.split()
     n, m = len(raw), len(own)
     if not m:
-        return [0.0] * (19 + len(MARKS))
+        return [0.0] * LAYOUT
     seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     upper, lower, digits, high = int(seen[65:91].sum()), int(seen[97:123].sum()), int(seen[48:58].sum()), int(seen[128:].sum())
     lines = raw.split(b"\n")
     again = sum(map(eq, own, own[1:]))
-    distinct = len(set(own))
-    halves = (m - distinct) / m
+    halves = (m - len(set(own))) / m
     long_words = sum(1 for w in own if len(w) > 20)
     punct = n - upper - lower - digits - high - int(seen[[32, 9, 10, 11, 12, 13]].sum())
-    out = [
+    return [
         math.log1p(n), math.log1p(m), (n - m) / m, upper / (upper + lower + 1), digits / n, high / n, punct / m, again / m, halves, halves * math.log1p(m),
-        float(again > 0.2 * m), float(upper > 0.5 * (upper + lower)), float(punct > 0.5 * m), float(punct > m), (len(lines) - 1) / m, 1 - len(set(lines)) / len(lines),
-        long_words / m, int(seen[46]) / m, int(seen[44]) / m,
+        float(again > 0.2 * m), float(upper > 0.5 * (upper + lower)), float(punct > 0.5 * m), float(punct > m), (len(lines) - 1) / m, 1 - len(set(lines)) / len(lines), math.log1p(len(lines)), math.log1p(n / len(lines)),
+        long_words / m, int(seen[46]) / m, int(seen[44]) / m, float(b"http" in raw), float(b"icense" in raw), float(own[-1][-1:] in (b".", b"!", b"?")), *[min(2.0, int(seen[c]) / m) for c in MARKS],
     ]
-    return out + [min(2.0, int(seen[c]) / m) for c in MARKS]
 
 
-def gram_buckets(column: pa.Array) -> np.ndarray:
-    """A row of flags for each text: the buckets of its words (A-Z lower-cased) and of its pairs of neighbouring words."""
+def content_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, value) of the words (A-Z lower-cased) and neighbouring pairs of texts, sorted: 1 + log of counts, scaled so that each text has length one."""
     data, off = utf8(column)
     data = LOWER[data]
     starts, ends, first = words(data, off)
     h, owner = word_hash(data, starts, ends), np.repeat(np.arange(len(column)), np.diff(first))
-    seen = np.zeros((len(column), BUCKETS), bool)
-    seen[owner, h % np.uint64(BUCKETS)] = True
     within = owner[1:] == owner[:-1]
-    seen[owner[1:][within], ngrams(h, 2)[within] % np.uint64(BUCKETS)] = True
-    return seen
-
-
-#: How a vector is stored in Parquet; `_content` is written in this form and read back as a vector.
+    places = np.concatenate([h, ngrams(h, 2)[within]]) % np.uint64(BUCKETS)
+    key, n = np.unique(np.concatenate([owner, owner[1:][within]]) * BUCKETS + places.astype(np.int64), return_counts=True)
+    text, value = key // BUCKETS, 1 + np.log(n)
+    norm = np.sqrt(np.bincount(text, value * value, minlength=len(column)))
+    return text, key % BUCKETS, value / norm[text]
+
+
+def metadata_rows(batch: pa.RecordBatch) -> np.ndarray:
+    """The metadata view of a batch, a row a page."""
+    out = np.zeros((batch.num_rows, META))
+    length = batch.column("length").to_numpy()
+    for name in ("source", "lang"):
+        for i, v in enumerate(batch.column(name).to_pylist()):
+            out[i, zlib.crc32(f"{name}={v}".encode()) % CODES] = 1.0
+    for i, v in enumerate(np.round(2 * length).astype(int).tolist()):
+        out[i, zlib.crc32(f"length={v}".encode()) % CODES] = 1.0
+    out[:, CODES] = length
+    out[:, CODES + 1 :] = np.array([page_features(t or "") for t in batch.column("_text").to_pylist()]).reshape(batch.num_rows, LAYOUT)
+    return out
+
+
+#: How a vector is stored in Parquet; read back as a vector.
 STORED_VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
 
 
-def _content(column: pa.Array) -> pa.StructArray:
-    """The content features of texts as sparse vectors: how they are written, then their buckets."""
-    style = np.array([content_features(t or "") for t in column.to_pylist()])
-    used = np.hstack([style != 0, gram_buckets(column)])
-    row, at = np.nonzero(used)
-    values = np.ones(len(at))
-    styled = at < style.shape[1]
-    values[styled] = style[row[styled], at[styled]]
-    ends = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)
-    n = len(column)
-    parts = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, used.shape[1], np.int32)), pa.ListArray.from_arrays(ends, at.astype(np.int32)), pa.ListArray.from_arrays(ends, values)]
+def _stored(text: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int, size: int) -> pa.StructArray:
+    ends = np.searchsorted(text, np.arange(rows + 1)).astype(np.int32)
+    parts = [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, size, np.int32)), pa.ListArray.from_arrays(ends, place.astype(np.int32)), pa.ListArray.from_arrays(ends, value)]
     return pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
 
 
-def _featured(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(rid, doc_id, source, lang, length, content) of every row."""
+def _pages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(rid, doc_id, source, lang, length, _text) of every row; lengths that are no numbers count as missing."""
+    has = set(docs.columns)
+    meta = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c in has else F.lit("-").alias(c) for c in ("source", "lang")]
+    given = F.col("n_chars").cast("string").try_cast("double") if "n_chars" in has else F.lit(None).cast("double")
+    length = F.coalesce(F.when(~F.isnan(given), given), F.length(text).cast("double"), F.lit(0.0))
+    length = F.log1p(F.least(F.greatest(length, F.lit(0.0)), F.lit(1e12)))
+    return docs.select(F.xxhash64(doc_id, F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.col(doc_id).alias("doc_id"), *meta, length.alias("length"), F.col(text).alias("_text"))
+
+
+def _featured(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` with the vectors content and metadata, written down: for bounded sets of rows."""
 
     def local(batches):
         for batch in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _content(batch.column("_text"))], [*batch.schema.names[:-1], "content"])
+            meta = metadata_rows(batch)
+            row, at = np.nonzero(meta)
+            content = _stored(*content_vectors(batch.column("_text")), batch.num_rows, BUCKETS)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], content, _stored(row, at, meta[row, at], batch.num_rows, META)], [*keep, "content", "metadata"])
 
-    has = set(docs.columns)
-    meta = [F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) if c in has else F.lit("-").alias(c) for c in ("source", "lang")]
-    length = F.coalesce(F.col("n_chars").cast("double") if "n_chars" in has else F.lit(None).cast("double"), F.length(text).cast("double"), F.lit(0.0))
-    kind = dict(docs.dtypes)[doc_id]
-    rows = docs.select(F.xxhash64(doc_id, F.coalesce(F.col(text), F.lit(""))).alias("rid"), F.col(doc_id).alias("doc_id"), *meta, F.log1p(F.greatest(length, F.lit(0.0))).alias("length"), F.col(text).alias("_text"))
-    return rows.mapInArrow(local, f"rid long, doc_id {kind}, source string, lang string, length double, content {STORED_VECTOR}")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
+    rows = pages.mapInArrow(local, f"{schema}content {STORED_VECTOR}, metadata {STORED_VECTOR}")
+    return materialize(rows, "features", StructType([StructField(f.name, VectorUDT()) if f.name in ("content", "metadata") else f for f in rows.schema]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
+def _odds(pages: DataFrame, keep: list[str], fitted: dict) -> DataFrame:
+    """The columns `keep` with o_content and o_metadata, the calibrated log-odds of both views, in one pass over the texts."""
+    spark = pages.sparkSession
+    held = spark.sparkContext.broadcast({v: (np.asarray(model.coefficients.toArray()), float(model.intercept), a, b) for v, (model, a, b) in fitted.items()})
+
+    def local(batches):
+        (wc, ic, ac, bc), (wm, im, am, bm) = held.value["content"], held.value["metadata"]
+        for batch in slices(batches, "_text"):
+            text, place, value = content_vectors(batch.column("_text"))
+            content = np.bincount(text, wc[place] * value, minlength=batch.num_rows) + ic
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(content * ac + bc), pa.array((metadata_rows(batch) @ wm + im) * am + bm)], [*keep, "o_content", "o_metadata"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
+    return pages.mapInArrow(local, f"{schema}o_content double, o_metadata double")
+
+
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, share: float = SHARE, exchanged: int = EXCHANGED, report: list | None = None,
+) -> DataFrame:
     """(rid, doc_id, p_content, p_metadata, score, keep) of every row; keep is score >= 0.5.
 
     rid is a hash of doc_id and text.  Null texts count as empty, null metadata as a value of its own; missing metadata
-    columns are left out; labels other than 0 and 1 are ignored and the larger one holds where a doc_id has both.  If the labelled
+    columns are left out, an n_chars that is no number counts as missing; labels other than 0 and 1 are ignored and the larger one holds where a doc_id has both.  If the labelled
     sample has one class only (or none, or fewer than 4 rows of a class), nothing can be learnt and every document is kept with score 1.
     A quarter of each class is held out for calibration; with fewer than LEAST_HELD held rows of a class the views stay
     uncalibrated.  A very long text is one row in memory.  An empty table gives an empty result; other columns, of whatever names, are ignored; repeated rows get equal scores.
+
+    Rows of the exchange come from all documents without a label: of the `share` with the highest odds of a view those it holds to be good, of the `share` with
+    the lowest those it holds to be bad, drawn to the same number of both, at most `exchanged`.  A view that is confident of one class only gives none in that round.
+    `report`, a list, gets a dict (round, teacher, pupil, class, rows) for each.
     """
     given = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("double")).alias("label"))
     rate = min(1.0, max_labelled / max(1, given.count()))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) / 1e6
     sample = materialize(given.where(unit < rate), "labels")
-    base = _featured(docs, doc_id, text)
-    base = FeatureHasher(inputCols=["source", "lang", "bin"], outputCol="hashed", numFeatures=256).transform(base.withColumn("bin", F.round(F.col("length") * 2).cast("int").cast("string")))
-    base = VectorAssembler(inputCols=["hashed", "length"], outputCol="metadata").transform(base).select("rid", "doc_id", "content", "metadata")
-    read = StructType([StructField(f.name, VectorUDT()) if f.name == "content" else f for f in base.schema])
-    base = materialize(base, "features", read)
+    pages = _pages(docs, doc_id, text)
     views = ("content", "metadata")
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(6)), "rid")  # the sample is bounded
-    known = materialize(join_small(base, sample, "doc_id").withColumn("held", F.row_number().over(order) % 4 == 0), "labelled")
+    known = _featured(join_small(pages, sample, "doc_id"), ["rid", "doc_id", "label"])
+    held = materialize(known.select("rid", "doc_id", "label").withColumn("held", F.row_number().over(order) % 4 == 0).select("rid", "held").distinct(), "held")
+    known = materialize(known.join(F.broadcast(held), "rid"), "labelled", StructType([*known.schema.fields, *held.select("held").schema.fields]))  # held: bounded like the sample
     counts = {(r["label"], r["held"]): r["count"] for r in known.groupBy("label", "held").count().collect()}
     classes: dict[float, int] = {}
     for (one_class, _), n in counts.items():
         classes[one_class] = classes.get(one_class, 0) + n
     if len(classes) < 2 or min(classes.values()) < 4:
         one = F.lit(1.0)
-        return base.select("rid", "doc_id", one.alias("p_content"), one.alias("p_metadata"), one.alias("score"), F.lit(True).alias("keep"))
+        return pages.select("rid", "doc_id", one.alias("p_content"), one.alias("p_metadata"), one.alias("score"), F.lit(True).alias("keep"))
     n_known = sum(classes.values())
     prior = math.log(classes[1.0] / classes[0.0])
-
     calibrate = min(counts.get((c, True), 0) for c in classes) >= LEAST_HELD
 
-    def fit(name: str, extra: DataFrame | None):
+    def fit(name: str, extra: list[DataFrame]):
         rows = known.where("not held" if calibrate else "true").select(name, "label", F.lit(1.0).alias("weight"))
-        if extra is not None and (n := extra.count()):
-            rows = rows.unionByName(extra.withColumn("weight", F.lit(min(1.0, n_known / n))))
-        model = LogisticRegression(featuresCol=name, maxIter=12, regParam=1e-3, weightCol="weight", standardization=True).fit(rows)
+        size = sum(e.count() for e in extra)
+        for e in extra:
+            rows = rows.unionByName(e.select(name, "label").withColumn("weight", F.lit(min(1.0, 0.5 * n_known / max(1, size)))))
+        model = LogisticRegression(featuresCol=name, maxIter=STEPS, regParam=RIDGE[name], weightCol="weight", standardization=name != "content").fit(rows.coalesce(8))
         if not calibrate:
             return model, 1.0, 0.0
         scored = model.transform(known.where("held").select(name, "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
-        platt = LogisticRegression(maxIter=10, regParam=1e-4).fit(scored.select(array_to_vector(F.array("m")).alias("features"), "label"))
+        platt = LogisticRegression(maxIter=50, regParam=PLATT).fit(scored.select(array_to_vector(F.array("m")).alias("features"), "label"))
         return model, float(platt.coefficients[0]), float(platt.intercept)
 
-    def odds(df: DataFrame, name: str, fitted) -> DataFrame:
-        """Add the calibrated log-odds of a view."""
-        model, a, b = fitted
-        df = model.transform(df).withColumn(f"o_{name}", vector_to_array("rawPrediction")[1] * a + b)
-        return df.drop("rawPrediction", "probability", "prediction")
-
-    extra: dict[str, DataFrame | None] = {v: None for v in views}
-    fitted = {v: fit(v, None) for v in views}
-    unlabelled = join_small(base, known.select("rid"), "rid", "left_anti")
-    edge = math.log(confident / (1 - confident))
-    for _ in range(rounds):
+    extra: dict[str, list[DataFrame]] = {v: [] for v in views}
+    fitted = {v: fit(v, []) for v in views}
+    unlabelled = join_small(pages, held.select("rid"), "rid", "left_anti")
+    for turn in range(rounds):
+        scored = materialize(_odds(unlabelled, ["rid"], fitted).distinct(), "odds")
+        chosen = []
         for teacher, pupil in (views, views[::-1]):
-            # not written anew: a pass over the features costs less than a copy of them
-            sure = odds(unlabelled, teacher, fitted[teacher]).where(F.abs(f"o_{teacher}") >= edge)
-            extra[pupil] = sure.select(pupil, (F.col(f"o_{teacher}") > 0).cast("double").alias("label"))
+            odds = F.col(f"o_{teacher}")
+            low, high = scored.agg(F.percentile_approx(f"o_{teacher}", [share, 1 - share], 10_000)).first()[0] or (0.0, 0.0)
+            sure = {1.0: (odds >= high) & (odds > 0), 0.0: (odds <= low) & (odds < 0)}
+            sizes = scored.agg(*[F.count_if(c).alias(f"n{int(k)}") for k, c in sure.items()]).first()
+            take = min(exchanged, sizes["n1"], sizes["n0"])
+            for k, c in sure.items():
+                n = sizes[f"n{int(k)}"]
+                drawn = scored.where(c & (F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(1 << 30)) < F.lit(int((1 << 30) * take / max(1, n)) if take < n else 1 << 30))) if take else scored.where(F.lit(False))
+                chosen.append(drawn.select("rid", F.lit(k).alias("label"), F.lit(pupil).alias("pupil")))
+                if report is not None:
+                    report.append({"round": turn + 1, "teacher": teacher, "pupil": pupil, "class": int(k), "rows": drawn.count()})
+        ids = materialize(chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).unionByName(chosen[3]), "exchanged")  # about 4 * exchanged rows at most
+        rows = _featured(unlabelled.join(F.broadcast(ids), "rid").dropDuplicates(["rid", "pupil"]), ["label", "pupil"])
+        for v in views:
+            extra[v] = [*extra[v], rows.where(F.col("pupil") == v)]
         fitted = {v: fit(v, extra[v]) for v in views}
-    scored = odds(odds(base, "content", fitted["content"]), "metadata", fitted["metadata"])
+    out = _odds(pages, ["rid", "doc_id"], fitted)
     p = lambda x: 1 / (1 + F.exp(-x))
     total = F.col("o_content") + F.col("o_metadata") - F.lit(prior)
-    return scored.select("rid", "doc_id", p(F.col("o_content")).alias("p_content"), p(F.col("o_metadata")).alias("p_metadata"), p(total).alias("score"), (total >= 0).alias("keep"))
+    return out.select("rid", "doc_id", p(F.col("o_content")).alias("p_content"), p(F.col("o_metadata")).alias("p_metadata"), p(total).alias("score"), (total >= 0).alias("keep"))
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
