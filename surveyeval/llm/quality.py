@@ -19,7 +19,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,6 +142,20 @@ def _odds(pages: DataFrame, keep: list[str], fitted: dict) -> DataFrame:
     return pages.mapInArrow(local, f"{schema}o_content double, o_metadata double")
 
 
+def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn margins into calibrated log-odds: a penalised logistic regression on one number, by Newton steps."""
+    scale = max(1e-9, float(np.std(margin)))
+    x, beta = np.c_[margin / scale, np.ones(len(margin))], np.zeros(2)
+    pen = np.array([PLATT * len(margin), 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pen + 1e-9), x.T @ (label - p) - pen * beta)
+        beta = beta + np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(beta[0] / scale), float(beta[1])
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, share: float = SHARE, exchanged: int = EXCHANGED, report: list | None = None,
 ) -> DataFrame:
@@ -183,12 +197,11 @@ def quality_scores(
         size = sum(e.count() for e in extra)
         for e in extra:
             rows = rows.unionByName(e.select(name, "label").withColumn("weight", F.lit(min(1.0, 0.5 * n_known / max(1, size)))))
-        model = LogisticRegression(featuresCol=name, maxIter=STEPS, regParam=RIDGE[name], weightCol="weight", standardization=name != "content").fit(rows.coalesce(8))
+        model = LogisticRegression(featuresCol=name, maxIter=STEPS, regParam=RIDGE[name], weightCol="weight", standardization=name != "content").fit(rows.coalesce(4))
         if not calibrate:
             return model, 1.0, 0.0
-        scored = model.transform(known.where("held").select(name, "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label")
-        platt = LogisticRegression(maxIter=50, regParam=PLATT).fit(scored.select(array_to_vector(F.array("m")).alias("features"), "label"))
-        return model, float(platt.coefficients[0]), float(platt.intercept)
+        margins = model.transform(known.where("held").select(name, "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label").toPandas()  # a quarter of the bounded sample
+        return model, *platt(margins["m"].to_numpy(float), margins["label"].to_numpy(float))
 
     extra: dict[str, list[DataFrame]] = {v: [] for v in views}
     fitted = {v: fit(v, []) for v in views}
