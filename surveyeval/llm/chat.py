@@ -1,8 +1,8 @@
 """Chat formatting by multi-party perspective rotation, in DataFrame operations.
 
 For every participant of a conversation the whole dialogue is rendered with that speaker as the assistant and all others as named users,
-with a mask of the characters to learn from.  Only a conversation of more than `max_turns` turns is cut, into runs of that many
-consecutive turns, each led by the conversation's instructions, so that no row grows with the longest conversation.
+with a mask of the characters to learn from.  Dialogues are whole, whatever their length, unless the caller asks for cuts: with `max_turns`,
+longer ones fall into runs of that many consecutive turns, each led by the conversation's instructions, so that no row grows with the longest.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from .shared import join_small, materialize
 
-MAX_TURNS = 2000
-
 
 def _plain(x: Column) -> Column:
     """Text without markers: every "<|" is written "< |"."""
@@ -34,8 +32,8 @@ def _pieces(said: DataFrame, context: str, max_turns: int) -> DataFrame:
     return placed.unionByName(led)
 
 
-def perspectives(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", context: str = "system", max_turns: int = MAX_TURNS) -> DataFrame:
-    """Rows (conv_id, speaker, part, n_turns, n_own, text, mask): one per participant, and more parts only where a conversation has over `max_turns` turns.
+def perspectives(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", context: str = "system", max_turns: int | None = None) -> DataFrame:
+    """Rows (conv_id, speaker, part, n_turns, n_own, text, mask): one per participant, and more parts only where a conversation has over `max_turns` turns (default: never).
 
     mask is an array of (start, end) character ranges of the participant's own words in `text`.  Turns of the speaker
     `context` are instructions: rendered as system, no participant.  A null speaker is called unknown; a null text is an
@@ -47,13 +45,12 @@ def perspectives(conversations: DataFrame, conv_id: str = "conv_id", turn: str =
     said = conversations.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("by"), F.coalesce(F.col(text), F.lit("")).alias("words")
     )
-    long = said.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > max_turns).select(F.struct("conv_id").alias("c"))
-    long = materialize(long, "long")
-    keyed = said.withColumn("c", F.struct("conv_id"))
-    usual = join_small(keyed, long, "c", "left_anti").drop("c").withColumn("part", F.lit(0).cast("long"))
-    rows = usual.withColumn("no", F.lit(0).cast("long"))
-    if long.limit(1).count():
-        rows = rows.unionByName(_pieces(join_small(keyed, long, "c", "left_semi").drop("c"), context, max_turns))
+    rows = said.withColumn("part", F.lit(0).cast("long")).withColumn("no", F.lit(0).cast("long"))
+    if max_turns is not None:
+        long = said.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > max_turns).select(F.struct("conv_id").alias("c"))
+        long, keyed = materialize(long, "long"), rows.withColumn("c", F.struct("conv_id"))
+        rows = join_small(keyed, long, "c", "left_anti").drop("c")
+        rows = rows.unionByName(_pieces(join_small(keyed, long, "c", "left_semi").drop("c", "part", "no"), context, max_turns))
     turns = F.array_sort(F.collect_list(F.struct("no", F.col("turn").isNull().alias("last"), "turn", "by", "words")))
     pieces = rows.groupBy("conv_id", "part").agg(turns.alias("said"))
     people = said.where(F.col("by") != context).select(F.col("conv_id").alias("c"), F.col("by").alias("speaker")).distinct()
@@ -91,17 +88,12 @@ def op3_chat_perspectives(spark, sf_dir: str) -> DataFrame:
     return shown.select("conv_id", "speaker", "part", "n_turns", "n_own", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), spans.alias("mask"))
 
 
-ORACLE_OP3 = f"""
-WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS by_, coalesce(text, '') AS words,
+ORACLE_OP3 = """
+WITH pieces AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS by_, coalesce(text, '') AS words, 0 AS part,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), coalesce(text, '')) - 1 AS no
   FROM conversations
-), first AS (SELECT conv_id, min(no) AS first, max(no) // {MAX_TURNS} AS last FROM said WHERE by_ <> 'system' GROUP BY conv_id),
-pieces AS (
-  SELECT conv_id, by_, words, no, no // {MAX_TURNS} AS part FROM said
-  UNION ALL
-  SELECT s.conv_id, by_, words, no, unnest(range(1, last + 1)) AS part FROM said s JOIN first f ON s.conv_id IS NOT DISTINCT FROM f.conv_id WHERE by_ = 'system' AND no < first AND no < {MAX_TURNS}
-), people AS (SELECT DISTINCT conv_id, by_ AS speaker FROM said WHERE by_ <> 'system'),
+), people AS (SELECT DISTINCT conv_id, by_ AS speaker FROM pieces WHERE by_ <> 'system'),
 each AS (
   SELECT s.conv_id, p.speaker, s.part, s.no, replace(s.words, '<|', '< |') AS words, s.by_ = p.speaker AS own,
     '<|' || CASE WHEN s.by_ = 'system' THEN 'system' WHEN s.by_ = p.speaker THEN 'assistant'

@@ -117,12 +117,14 @@ def fit_ordinal(rows: DataFrame, n_terms: int, counts: list[int], steps: int = 2
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> DataFrame:
     """(doc_id, severity, grade, p_toxic, toxic) of every row; severity is the expected grade.
 
-    Any integer label of 0 or more is a grade: 0 is not toxic, larger ones are severer.  Null texts count as empty and very long
-    ones are read whole; where a doc_id has several labels the largest holds; if the labelled sample has one class only, or no term is
-    associated with toxicity, every severity is 0.  Features that the same labelled rows hold, as far as counts tell (a word and
+    Any integer label of 0 or more is a grade: 0 is not toxic, larger ones are severer; a label that is no whole number is refused.  Null texts count as empty and very long
+    ones are read whole; where a doc_id has several labels the largest holds; if the labelled sample has one grade only, every severity
+    is 0; if it has several but no term goes with the higher ones, every document has the lowest.  Features that the same labelled rows hold, as far as counts tell (a word and
     its beginnings), count once; of the rest the model takes the `max_terms` of the largest chi-square.  An
     empty table gives an empty result; other columns, of whatever names, are ignored; equal texts get equal scores.
     """
+    if labels.where(F.col(label).cast("double") != F.floor(F.col(label).cast("double"))).limit(1).count():
+        raise ValueError(f"{label} holds labels that are no whole numbers")
     given = labels.where(F.col(label).isNotNull() & (F.col(label) >= 0) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     rate = min(1.0, max_labelled / max(1, given.count()))
     sample = materialize(given.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6 < rate), "labels")
@@ -134,13 +136,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(each, pa.list_(pa.string()))], ["label", "terms"])
 
     known = materialize(join_small(base, sample, "doc_id").select("label", "body"), "labelled")
-    size = known.agg(F.count("*").alias("n"), F.count_if(F.col("label") > 0).alias("t")).first()
+    low, high = known.agg(F.min("label"), F.max("label")).first()
+    above = F.col("label") > F.lit(low if low is not None else 0)  # what a term is associated with: any grade but the lowest
+    size = known.agg(F.count("*").alias("n"), F.count_if(above).alias("t")).first()
     kind = dict(docs.dtypes)[doc_id]
     schema = f"doc_id {kind}, severity double, grade int, p_toxic double, toxic boolean"
     n, t = size["n"], size["t"]
     vocabulary: list[str] = []
     if 0 < t < n:
-        seen = known.mapInArrow(counted, "label int, terms array<string>").select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("label") > 0).alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(MIN_DOCS, MIN_SHARE * n))
+        seen = known.mapInArrow(counted, "label int, terms array<string>").select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(above).alias("a"), F.count("*").alias("df")).where(F.col("df") >= max(MIN_DOCS, MIN_SHARE * n))
         a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
         chi2 = n * F.pow(a * (n - t - b) - b * (t - a), F.lit(2.0)) / (F.col("df") * (n - F.col("df")) * float(t) * float(n - t))
         chosen = seen.where((a * (n - t) > b * t) & (F.col("df") < n)).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2)
@@ -149,8 +153,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         chosen = chosen.orderBy(F.desc("chi2"), "term").limit(max_terms)
         vocabulary = sorted(r["term"] for r in chosen.select("term").collect())
     if not vocabulary:
-        zero = F.lit(0.0)
-        return base.select("doc_id", zero.alias("severity"), F.lit(0).alias("grade"), zero.alias("p_toxic"), F.lit(False).alias("toxic"))
+        grade = low if t and low != high else 0
+        return base.select("doc_id", F.lit(float(grade)).alias("severity"), F.lit(grade).alias("grade"), F.lit(float(grade > 0)).alias("p_toxic"), F.lit(grade > 0).alias("toxic"))
     place = {x: i for i, x in enumerate(vocabulary)}
 
     heads = {x.rstrip("-")[:4] for x in vocabulary}

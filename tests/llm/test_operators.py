@@ -375,7 +375,7 @@ def _rendered(turns, speaker):
     return "".join(f"<|{head(by)}|>\n{t}\n<|end|>\n" for by, t in turns)
 
 
-@pytest.mark.parametrize("n", [129, 1000, 2000])
+@pytest.mark.parametrize("n", [129, 2001, 10_000])
 def test_chat_long_dialogues_stay_whole(spark, n):
     turns = [("system", "be kind"), *[(("ann", "bob", "cy")[i % 3], f"turn {i}") for i in range(1, n)]]
     df = spark.createDataFrame([(7, i, by, t) for i, (by, t) in enumerate(turns)], "conv_id long, turn long, role string, text string").repartition(5)
@@ -442,6 +442,17 @@ def test_toxicity_given_grades(spark):
     assert set(out[0].asDict()) == {"doc_id", "severity", "grade", "p_toxic", "toxic"}
 
 
+def test_toxicity_without_the_lowest_grade(spark):
+    """Grades 1 and 2 only: nothing is graded 0; labels that are no whole numbers are refused."""
+    rows = [(i, f"plain words {i} about gardens and rain" if i % 2 else f"you horrid vermin number {i} get lost") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 2) for i in range(0, 120)], "doc_id long, toxic int")
+    out = {r["doc_id"]: r for r in toxicity.toxicity_scores(df, labels).collect()}
+    assert all(r["grade"] == (1 if d % 2 else 2) and r["toxic"] and 1 <= r["severity"] <= 2 for d, r in out.items())
+    with pytest.raises(ValueError, match="whole"):
+        toxicity.toxicity_scores(df, labels.withColumn("toxic", F.col("toxic") + F.lit(0.5)))
+
+
 def test_toxicity(spark):
     df, labels = _corpus(spark)
     rows = toxicity.toxicity_scores(df, labels.where("doc_id % 3 <> 0")).collect()
