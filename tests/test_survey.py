@@ -15,7 +15,7 @@ from surveyeval.operators import stats as ST
 from surveyeval.operators import tables as T
 from surveyeval.operators import text as TX
 from surveyeval.operators import report as R
-from surveyeval.plans import composed_queries, more_queries, report_queries  # noqa: F401  (register their queries)
+from surveyeval.plans import composed_queries, more_queries, report_queries, table_queries  # noqa: F401  (register their queries)
 from surveyeval.plans.queries import ORACLE_SQL, QUERIES
 from surveyeval.sources import microdata as M
 from surveyeval.streaming import health as H
@@ -134,7 +134,7 @@ def test_sets(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in "customer orders events documents labels conversations".split():
+    for t in "nation customer orders events documents labels conversations".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF).toPandas()
     if name not in ORACLE_SQL:
