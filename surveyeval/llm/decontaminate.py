@@ -14,7 +14,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import join_small, materialize
+from . import shared
+from .shared import filter_table, join_small, materialize, with_passes
 
 WINDOW, GRAM = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,6 +74,14 @@ def _fingerprints(df: DataFrame, words: str, w: int, k: int) -> DataFrame:
     return with_least(with_grams(_hashed(df, words, {"_h": 1}), "_h", k, "_g"), "_g", w - k + 1, "_fp").drop("_h", "_g")
 
 
+def _looked_up(df: DataFrame, table: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
+    """df joined with `table`, which holds `rows` rows; where those are too many to broadcast, rows that a filter of fixed size rules out stay out of the shuffle."""
+    if rows > shared.BROADCAST_ROWS:
+        bits = materialize(filter_table(table.select(F.col(on[0]).alias("x"))), "filter")
+        df = with_passes(df, F.col(on[0]), bits, "_pass").where("_pass").drop("_pass")
+    return join_small(df, table, on, how, rows=rows)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", w: int = WINDOW, k: int = GRAM
 ) -> DataFrame:
@@ -109,13 +118,14 @@ def contamination(
 
     marked = _fingerprints(base.select("doc_id", "rid", word_array(F.col("_text")).alias("_w")), "_w", w, k)
     marked = materialize(marked.select("doc_id", "rid", F.size("_w").cast("long").alias("n_words"), F.array_distinct("_fp").alias("fps")), "fingerprints")
-    found = join_small(marked.select("rid", F.explode("fps").alias("fp")), materialize(fp, "fp"), "fp", "left_semi").select("rid").distinct()
+    fp = materialize(fp, "fp")
+    found = _looked_up(marked.select("rid", F.explode("fps").alias("fp")), fp, ["fp"], "left_semi", fp.count()).select("rid").distinct()
     found = materialize(found, "suspects")
-    suspects = join_small(base, found, "rid", "left_semi").select("rid", word_array(F.col("_text")).alias("_w"))
-    hits = join_small(windows(suspects, w).select("rid", at).select("rid", "at", "x.wa", "x.wb"), item_windows.where(F.col("len") == w), ["wa", "wb"], rows=n_windows)
+    suspects = _looked_up(base, found, ["rid"], "left_semi", found.count()).select("rid", word_array(F.col("_text")).alias("_w"))
+    hits = _looked_up(windows(suspects, w).select("rid", at).select("rid", "at", "x.wa", "x.wb"), item_windows.where(F.col("len") == w), ["wa", "wb"], "inner", n_windows)
     for m in short:
         every = windows(base.select("rid", word_array(F.col("_text")).alias("_w")), m).select("rid", at).select("rid", "at", "x.wa", "x.wb")
-        hits = hits.unionByName(join_small(every, item_windows.where(F.col("len") == m), ["wa", "wb"], rows=n_windows))
+        hits = hits.unionByName(_looked_up(every, item_windows.where(F.col("len") == m), ["wa", "wb"], "inner", n_windows))
     spans = F.aggregate(
         F.array_sort(F.collect_set(F.struct("at", "len"))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),

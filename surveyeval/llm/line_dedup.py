@@ -3,7 +3,7 @@
 Method: lines are hashed (128 bits), hashes are range-partitioned (by fixed borders, as hashes are spread evenly, so no
 sample is needed) and sorted by (hash, document, position), and one streaming pass keeps first occurrences.  Each task first settles what it can by itself: a line that a smaller document
 of the same batch holds is dropped there at once, so a very common line reaches the shuffle once per batch, not once
-per document.  Texts are not moved until `apply_keep_bitmaps` joins them with the bitmaps.
+per document.  Texts are not moved until `apply_keep_bitmaps` joins the bitmaps of texts that lose lines; other texts stay where they are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, slices
-from .shared import positional
+from .shared import filter_table, materialize, positional, with_passes
 
 MIN_CODE_POINTS = 10
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -28,6 +28,14 @@ def _row_id(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
 
 
+def _doc(doc_id: str):
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_DOC))
+
+
+def _n_lines(text):
+    return F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("long")
+
+
 def line_key(line: bytes, table: bytes) -> bytes:
     return line.strip(STRIPPED).translate(table)
 
@@ -81,20 +89,21 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
             least = np.where(first >= 0, doc[np.maximum(first, 0)], last[2] if last else 0)
             last = (h1[-1], h2[-1], least[-1])
             dropped = pa.array(done | (doc != least))
-            yield pa.RecordBatch.from_arrays([batch.column("rid").filter(dropped), batch.column("pos").filter(dropped)], ["rid", "pos"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(dropped) for c in ("doc", "rid", "pos")], ["doc", "rid", "pos"])
 
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_DOC)).alias("doc"), _row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    doc = _doc(doc_id).alias("doc")
+    rows = docs.select(doc, _row_id(doc_id, text).alias("rid"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     border = F.floor((F.shiftright("h1", 32) + F.lit(1 << 31)) * ranges / F.lit(float(1 << 32))).cast("int")
     ranged = rows.mapInArrow(local, _ROWS).repartitionById(ranges, border).sortWithinPartitions("h1", "h2", "doc", "rid")
     drops = (
-        ranged.mapInArrow(stream, "rid long, pos array<int>")
-        .groupBy("rid")
+        ranged.mapInArrow(stream, "doc long, rid long, pos array<int>")
+        .groupBy("doc", "rid")
         .agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
     )
     lines = (
-        docs.select(_row_id(doc_id, text).alias("rid"), F.col(doc_id).alias("doc_id"), F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("long").alias("n_lines"))
-        .groupBy("rid")
+        docs.select(doc, _row_id(doc_id, text).alias("rid"), F.col(doc_id).alias("doc_id"), _n_lines(F.col(text)).alias("n_lines"))
+        .groupBy("doc", "rid")
         .agg(F.first("doc_id").alias("doc_id"), F.max("n_lines").alias("n_lines"))
     )
 
@@ -112,32 +121,43 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("n_lines"), pa.array(gone, pa.int64()), pa.array(maps, pa.binary())], ["rid", "doc_id", "n_lines", "n_dropped", "keep_bitmap"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return lines.join(drops, "rid", "left").mapInArrow(bitmap, f"rid long, doc_id {kind}, n_lines long, n_dropped long, keep_bitmap binary")
+    return lines.join(drops, ["doc", "rid"], "left").drop("doc").mapInArrow(bitmap, f"rid long, doc_id {kind}, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def apply_keep_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with only the kept lines in their text, plus n_lines and n_dropped. A null text stays null.
 
-    Columns of those two names are replaced; all others, of whatever names, are kept.
+    Columns of those two names are replaced; all others, of whatever names, are kept.  Only texts that lose lines (and, by
+    chance of a filter of fixed size, a few others) are shuffled; the others pass by in one projection.
     """
     own, names = positional(docs, ("n_lines", "n_dropped"))
-    columns, body = own.columns, f"c{names.index(text)}"
-    held = own.withColumn("rid", _row_id(f"c{names.index(doc_id)}", body)).join(bitmaps.select("rid", "n_lines", "n_dropped", F.col("keep_bitmap").alias("bits")), "rid")
+    columns, body, key = own.columns, f"c{names.index(text)}", f"c{names.index(doc_id)}"
+    bits = bitmaps.where("keep_bitmap is not null").select(_doc("doc_id").alias("doc"), "rid", F.col("keep_bitmap").alias("bits"))
+    bits = materialize(bits, "bitmaps")
+    table = materialize(filter_table(bits.select(F.col("rid").alias("x"))), "filter")
+    held = with_passes(own.withColumn("doc", _doc(key)).withColumn("rid", _row_id(key, body)), F.col("rid"), table, "touched")
+    counted = held.withColumn("n_lines", _n_lines(F.col(body)))
+    untouched = counted.where("not touched").select(*columns, "n_lines", F.lit(0).cast("long").alias("n_dropped"))
+    touched = counted.where("touched").join(bits, ["doc", "rid"], "left")
 
     def cut(batches):
         for batch in slices(batches, body, 8 << 20):
             texts = []
+            gone = []
             for words, n, bits in zip(batch.column(body).to_pylist(), batch.column("n_lines").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                if words is not None and bits is not None:
+                gone.append(0)
+                if bits is not None:
                     keep = np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8), count=n).tolist()
-                    words = "\n".join([line for line, k in zip(words.split("\n"), keep, strict=True) if k])
+                    gone[-1] = n - sum(keep)
+                    words = words if words is None else "\n".join([line for line, k in zip(words.split("\n"), keep, strict=True) if k])
                 texts.append(words)
             out = [batch.column(c) for c in columns]
             out[columns.index(body)] = pa.array(texts, batch.column(body).type)
-            yield pa.RecordBatch.from_arrays([*out, batch.column("n_lines"), batch.column("n_dropped")], [*columns, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*out, batch.column("n_lines"), pa.array(gone, pa.int64())], [*columns, "n_lines", "n_dropped"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields)
-    return held.select(*columns, "n_lines", "n_dropped", "bits").mapInArrow(cut, f"{schema}, n_lines long, n_dropped long").toDF(*names, "n_lines", "n_dropped")
+    shorter = touched.select(*columns, "n_lines", "bits").mapInArrow(cut, f"{schema}, n_lines long, n_dropped long")
+    return untouched.unionByName(shorter).toDF(*names, "n_lines", "n_dropped")
 
 
 #: The hashes of lines and keys as in `keep_bitmaps`, without hash collisions.
