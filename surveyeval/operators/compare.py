@@ -78,7 +78,7 @@ def router(df: DataFrame, parts: DataFrame, value: str = "err", highest: bool =
     """
     sign = -1 if highest else 1
     at = lambda part, x: F.when(F.col("part") == part, x)
-    rows = df.join(parts, "rid").groupBy("item", "model").agg(F.sum(at("train", F.col(value))).alias("a"), F.count(at("train", F.col(value))).alias("na"), F.sum(at("test", F.col(value))).alias("b"), F.count(at("test", F.col(value))).alias("nb"))
+    rows = df.join(parts.hint("shuffle_hash"), "rid").groupBy("item", "model").agg(F.sum(at("train", F.col(value))).alias("a"), F.count(at("train", F.col(value))).alias("na"), F.sum(at("test", F.col(value))).alias("b"), F.count(at("test", F.col(value))).alias("nb"))
     rank = lambda s, n: F.struct((sign * F.col(s) / F.col(n)).alias("m"), "model")
     both = F.struct("b", "nb")
     best = rows.groupBy("item").agg(F.min_by(both, rank("a", "na")).alias("r"), F.min_by(both, rank("b", "nb")).alias("o"))

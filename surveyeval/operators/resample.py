@@ -101,7 +101,7 @@ def shapley_intervals(df: DataFrame, mask: str = "mask", value: str = "err", pla
 
 def router_intervals(df: DataFrame, parts: DataFrame, value: str = "err", B: int = 3000) -> list[dict]:
     """Error of the routed and the best single model on test respondents, and their gap, with percentile intervals; choices come from train alone."""
-    rows = df.join(parts, "rid")
+    rows = df.join(parts.hint("shuffle_hash"), "rid")  # one row for each respondent
     train = rows.where("part = 'train'").groupBy("item", "model").agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     best = train.groupBy("item").agg(F.min_by("model", F.struct(F.col("s") / F.col("n"), "model")).alias("routed"))
     single = train.groupBy("model").agg((F.sum("s") / F.sum("n")).alias("m")).agg(F.min_by("model", F.struct("m", "model")).alias("single"))

@@ -83,7 +83,7 @@ def ratio_intervals(clusters: DataFrame, by: list[str], total: str, count: str,
     """(by.., point, lo, hi, p, n) for each group: sum(total) / sum(count) with clusters resampled; a mean is the case count = 1.
 
     One pass draws all groups: a cluster has the same weight in every group, a partition emits B rows a group, and nothing reaches the driver.
-    BCa intervals of fewer than `least` clusters are null; `method` percentile has no least.  p is two-sided, from the share of
+    Totals and moments are broadcast: one row a group.  BCa intervals of fewer than `least` clusters are null; `method` percentile has no least.  p is two-sided, from the share of
     replicates at or below 0.  Groups without a positive count are left out; group keys are not null.
     """
     held = clusters.select(*by, F.xxhash64(cluster).alias("_k"), F.coalesce(F.col(total).cast("double"), F.lit(0.0)).alias("_t"), F.coalesce(F.col(count).cast("double"), F.lit(0.0)).alias("_c"))
@@ -104,7 +104,7 @@ def ratio_intervals(clusters: DataFrame, by: list[str], total: str, count: str,
     draws = held.mapInPandas(draw, f"{keys}, replicate long, s double, c double").groupBy(*by, "replicate").agg((F.sum("s") / F.when(F.sum("c") > 0, F.sum("c"))).alias("r"))
     whole = held.groupBy(*by).agg(F.sum("_t").alias("s"), F.sum("_c").alias("c"), F.count("*").alias("n")).where("c > 0")
     jack = F.when(F.col("_c") < F.col("c"), (F.col("s") - F.col("_t")) / (F.col("c") - F.col("_c")))
-    moments = held.join(whole, by).groupBy(*by).agg(F.first(F.col("s") / F.col("c")).alias("point"), F.first("n").alias("n"), F.skewness(jack).alias("skew"), F.var_pop(jack).alias("spread"), F.count(jack).alias("m"))
+    moments = held.join(F.broadcast(whole), by).groupBy(*by).agg(F.first(F.col("s") / F.col("c")).alias("point"), F.first("n").alias("n"), F.skewness(jack).alias("skew"), F.var_pop(jack).alias("spread"), F.count(jack).alias("m"))
 
     def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
         first, r = pdf.iloc[0], pdf["r"].dropna().to_numpy()
@@ -117,7 +117,7 @@ def ratio_intervals(clusters: DataFrame, by: list[str], total: str, count: str,
             row |= {"lo": [float(lo)], "hi": [float(hi)]}
         return pd.DataFrame(row)
 
-    return draws.join(moments, by).groupBy(*by).applyInPandas(bounds, f"{keys}, point double, lo double, hi double, p double, n long")
+    return draws.join(F.broadcast(moments), by).groupBy(*by).applyInPandas(bounds, f"{keys}, point double, lo double, hi double, p double, n long")
 
 
 def ratio_ci(clusters: DataFrame, total: str, count: str, cluster: str = "rid", B: int = 1000, seed: int = 42, alpha: float = 0.05) -> dict:
