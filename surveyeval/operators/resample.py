@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import factorial
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +32,43 @@ def _interval(draws: np.ndarray) -> tuple[float, float]:
     return tuple(float(v) for v in np.quantile(kept, [0.025, 0.975]))
 
 
-def _wide(df: DataFrame, groups: list[str], label: str, values: list[str], cluster: str) -> tuple[DataFrame, list[str]]:
-    """One row per cluster with columns <value>_<i> and n_<i> for the i-th group of column `label`."""
-    cells = df.groupBy(cluster, label).agg(*[F.sum(v).alias(f"s_{v}") for v in values], F.count("*").cast("double").alias("s_n"))
-    names = [f"{v}_{i}" for i in range(len(groups)) for v in [*values, "n"]]
-    aggs = [F.sum(F.when(F.col(label) == g, F.col(f"s_{v}"))).alias(f"{v}_{i}") for i, g in enumerate(groups) for v in [*values, "n"]]
-    return cells.groupBy(cluster).agg(*aggs), names
+def cell_replicates(df: DataFrame, groups: list[tuple], by: list[str], values: list[str], cluster: str = "rid", B: int = 1000, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """`replicates` of the columns (values.., rows) of every group, group by group: (sums, B x sums) for the groups listed, of the columns `by`.
+
+    A cluster's cells need no wide row: they have one weight wherever they stand, and a batch of them becomes a matrix inside the task.  The sums themselves
+    come from the same pass, as replicate -1.
+    """
+    cells = df.groupBy(cluster, *by).agg(*[F.sum(v).cast("double").alias(f"_s{i}") for i, v in enumerate(values)], F.count("*").cast("double").alias(f"_s{len(values)}"))
+    width, place = len(values) + 1, {g: i for i, g in enumerate(groups)}
+    sums = [f"_s{i}" for i in range(width)]
+    cells = cells.select(F.xxhash64(cluster).alias("_k"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sums])
+
+    def draw(batches):
+        out = np.zeros((B + 1, len(groups) * width))
+        for pdf in batches:
+            at = np.array([place.get(g, -1) for g in zip(*[pdf[f"_g{i}"] for i in range(len(by))], strict=True)], np.int64)
+            keys, who = np.unique(pdf["_k"].to_numpy(np.int64), return_inverse=True)
+            x, known = pdf[sums].to_numpy(float), at >= 0
+            for first in range(0, len(keys), 1000):
+                rows = np.flatnonzero(known & (who >= first) & (who < first + 1000))
+                part = np.zeros((min(1000, len(keys) - first), len(groups), width))
+                np.add.at(part, (who[rows] - first, at[rows]), x[rows])
+                part = part.reshape(len(part), -1)
+                out[0] += part.sum(0)
+                out[1:] += ST.poisson_weights(keys[first : first + 1000], B, seed) @ part
+        yield pd.DataFrame(out, columns=names).assign(replicate=np.arange(-1, B))[["replicate", *names]]
+
+    names = [f"c{i}" for i in range(len(groups) * width)]
+    drawn = cells.mapInPandas(draw, "replicate long, " + ", ".join(f"{c} double" for c in names)).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in names])
+    table = drawn.toPandas().sort_values("replicate")[names].to_numpy(float)  # B + 1 rows
+    if not len(table):
+        table = np.zeros((B + 1, len(names)))
+    return table[0], table[1:]
 
 
 def item_macro(df: DataFrame, by: list[str], items: list[str], column: str = "model", cluster: str = "rid", B: int = 1000) -> list[dict]:
     """Mean of item means of error and exact match for each level of `column`, with percentile intervals; all levels share the resamples."""
-    labels = [f"{m}|{i}" for m in by for i in items]
-    wide, names = _wide(df.withColumn("_g", F.concat_ws("|", column, "item")), labels, "_g", ["err", "exact0"], cluster)
-    total, draws = replicates(wide, names, cluster, B)
+    total, draws = cell_replicates(df, [(m, i) for m in by for i in items], [column, "item"], ["err", "exact0"], cluster, B)
     shape = (len(by), len(items), 3)
     t, d = total.reshape(shape), draws.reshape(len(draws), *shape)
     out = []
@@ -76,8 +101,7 @@ def shapley_matrix(players: int = 4) -> np.ndarray:
 def shapley_intervals(df: DataFrame, mask: str = "mask", value: str = "err", players: int = 4, cluster: str = "rid", B: int = 1000) -> list[dict]:
     """Shapley value of each player and the interaction share, with paired percentile intervals (one resample for all subsets)."""
     n = 2**players
-    wide, names = _wide(df, list(range(n)), mask, [value], cluster)
-    total, draws = replicates(wide, names, cluster, B)
+    total, draws = cell_replicates(df, [(m,) for m in range(n)], [mask], [value], cluster, B)
     point = _ratio(total.reshape(n, 2)[:, 0], total.reshape(n, 2)[:, 1])
     boot = _ratio(draws.reshape(-1, n, 2)[:, :, 0], draws.reshape(-1, n, 2)[:, :, 1])
     if not np.isfinite(point).all():
@@ -124,8 +148,7 @@ def battery_drops(df: DataFrame, batteries: DataFrame, B: int = 1000, least: int
     """
     names = [(r["battery_no"], r["battery"], r["bin"]) for r in batteries.orderBy("battery_no").collect()]
     pairs = T.pair_ablation(df).withColumn("delta", F.col("other") - F.col("base"))
-    wide, cols = _wide(pairs, [n for n, _, _ in names], "battery_no", ["delta"], "rid")
-    t, d = replicates(wide, cols, B=B)
+    t, d = cell_replicates(pairs, [(n,) for n, _, _ in names], ["battery_no"], ["delta"], B=B)
     rows = []
     for i, (_, battery, bin_) in enumerate(names):
         s, n = t[2 * i], t[2 * i + 1]

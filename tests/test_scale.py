@@ -2,11 +2,13 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (registers every query)
 from surveyeval.functions import scoring as S
+from surveyeval.operators import resample as RS
 from surveyeval.operators import stats as ST
 from surveyeval.operators import tables as T
 from surveyeval.plans import fixtures as FX
@@ -82,3 +84,20 @@ def test_panel_code_of_every_vote_of_four(spark):
         text = "|".join([r["item"], str(r["rid"]), ",".join(map(str, codes)), ",".join(map(str, options))])
         pick = 0 if len(options) == 1 else int(hashlib.sha256(text.encode()).hexdigest()[:8], 16) % len(options)
         assert (r["panel_code"], r["true_code"]) == (options[pick], r["rid"])
+
+
+def test_replicates_of_cells_equal_those_of_wide_rows(spark):
+    """A cluster's cells may be in several batches; groups that are not listed do not count; the plan has no column for each group."""
+    df = spark.range(600).select((F.col("id") % 50).alias("rid"), F.concat(F.lit("g"), F.col("id") % 7).alias("g"), (F.col("id") * 37 % 11).alias("v"))
+    groups = [f"g{i}" for i in range(5)]
+    wide = df.groupBy("rid").agg(*[x for g in groups for x in (F.sum(F.when(F.col("g") == g, F.col("v"))).alias(f"v_{g}"), F.count(F.when(F.col("g") == g, 1)).alias(f"n_{g}"))])
+    want = RS.replicates(wide, wide.columns[1:], B=20)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = RS.cell_replicates(df, [(g,) for g in groups], ["g"], ["v"], B=20)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1]) and got[1].shape == (20, 10)
+    none = RS.cell_replicates(df.where("false"), [("g0",)], ["g"], ["v"], B=3)
+    assert none[0].tolist() == [0, 0] and none[1].shape == (3, 2)
