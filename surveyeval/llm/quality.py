@@ -18,14 +18,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 from .arrays import LOWER, ngrams, slices, utf8, word_hash, words
+from .logistic import SparseRows, fit_logistic
 from .shared import join_small, materialize
 
 #: The classifier is fitted on at most about this many labelled rows, drawn by hash of doc_id.
@@ -91,14 +88,13 @@ def metadata_rows(batch: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-#: How a vector is stored in Parquet; read back as a vector.
-STORED_VECTOR = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+#: How a sparse vector is stored.
+STORED_VECTOR = "struct<indices: array<int>, values: array<double>>"
 
 
-def _stored(text: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int, size: int) -> pa.StructArray:
+def _stored(text: np.ndarray, place: np.ndarray, value: np.ndarray, rows: int) -> pa.StructArray:
     ends = np.searchsorted(text, np.arange(rows + 1)).astype(np.int32)
-    parts = [pa.array(np.zeros(rows, np.int8)), pa.array(np.full(rows, size, np.int32)), pa.ListArray.from_arrays(ends, place.astype(np.int32)), pa.ListArray.from_arrays(ends, value)]
-    return pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, place.astype(np.int32)), pa.ListArray.from_arrays(ends, value)], ["indices", "values"])
 
 
 def _pages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -118,18 +114,17 @@ def _featured(pages: DataFrame, keep: list[str]) -> DataFrame:
         for batch in slices(batches, "_text"):
             meta = metadata_rows(batch)
             row, at = np.nonzero(meta)
-            content = _stored(*content_vectors(batch.column("_text")), batch.num_rows, BUCKETS)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], content, _stored(row, at, meta[row, at], batch.num_rows, META)], [*keep, "content", "metadata"])
+            content = _stored(*content_vectors(batch.column("_text")), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], content, _stored(row, at, meta[row, at], batch.num_rows)], [*keep, "content", "metadata"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
-    rows = pages.mapInArrow(local, f"{schema}content {STORED_VECTOR}, metadata {STORED_VECTOR}")
-    return materialize(rows, "features", StructType([StructField(f.name, VectorUDT()) if f.name in ("content", "metadata") else f for f in rows.schema]))
+    return materialize(pages.mapInArrow(local, f"{schema}content {STORED_VECTOR}, metadata {STORED_VECTOR}"), "features")
 
 
 def _odds(pages: DataFrame, keep: list[str], fitted: dict) -> DataFrame:
     """The columns `keep` with o_content and o_metadata, the calibrated log-odds of both views, in one pass over the texts."""
     spark = pages.sparkSession
-    held = spark.sparkContext.broadcast({v: (np.asarray(model.coefficients.toArray()), float(model.intercept), a, b) for v, (model, a, b) in fitted.items()})
+    held = spark.sparkContext.broadcast(fitted)
 
     def local(batches):
         (wc, ic, ac, bc), (wm, im, am, bm) = held.value["content"], held.value["metadata"]
@@ -156,6 +151,26 @@ def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
+def _fit(rows: DataFrame, name: str) -> DataFrame:
+    """One row (name, coefficients, intercept, a, b) from a bounded sample (indices, values, label, weight, held): the view's regression and its calibration
+    on the held rows (a, b = 1, 0 without any), in one task that reads the rows once, so that steps are neither jobs nor vectors in the driver.
+    """
+    size = {"content": BUCKETS, "metadata": META}[name]
+
+    def local(batches):
+        sample, numbers = SparseRows(size), [np.zeros((0, 3))]
+        for batch in batches:
+            sample.add(batch.column("indices"), batch.column("values"))
+            numbers.append(np.c_[*[batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("label", "weight", "held")]])
+        label, weight, held = np.concatenate(numbers).T
+        held = held > 0
+        coefficients, intercept = fit_logistic(sample, label, np.where(held, 0.0, weight), RIDGE[name], STEPS, standardize=name != "content")
+        a, b = platt(sample.margins(coefficients, intercept)[held], label[held]) if held.any() else (1.0, 0.0)
+        yield pa.RecordBatch.from_pydict({"name": [name], "coefficients": [coefficients.tobytes()], "intercept": [intercept], "a": [a], "b": [b]})
+
+    return rows.coalesce(1).mapInArrow(local, "name string, coefficients binary, intercept double, a double, b double")
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, share: float = SHARE, exchanged: int = EXCHANGED, report: list | None = None,
 ) -> DataFrame:
@@ -180,7 +195,7 @@ def quality_scores(
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(6)), "rid")  # the sample is bounded
     known = _featured(join_small(pages, sample, "doc_id"), ["rid", "doc_id", "label"])
     held = materialize(known.select("rid", "doc_id", "label").withColumn("held", F.row_number().over(order) % 4 == 0).select("rid", "held").distinct(), "held")
-    known = materialize(known.join(F.broadcast(held), "rid"), "labelled", StructType([*known.schema.fields, *held.select("held").schema.fields]))  # held: bounded like the sample
+    known = materialize(known.join(F.broadcast(held), "rid"), "labelled")  # held: bounded like the sample
     counts = {(r["label"], r["held"]): r["count"] for r in known.groupBy("label", "held").count().collect()}
     classes: dict[float, int] = {}
     for (one_class, _), n in counts.items():
@@ -192,19 +207,20 @@ def quality_scores(
     prior = math.log(classes[1.0] / classes[0.0])
     calibrate = min(counts.get((c, True), 0) for c in classes) >= LEAST_HELD
 
-    def fit(name: str, extra: list[DataFrame]):
-        rows = known.where("not held" if calibrate else "true").select(name, "label", F.lit(1.0).alias("weight"))
-        size = sum(e.count() for e in extra)
-        for e in extra:
-            rows = rows.unionByName(e.select(name, "label").withColumn("weight", F.lit(min(1.0, 0.5 * n_known / max(1, size)))))
-        model = LogisticRegression(featuresCol=name, maxIter=STEPS, regParam=RIDGE[name], weightCol="weight", standardization=name != "content").fit(rows.coalesce(4))
-        if not calibrate:
-            return model, 1.0, 0.0
-        margins = model.transform(known.where("held").select(name, "label")).select(vector_to_array("rawPrediction")[1].alias("m"), "label").toPandas()  # a quarter of the bounded sample
-        return model, *platt(margins["m"].to_numpy(float), margins["label"].to_numpy(float))
+    def fit(extra: dict[str, list[DataFrame]]) -> dict[str, tuple]:
+        """Both views at once, a task each; two rows reach the driver."""
+        fits = []
+        for name in views:
+            vector = [F.col(f"{name}.indices"), F.col(f"{name}.values"), F.col("label")]
+            rows = known.select(*vector, F.lit(1.0).alias("weight"), (F.col("held") & F.lit(calibrate)).alias("held"))
+            size = sum(e.count() for e in extra[name])
+            for e in extra[name]:
+                rows = rows.unionByName(e.select(*vector, F.lit(min(1.0, 0.5 * n_known / max(1, size))).alias("weight"), F.lit(False).alias("held")))
+            fits.append(_fit(rows, name))
+        return {r["name"]: (np.frombuffer(bytes(r["coefficients"])), r["intercept"], r["a"], r["b"]) for r in fits[0].unionByName(fits[1]).collect()}
 
     extra: dict[str, list[DataFrame]] = {v: [] for v in views}
-    fitted = {v: fit(v, []) for v in views}
+    fitted = fit(extra)
     unlabelled = join_small(pages, held.select("rid"), "rid", "left_anti")
     for turn in range(rounds):
         scored = materialize(_odds(unlabelled, ["rid"], fitted).distinct(), "odds")
@@ -225,7 +241,7 @@ def quality_scores(
         rows = _featured(unlabelled.join(F.broadcast(ids), "rid").dropDuplicates(["rid", "pupil"]), ["label", "pupil"])
         for v in views:
             extra[v] = [*extra[v], rows.where(F.col("pupil") == v)]
-        fitted = {v: fit(v, extra[v]) for v in views}
+        fitted = fit(extra)
     out = _odds(pages, ["rid", "doc_id"], fitted)
     p = lambda x: 1 / (1 + F.exp(-x))
     total = F.col("o_content") + F.col("o_metadata") - F.lit(prior)
