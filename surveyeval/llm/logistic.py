@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections import deque
 
@@ -12,41 +13,51 @@ import pyarrow.compute as pc
 #: Numbers read at a time; a row is never split.
 CHUNK = 1 << 18
 #: Bytes of rows that stay in memory.
-HELD = 256 << 20
+HELD = 64 << 20
 
 
 class SparseRows:
-    """Sparse rows, read in chunks: up to HELD bytes stay in memory, the rest stands in temporary files without names, so that memory is bounded whatever the rows' lengths."""
+    """Sparse rows, read in chunks: up to HELD bytes stay in memory, the rest stands in one temporary file without a name, so that memory is bounded whatever the rows' lengths.
+
+    A chunk of few different values holds each of them once, as it is, and two bytes a number that say which it is.
+    """
 
     def __init__(self, size: int) -> None:
-        self.size, self.bytes, self.blocks = size, 0, []
+        self.size, self.bytes, self.blocks, self.file = size, 0, [], None
 
     def add(self, indices: pa.ListArray, values: pa.ListArray) -> None:
-        parts = [indices.flatten().to_numpy().astype(np.int32), values.flatten().to_numpy().astype(np.float64)]
-        need = sum(x.nbytes for x in parts)
-        if self.bytes + need <= HELD:
-            self.bytes += need
-        elif need:
-            parts = [self._spooled(x) for x in parts]
-        self.blocks.append((*parts, pc.list_value_length(indices).to_numpy(zero_copy_only=False).astype(np.int64)))
-
-    @staticmethod
-    def _spooled(x: np.ndarray) -> np.ndarray:
-        file = tempfile.TemporaryFile()
-        x.tofile(file)
-        file.flush()
-        return np.memmap(file, x.dtype, "r")
+        lengths = pc.list_value_length(indices).to_numpy(zero_copy_only=False).astype(np.int64)
+        places, numbers, ends, first = indices.flatten().to_numpy(), values.flatten().to_numpy(), np.cumsum(lengths), 0
+        while first < len(ends):
+            start = ends[first] - lengths[first]
+            last = max(first + 1, int(np.searchsorted(ends, start + CHUNK, "right")))
+            part = numbers[start : ends[last - 1]].astype(np.float64)
+            different, which = np.unique(part, return_inverse=True)
+            parts = [places[start : ends[last - 1]].astype(np.int32), *([which.astype(np.uint16), different] if len(different) <= 1 << 16 else [part])]
+            need = sum(x.nbytes for x in parts)
+            if self.bytes + need <= HELD:
+                self.bytes += need
+            elif need:
+                parts = [self._spooled(x) for x in parts]
+            self.blocks.append((parts, lengths[first:last]))
+            first = last
+
+    def _spooled(self, x: np.ndarray) -> tuple[int, int, np.dtype]:
+        self.file = self.file or tempfile.TemporaryFile()
+        at = self.file.tell()
+        self.file.write(x.tobytes())
+        self.file.flush()
+        return at, x.nbytes, x.dtype
+
+    def _read(self, x: np.ndarray | tuple[int, int, np.dtype]) -> np.ndarray:
+        return x if isinstance(x, np.ndarray) else np.frombuffer(os.pread(self.file.fileno(), x[1], x[0]), x[2])
 
     def chunks(self):
         """(slice of rows, places, values, numbers of each row)"""
         done = 0
-        for places, values, lengths in self.blocks:
-            ends, first = np.cumsum(lengths), 0
-            while first < len(ends):
-                start = ends[first] - lengths[first]
-                last = max(first + 1, int(np.searchsorted(ends, start + CHUNK, "right")))
-                yield slice(done + first, done + last), np.asarray(places[start : ends[last - 1]]), np.asarray(values[start : ends[last - 1]]), lengths[first:last]
-                first = last
+        for parts, lengths in self.blocks:
+            places, values, *different = map(self._read, parts)
+            yield slice(done, done + len(lengths)), places, different[0][values] if different else values, lengths
             done += len(lengths)
 
     def margins(self, coefficients: np.ndarray, intercept: float) -> np.ndarray:

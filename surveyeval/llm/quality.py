@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import LOWER, ngrams, slices, utf8, word_hash, words
 from .logistic import SparseRows, fit_logistic
-from .shared import join_small, materialize
+from .shared import join_small, materialize, small_batches
 
 #: The classifier is fitted on at most about this many labelled rows, drawn by hash of doc_id.
 MAX_LABELLED = 20_000
@@ -118,7 +118,8 @@ def _featured(pages: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], content, _stored(row, at, meta[row, at], batch.num_rows)], [*keep, "content", "metadata"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
-    return materialize(pages.mapInArrow(local, f"{schema}content {STORED_VECTOR}, metadata {STORED_VECTOR}"), "features")
+    with small_batches(pages.sparkSession):
+        return materialize(pages.mapInArrow(local, f"{schema}content {STORED_VECTOR}, metadata {STORED_VECTOR}"), "features")
 
 
 def _odds(pages: DataFrame, keep: list[str], fitted: dict) -> DataFrame:
@@ -217,13 +218,15 @@ def quality_scores(
             for e in extra[name]:
                 rows = rows.unionByName(e.select(*vector, F.lit(min(1.0, 0.5 * n_known / max(1, size))).alias("weight"), F.lit(False).alias("held")))
             fits.append(_fit(rows, name))
-        return {r["name"]: (np.frombuffer(bytes(r["coefficients"])), r["intercept"], r["a"], r["b"]) for r in fits[0].unionByName(fits[1]).collect()}
+        with small_batches(docs.sparkSession):
+            return {r["name"]: (np.frombuffer(bytes(r["coefficients"])), r["intercept"], r["a"], r["b"]) for r in fits[0].unionByName(fits[1]).collect()}
 
     extra: dict[str, list[DataFrame]] = {v: [] for v in views}
     fitted = fit(extra)
     unlabelled = join_small(pages, held.select("rid"), "rid", "left_anti")
     for turn in range(rounds):
-        scored = materialize(_odds(unlabelled, ["rid"], fitted).distinct(), "odds")
+        with small_batches(docs.sparkSession):
+            scored = materialize(_odds(unlabelled, ["rid"], fitted).distinct(), "odds")
         chosen = []
         for teacher, pupil in (views, views[::-1]):
             odds = F.col(f"o_{teacher}")
