@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import slices, sorted_chunks, utf8, word_hash
-from .shared import bit_filter, filter_table, join_small, materialize, passes, positional, with_passes
+from .shared import bit_filter, filter_table, join_small, materialize, passes, positional, small_batches, with_passes
 from .suffix_array import repeated_starts, span_hashes
 
 LENGTH = 200
@@ -171,7 +171,7 @@ def sorted_repeats(segments: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows (a, g, spans): of distinct segments (a, g, body), the runs of windows whose bytes another segment of their anchor has too."""
 
     def sort(batches):
-        for table in sorted_chunks(batches, "a", TOGETHER):
+        for table in sorted_chunks(slices(batches, "body", SLICE), "a", TOGETHER):
             kept: list[list] = [[], [], []]
             for a, g, flags in zip(table.column("a").to_pylist(), table.column("g").to_pylist(), repeated_starts(table.column("body").to_pylist(), length), strict=True):
                 if flags.any():
@@ -212,8 +212,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     """
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(body.alias("body"), *_keys(body)).where(f"octet_length(body) >= {length}")
-    repeated = materialize(repeated_anchors(texts, length, gram), "anchors")
-    held = materialize(segment_places(texts, repeated, length, gram), "places")
+    with small_batches(docs.sparkSession):  # a map task holds on to the batches of what it has not settled yet
+        repeated = materialize(repeated_anchors(texts, length, gram), "anchors")
+        held = materialize(segment_places(texts, repeated, length, gram), "places")
     several = repeated.where("lo <> hi").select("a")
     parts = held.where("body is not null").join(several, "a", "left_semi")
     parts = materialize(parts.groupBy("a", "g").agg(F.sum("n").alias("n"), F.first("body").alias("body")), "segments")
@@ -264,7 +265,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
 
     Columns of those four names are replaced; all others, of whatever names, are kept, the text only if `with_text`.  A null text counts as empty.  See `repeated_spans`.
     """
-    spans = materialize(repeated_spans(docs.select(F.col(text).alias("text")), "text", length, gram), "spans")
+    spans = repeated_spans(docs.select(F.col(text).alias("text")), "text", length, gram)
+    with small_batches(docs.sparkSession):
+        spans = materialize(spans, "spans")
     made = ["kept", "n_bytes", "n_removed", "n_spans"]
     own, names = positional(docs, tuple(made))
     columns, body = own.columns, f"c{names.index(text)}"

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from surveyeval.llm import cross_tokens, periodic_runs, suffix_array, suffix_dedup
@@ -240,6 +241,32 @@ def test_many_copies_of_one_text(spark):
     assert {(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()} == {(len(page), len(page), 1, b"")}
 
 
+def test_long_rows_reach_python_in_small_batches(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, suffix_dedup.materialize
+    before = spark.conf.get(key)
+
+    def noted(df, name="step", schema=None):
+        seen[name] = int(spark.conf.get(key))
+        return write(df, name, schema)
+
+    monkeypatch.setattr(suffix_dedup, "materialize", noted)
+    page = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(0, page), (1, page + "x"), (2, "y" + page)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).select("doc_id", "n_removed").collect()} == {i: len(page) for i in range(3)}
+    assert max(seen[name] for name in ("anchors", "places", "spans")) <= 1_000 and spark.conf.get(key) == before
+
+
+def test_a_task_sorts_pieces_of_large_batches(spark, monkeypatch):
+    """What is sorted at once does not grow with the rows of a batch."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 20)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 5_000)
+    monkeypatch.setattr(suffix_dedup, "repeated_starts", lambda parts, length: [np.full(len(parts), True) for _ in parts])  # as many flags as parts
+    text = bytes(range(250))
+    segments = spark.createDataFrame([(a, g, text) for a in range(300) for g in range(2)], "a long, g long, body binary").coalesce(1)
+    sizes = {r["spans"][0]["n"] for r in suffix_dedup.sorted_repeats(segments).collect()}
+    assert max(sizes) <= 42
+
+
 def test_op13(spark):
     folder = "/root/testdata/sf0.001"
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
